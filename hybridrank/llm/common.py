@@ -150,14 +150,14 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(id, component) for every end of the edges (a, b): component is the least id that is reachable.
 
     Alternating large-star and small-star rounds; each ends in a checkpoint, so lineage stays short and
-    no link reaches the driver. A hub's links are salted by the partial minimum before the shuffle.
+    no link reaches the driver. Minima are aggregated before the shuffle, and a hub's links meet its minimum
+    in a join of two plain tables, which Spark can split.
     """
-    spark = edges.sparkSession
     spark_edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(most_rounds):
         # Large star: each node links its larger neighbours to the least of its neighbours and itself.
         both = spark_edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(spark_edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: each node links itself and its smaller neighbours to the least of them.
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
@@ -170,5 +170,4 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = spark_edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    del spark
     return spark_edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(roots)

@@ -3,8 +3,9 @@
 from .bpe import op2_bpe
 from .html_extract import op9_html
 from .language_id import op5_language
+from .minhash import op3_minhash
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op10_quality
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_language, op6_mixing, op9_html, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_minhash, op5_language, op6_mixing, op9_html, op10_quality)}
 ORACLE_SQL = {"op6_mixing": OP6_SQL}
