@@ -25,56 +25,20 @@ all; an empty table gives an empty result; columns other than doc_id and text ar
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _byte_table, _powers, ensure_checkpoint_dir, expand, mix, packs, span_hash, table, text_bytes
+from .common import _byte_table, _powers, cut, expand, mix, span_hash, table
+from .packs import NO_ID, bucket_count, by_bucket, dealt, edges, packed, unpack, unzipped, zipped
 
 LENGTH = 50
 K = 24
-PACK_BYTES = 8 << 20
 STEP = 1 << 19
 BLOCK = 1 << 21
-_LAST = np.iinfo(np.int64).max
-
-
-def _zip(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(raw)
-
-
-def _unzip(raw: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(raw)
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    task = TaskContext.get().partitionId()
-    for number, b in enumerate(packs(batches, limit=PACK_BYTES)):
-        data, offsets = text_bytes(b.column("text"))
-        known = b.column("doc_id")
-        ids = known.cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
-        is_null = np.asarray(known.is_null().to_numpy(zero_copy_only=False), dtype=np.uint8)
-        head = np.array([len(ids)], dtype=np.int64).tobytes() + ids.astype(np.int64).tobytes() + is_null.tobytes() + offsets.astype(np.int64).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([task << 32 | number]), pa.array([_zip(head + data.tobytes())], pa.binary())], ["pack", "texts"])
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc ids, which of them are null, offsets and bytes."""
-    raw = _unzip(blob)
-    n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
-    at = 8 + 8 * n
-    ids = np.frombuffer(raw, dtype=np.int64, count=n, offset=8)
-    is_null = np.frombuffer(raw, dtype=np.uint8, count=n, offset=at)
-    at += n
-    offsets = np.frombuffer(raw, dtype=np.uint8, count=8 * (n + 1), offset=at).view(np.uint8).tobytes()
-    return ids, is_null, np.frombuffer(offsets, dtype=np.int64), np.frombuffer(raw, dtype=np.uint8, offset=at + 8 * (n + 1))
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -126,46 +90,24 @@ def _asked(minimizer: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return short[start], np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
 
 
-def _edges(short: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's share of sorted 47-bit values begins and ends."""
-    limits = (np.arange(buckets + 1, dtype=np.float64) * (float(1 << 47) / buckets)).astype(np.uint64)
-    limits[-1] = np.uint64(1 << 47)
-    return np.searchsorted(short, limits)
-
-
 def _ask(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for pack, blob in zip(b.column("pack").to_pylist(), b.column("texts")):
-                ids, _, offsets, data = _unpack(blob.as_py())
+                ids, _, offsets, data = unpack(blob.as_py())
                 _, _, minimizer, doc = runs(data, offsets)
                 short, several = _asked(minimizer, ids[doc])
                 coded = (short << np.uint64(1) | several.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :6]
-                cut_at = _edges(short, buckets)
+                cut_at = edges(short, buckets)
                 full = np.flatnonzero(np.diff(cut_at))
                 yield pa.RecordBatch.from_arrays([pa.array([pack] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array([coded[cut_at[i] : cut_at[i + 1]].tobytes() for i in full.tolist()], pa.binary())], ["pack", "bucket", "asked"])
 
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[int], list[bytes]]]:
-    """The rows of each bucket, which follow one another."""
-    bucket, held, blobs = None, [], []
-    for b in batches:
-        for k, p, x in zip(b.column("bucket").to_pylist(), b.column("pack").to_pylist(), b.column(column)):
-            if k != bucket and held:
-                yield bucket, held, blobs
-                held, blobs = [], []
-            bucket = k
-            held.append(p)
-            blobs.append(x.as_py())
-    if held:
-        yield bucket, held, blobs
-
-
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bit for each minimizer asked for: whether more than one document has it."""
-    for bucket, held, blobs in _by_bucket(batches, "asked"):
+    for bucket, held, blobs in by_bucket(batches, "asked"):
         size = [len(x) // 6 for x in blobs]
         raw = np.zeros((sum(size), 8), dtype=np.uint8)
         raw[:, :6] = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, 6)
@@ -183,10 +125,10 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _segments(blob: bytes, answers: list, buckets: int) -> dict:
     """The runs of a pack whose minimizers several documents have, and their distinct strings in order of bucket."""
-    ids, is_null, offsets, data = _unpack(blob)
+    ids, is_null, offsets, data = unpack(blob)
     start, count, minimizer, doc = runs(data, offsets)
     short, _ = _asked(minimizer, ids[doc])
-    cut_at = _edges(short, buckets)
+    cut_at = edges(short, buckets)
     shared = np.zeros(len(short), dtype=bool)
     for x in answers:
         lo, hi = cut_at[x["bucket"]], cut_at[x["bucket"] + 1]
@@ -210,7 +152,7 @@ def _send(buckets: int):
         for b in batches:
             for pack, blob, answers in zip(b.column("pack").to_pylist(), b.column("texts"), b.column("answers")):
                 s = _segments(blob.as_py(), answers.as_py() or [], buckets)
-                cut_at = _edges(s["value"], buckets)
+                cut_at = edges(s["value"], buckets)
                 rows = []
                 for i in np.flatnonzero(np.diff(cut_at)).tolist():
                     part = slice(cut_at[i], cut_at[i + 1])
@@ -218,7 +160,7 @@ def _send(buckets: int):
                     length = s["count"][first] + LENGTH - 1
                     text = s["data"][expand(s["start"][first], length)]
                     head = np.array([len(first)], dtype=np.int64).tobytes()
-                    rows.append((i, _zip(head + s["value"][part].tobytes() + s["hash"][part].tobytes() + s["least"][part].tobytes() + length.astype(np.int64).tobytes() + text.tobytes())))
+                    rows.append((i, zipped(head + s["value"][part].tobytes() + s["hash"][part].tobytes() + s["least"][part].tobytes() + length.astype(np.int64).tobytes() + text.tobytes())))
                 yield pa.RecordBatch.from_arrays([pa.array([pack] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["pack", "bucket", "segments"])
 
     return run
@@ -297,7 +239,7 @@ def window_minima(texts: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> n
     windows = expand(starts, lengths - LENGTH + 1)
     is_window[windows] = True
     group = np.cumsum(mark) - 1
-    doc = np.where(is_window, docs[owner], _LAST)[order]
+    doc = np.where(is_window, docs[owner], NO_ID)[order]
     least = np.minimum.reduceat(doc, np.flatnonzero(mark))
     out = np.empty(len(joined), dtype=np.int64)
     out[order] = least[group]
@@ -340,10 +282,10 @@ def _minima(value: np.ndarray, texts: np.ndarray, lengths: np.ndarray, docs: np.
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, held, blobs in _by_bucket(batches, "segments"):
+    for bucket, held, blobs in by_bucket(batches, "segments"):
         size, value, h, least, length, text = [], [], [], [], [], []
         for x in blobs:
-            raw = _unzip(x)
+            raw = unzipped(x)
             n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
             size.append(n)
             value.append(np.frombuffer(raw, dtype=np.uint64, count=n, offset=8))
@@ -379,7 +321,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin += n
             c = run_count[own]
             take = expand(run_first[own], c)
-            out.append(_zip(np.array([n], dtype=np.int64).tobytes() + c.astype(np.int32).tobytes() + offset[take].astype(np.int32).tobytes() + low[take].tobytes()))
+            out.append(zipped(np.array([n], dtype=np.int64).tobytes() + c.astype(np.int32).tobytes() + offset[take].astype(np.int32).tobytes() + low[take].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([bucket] * len(held), pa.int32()), pa.array(out, pa.binary())], ["pack", "bucket", "minima"])
 
 
@@ -391,7 +333,7 @@ def _cut_out(buckets: int):
                 ids, offsets, data = s["ids"], s["offsets"], s["data"]
                 counts, offset, low = [], [], []
                 for x in sorted(judged.as_py() or [], key=lambda x: x["bucket"]):
-                    raw = _unzip(x["minima"])
+                    raw = unzipped(x["minima"])
                     n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
                     c = np.frombuffer(raw, dtype=np.int32, count=n, offset=8).astype(np.int64)
                     m = int(c.sum())
@@ -433,25 +375,14 @@ def _cut_out(buckets: int):
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/packs-{uuid.uuid4().hex}"
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack, "pack long, texts binary").write.option("compression", "none").parquet(path)
-    packed = spark.read.schema("pack long, texts binary").parquet(path)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), packed.count() // 2)
-
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "pack")
-
-    asked = packed.mapInArrow(_ask(buckets), "pack long, bucket int, asked binary")
-    bits = dealt(asked).mapInArrow(_answer, "pack long, bucket int, bits binary")
-    answers = bits.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
-    from .common import cut
-
-    known = cut(answers)
-    joined = packed.join(known, "pack", "left").select("pack", "texts", "answers")
+    texts = packed(docs)
+    buckets = bucket_count(texts)
+    asked = texts.mapInArrow(_ask(buckets), "pack long, bucket int, asked binary")
+    bits = dealt(asked, buckets).mapInArrow(_answer, "pack long, bucket int, bits binary")
+    answers = cut(bits.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers")))
+    joined = texts.join(answers, "pack", "left").select("pack", "texts", "answers")
     sent = joined.mapInArrow(_send(buckets), "pack long, bucket int, segments binary")
-    judged = dealt(sent).mapInArrow(_judge, "pack long, bucket int, minima binary").groupBy("pack").agg(F.collect_list(F.struct("bucket", "minima")).alias("judged"))
+    judged = dealt(sent, buckets).mapInArrow(_judge, "pack long, bucket int, minima binary").groupBy("pack").agg(F.collect_list(F.struct("bucket", "minima")).alias("judged"))
     last = joined.join(judged, "pack", "left").select("texts", "answers", "judged")
     return last.mapInArrow(_cut_out(buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
