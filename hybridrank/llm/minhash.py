@@ -1,16 +1,17 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
-Documents with the same shingle set are one class and enter once. Each class posts itself under its
-COORDINATES (coordinate, value) pairs. A pair of documents at the wanted similarity shares at least MATCHES
-of them (a binomial tail of about 1e-10 below that), so with all pairs put in one order, rarest first, it
-shares one among the first COORDINATES - MATCHES + 1 of both: only that prefix is joined, and a value that
-one document alone has is never posted. Collisions are then counted coordinate block by coordinate block, and a pair is
-skipped once it can no longer reach MATCHES; the rest is confirmed on the full shingle sets.
+Documents with the same shingle set are one class and enter once. Each class posts itself under POSTED of
+its COORDINATES (coordinate, value) pairs. A pair of documents at the wanted similarity shares at least LEAST
+of those and MATCHES of all (binomial tails below 1e-9), so with all pairs put in one order, rarest first, it
+shares one among the first POSTED - LEAST + 1 of both: only that prefix is joined, and a value that one
+document alone has is never posted. Collisions are then counted coordinate block by coordinate block, and a
+pair is skipped once it can no longer reach MATCHES; the rest is confirmed on the full shingle sets.
 
 No list of documents is expanded into all its pairs. First each posting list links its members to its least
-one; links that the full sets confirm join classes to components. Only lists that still hold several
-components are compared further, member by member in salted blocks of bounded size, and only across
-components, which loses no link that could join two of them.
+one and to the one with the most common values, the likely original of a group of edited copies; links that
+the full sets confirm join classes to components. Only lists that still hold several components are
+compared further, member by member in salted blocks of bounded size, only across components, and each pair
+in one list alone, which loses no link that could join two components.
 
 Defined edge cases: a null text or one without words has an empty set, is linked with nothing and kept;
 fewer words than a shingle are one shingle; ties of doc_id do not occur by contract, and rows that repeat a
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import blocks, components, cut, ensure_checkpoint_dir, lower_ascii, mix, span_hash, table, text_bytes, words
 
-COORDINATES = 40
-MATCHES = 14
+COORDINATES, MATCHES = 64, 30
+POSTED, LEAST = 32, 10
 SIMILARITY = (80, 100)
 STAR_BLOCK = 512
 LIST_BLOCK = 512
@@ -69,14 +70,15 @@ def signatures(sets: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
         return np.empty((0, size), dtype=np.uint32)
     out = np.empty((len(rows), size), dtype=np.uint32)
     at = offsets[:-1][rows]
-    for c in range(0, size, 2):
-        h = mix(sets + np.uint64(c + 1) * np.uint64(0x9E3779B97F4A7C15))
-        out[:, c] = np.minimum.reduceat((h >> np.uint64(32)).astype(np.uint32), at)
-        if c + 1 < size:
-            out[:, c + 1] = np.minimum.reduceat(h.astype(np.uint32), at)
+    for c, factor in enumerate(_factors(size)):  # x -> factor * x permutes hashes that are mixed already
+        out[:, c] = np.minimum.reduceat(sets * factor, at) >> np.uint64(32)
     return out
 
 
+def _factors(size: int) -> np.ndarray:
+    return mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
+
+
 def _sketch(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, set_key and signature of each document."""
 
@@ -100,18 +102,19 @@ def _sketch(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _elements(classes: DataFrame) -> DataFrame:
-    """(doc, element) for each coordinate of each class; an element is a hash of coordinate and value."""
+    """(doc, coordinate, element) for each posted coordinate of each class; an element is a hash of coordinate and value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))
+        salt = mix(np.arange(1, POSTED + 1, dtype=np.uint64))
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 part = b.slice(i, 4096)
-                sig = np.frombuffer(b"".join(part.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
+                sig = np.frombuffer(b"".join(part.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)[:, :POSTED]
                 element = mix(sig.astype(np.uint64) + salt[None, :]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("doc").to_numpy(zero_copy_only=False), COORDINATES)), pa.array(element.ravel())], ["doc", "element"])
+                doc = np.repeat(part.column("doc").to_numpy(zero_copy_only=False), POSTED)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.tile(np.arange(POSTED, dtype=np.int32), part.num_rows)), pa.array(element.ravel())], ["doc", "coordinate", "element"])
 
-    return classes.select("doc", "signature").mapInArrow(run, "doc long, element long")
+    return classes.select("doc", "signature").mapInArrow(run, "doc long, coordinate int, element long")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
@@ -169,38 +172,42 @@ def _count_matches(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.
     return i, j
 
 
-def _across(lists: DataFrame, classes: DataFrame) -> DataFrame:
+def _across(lists: DataFrame, classes: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Pairs from different components that share a list and MATCHES coordinates.
 
-    lists: (element, doc, component). A list is dealt in blocks of about LIST_BLOCK members, and every two
-    blocks of a list meet in one task of bounded size.
+    lists: (element, coordinate, doc, component). A list is dealt in blocks of about LIST_BLOCK members, and
+    every two blocks of a list meet in one task of bounded size. prefixes: (doc, mask) tells which
+    coordinates a class has posted; a pair is given by the first list alone that both are in.
     """
     lists = cut(lists)
     sizes = lists.groupBy("element").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("element", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("parts"))
     sizes = cut(sizes)
     member = lists.join(sizes, "element").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     # Block p meets q for all q: the lower number is named first.
-    dealt = member.select("element", "doc", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("element", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "doc", "component")
-    dealt = dealt.join(classes.select("doc", "signature"), "doc")
+    dealt = member.select("element", "coordinate", "doc", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("element", "coordinate", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "doc", "component")
+    dealt = dealt.join(classes.select("doc", "signature"), "doc").join(prefixes, "doc")
 
     def run(_: tuple, t: pa.Table) -> pa.Table:
-        doc, comp = t["doc"].to_numpy(), t["component"].to_numpy()
+        doc, comp, mask = t["doc"].to_numpy(), t["component"].to_numpy(), t["mask"].to_numpy()
         sig = np.frombuffer(b"".join(t["signature"].to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
-        part, p, q = t["part"].to_numpy(), t["p"][0].as_py(), t["q"][0].as_py()
+        part, p, q, here = t["part"].to_numpy(), t["p"][0].as_py(), t["q"][0].as_py(), t["coordinate"][0].as_py()
         left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
         out_a, out_b = [], []
         for s in range(0, len(left), 128):
             own = left[s : s + 128]
             i, j = _count_matches(sig[own], sig[right]) if len(own) and len(right) else (np.empty(0, int), np.empty(0, int))
             i, j = own[i], right[j]
-            keep = (comp[i] != comp[j]) & (doc[i] != doc[j])
+            keep = (comp[i] != comp[j]) & (doc[i] < doc[j] if p == q else doc[i] != doc[j])
+            i, j = i[keep], j[keep]
+            both = (sig[i, :POSTED] == sig[j, :POSTED]) & ((mask[i] & mask[j])[:, None] >> np.arange(POSTED) & 1).astype(bool)
+            keep = both.argmax(axis=1) == here
             out_a.append(doc[i[keep]])
             out_b.append(doc[j[keep]])
         a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (out_a, out_b))
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    return dealt.groupBy("element", "p", "q").applyInArrow(run, "a long, b long").distinct()
+    return dealt.groupBy("element", "p", "q").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -210,17 +217,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = S
     classes = cut(sketch.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.min("signature").alias("signature")))
     elements = _elements(classes)
     common = cut(elements.groupBy("element").agg(F.count("*").alias("df")).where("df > 1"))
-    posted = elements.join(common, "element").withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("df", "element"))).withColumn("held", F.count("*").over(Window.partitionBy("doc")))
+    of_doc = Window.partitionBy("doc")
+    posted = elements.join(common, "element").withColumn("rank", F.row_number().over(of_doc.orderBy("df", "element"))).withColumn("held", F.count("*").over(of_doc)).withColumn("weight", F.sum("df").over(of_doc))
     # Values of one document alone come first in the order and use up the prefix.
-    prefix = COORDINATES - MATCHES + 1
-    lists = posted.where(F.col("rank") <= F.lit(prefix - COORDINATES) + F.col("held")).select("element", "doc")
-    lists = cut(lists)
-    least = cut(lists.groupBy("element").agg(F.min("doc").alias("a")))  # as a table of its own, so that a hot element's join can be split
-    star = lists.join(least, "element").where("a < doc").select("a", F.col("doc").alias("b")).distinct()
+    prefix = POSTED - LEAST + 1
+    lists = cut(posted.where(F.col("rank") <= F.lit(prefix - POSTED) + F.col("held")).select("element", "coordinate", "doc", "weight"))
+    prefixes = lists.groupBy("doc").agg(F.bit_or(F.expr("shiftleft(1L, coordinate)")).alias("mask"))
+    # As a table of its own, so that a hot element's join can be split.
+    leaders = cut(lists.groupBy("element").agg(F.min("doc").alias("least"), F.max(F.struct("weight", F.negative("doc").alias("first")))["first"].alias("first")).select("element", F.explode(F.array_distinct(F.array("least", F.negative("first")))).alias("leader")))
+    star = lists.join(leaders, "element").where("leader <> doc").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
     links = _confirm(_matching(star, classes), docs, k, similarity)
     found = components(links)
-    of = lists.join(found.withColumnRenamed("id", "doc"), "doc", "left").select("element", "doc", F.coalesce("component", "doc").alias("component"))
-    more = cut(_across(of, classes))
+    of = lists.join(found.withColumnRenamed("id", "doc"), "doc", "left").select("element", "coordinate", "doc", F.coalesce("component", "doc").alias("component"))
+    more = cut(_across(of, classes, prefixes))
     if more.take(1):
         found = components(links.unionByName(_confirm(more, docs, k, similarity)))
     by_class = classes.join(found.withColumnRenamed("id", "doc"), "doc", "left").select("set_key", F.coalesce("component", "doc").alias("component_id"))
