@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import blocks, expand, mix, span_hash, table
 
 PIECE_CHARS = 1 << 20
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 700_000
 _CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 
 
