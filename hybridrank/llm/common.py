@@ -116,7 +116,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = np.cumsum(text_bytes(batch.column(column))[1][1:])
+        size = text_bytes(batch.column(column))[1][1:]
         i = 0
         while i < batch.num_rows:
             done = size[i - 1] if i else 0
