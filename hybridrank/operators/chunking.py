@@ -114,7 +114,7 @@ def recursive_chunks(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVE
 
 def sentences(c: Column) -> Column:
     """Sentences of a text: a period after a number, a single capital or an abbreviation ends none."""
-    keep = "\\ue000"
+    keep = "\ue000"
     short = "|".join(ABBREVIATIONS)
     for _ in range(2):  # neighbours share the character between them
         c = F.regexp_replace(c, rf"(?<![\p{{L}}\p{{N}}_’'])(\p{{N}}+|\p{{Lu}}|(?iu:{short}))\.(?=\s|$)", "$1" + keep)
