@@ -3,6 +3,7 @@
 from .bpe import op2_bpe
 from .html_extract import op9_html
 from .language_id import op5_language
+from .media import op4_media
 from .minhash import op3_minhash
 from .mixing import OP6_SQL, op6_mixing
 from .pitman_yor import op8_pitman_yor
@@ -10,5 +11,5 @@ from .quality import op10_quality
 from .secrets import op7_secrets
 from .suffix_dedup import op1_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_minhash, op5_language, op6_mixing, op7_secrets, op8_pitman_yor, op9_html, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_minhash, op4_media, op5_language, op6_mixing, op7_secrets, op8_pitman_yor, op9_html, op10_quality)}
 ORACLE_SQL = {"op6_mixing": OP6_SQL}
