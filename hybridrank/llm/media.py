@@ -165,7 +165,7 @@ class Tables:
 
 
 def _parts(points: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(points["bits"]).view(np.uint32).reshape(len(points), -1)[:, :BANDS]
+    return np.ascontiguousarray(points["bits"]).view(np.uint32).reshape(len(points), TESTS // 32)[:, :BANDS]
 
 
 def _classes(described: DataFrame) -> DataFrame:

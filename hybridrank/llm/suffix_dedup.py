@@ -167,9 +167,9 @@ def _send(buckets: int):
 
 
 def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order, by the first 64 bytes at least, and the Burrows-Wheeler transform of the text."""
+    """Order of rotations, by the first 64 bytes at least, and the Burrows-Wheeler transform of the text."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, dtype=np.uint8)])
+    padded = np.concatenate([text, np.resize(text, 8)])  # rotations, so that rows and what is before them agree at the ends too
     key = np.zeros(n, dtype=np.uint64)
     for k in range(8):
         key = key << np.uint64(8) | padded[k : k + n].astype(np.uint64)
@@ -183,9 +183,7 @@ def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         rank = np.empty(n, dtype=np.uint64)
         rank[order] = np.cumsum(new).astype(np.uint64)
-        later = np.zeros(n, dtype=np.uint64)
-        later[:-depth] = rank[depth:] if n > depth else later[:-depth]
-        key = rank << np.uint64(32) | later
+        key = rank << np.uint64(32) | np.roll(rank, -depth)
         # Only suffixes whose key is shared so far need sorting again, within their place.
         group = np.cumsum(new) - 1
         tied = np.bincount(group)[group] > 1
