@@ -114,7 +114,8 @@ class Engine:
     def retrieve(self, questions: DataFrame) -> DataFrame:
         c = self.config
         asked = questions.where(F.trim("text") != "")
-        empty = self.passages.select(F.lit(0).alias("query_id"), "doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
+        kind = self.passages.schema["doc_id"].dataType
+        empty = asked.select("query_id", F.lit(None).cast(kind).alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
         lexical = retrieval.bm25(asked, self.passages, c.lexical_k, c.stemmed, c.truncate) if c.fusion != "dense_only" else empty
         dense = retrieval.dense(asked, self.passages, c.dense_k) if c.fusion != "lexical_only" else empty
         return retrieval.fuse(dense, lexical, c.fusion, c.rrf_k, c.alpha, c.top_k)
