@@ -88,8 +88,8 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def bucket_count(table: DataFrame) -> int:
-    """One bucket for two packs, and no fewer than shuffle partitions."""
-    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), table.count() // 2)
+    """One bucket for each pack, and no fewer than shuffle partitions."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), table.count())
 
 
 def dealt(asked: DataFrame, buckets: int) -> DataFrame:

@@ -38,7 +38,7 @@ from .packs import NO_ID, bucket_count, by_bucket, dealt, edges, packed, unpack,
 LENGTH = 50
 K = 24
 STEP = 1 << 19
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -204,13 +204,14 @@ def expand_intervals(bwt: np.ndarray, length: int = LENGTH) -> np.ndarray:
     mark = np.zeros(n + 1, dtype=bool)
     mark[0] = mark[n] = True
     order = np.argsort(bwt, kind="stable")  # row that maps to each place
-    place = np.empty(n, dtype=np.int64)
-    place[order] = np.arange(n)
+    order = order.astype(np.int32)
+    place = np.empty(n, dtype=np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     lo, hi = np.array([0]), np.array([n - 1])
     for _ in range(length):
         width = hi - lo + 1
-        rows = expand(lo, width)
-        left, right = np.repeat(lo, width), np.repeat(hi, width)
+        rows = expand(lo, width).astype(np.int32)
+        left, right = np.repeat(lo.astype(np.int32), width), np.repeat(hi.astype(np.int32), width)
         to, c = place[rows], bwt[rows]
         after, before = order[np.minimum(to + 1, n - 1)], order[np.maximum(to - 1, 0)]
         last = (to == n - 1) | (bwt[after] != c) | (after > right)
@@ -244,11 +245,11 @@ def window_minima(texts: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> n
     return out[windows]
 
 
-def _minima(value: np.ndarray, texts: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """window_minima of segments sorted by minimizer, block by block."""
+def _minima(value: np.ndarray, texts: np.ndarray, text_at: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """window_minima of segments sorted by minimizer, which start at text_at, block by block."""
     windows = lengths - LENGTH + 1
     out = np.repeat(docs, windows)
-    at, text_at = np.cumsum(windows) - windows, np.cumsum(lengths) - lengths
+    at = np.cumsum(windows) - windows
     edge = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
     several = np.diff(edge) > 1
     groups = np.flatnonzero(several)
@@ -300,7 +301,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = order[new]
         docs = np.minimum.reduceat(least[order], np.flatnonzero(new))
         text_at = np.cumsum(length) - length
-        minima = _minima(value[first], text[expand(text_at[first], length[first])], length[first], docs)
+        minima = _minima(value[first], text, text_at[first], length[first], docs)
         windows = length[first] - LENGTH + 1
         at = np.cumsum(windows) - windows
         # Answers as runs: the first window of each run of equal minima, and the minimum.

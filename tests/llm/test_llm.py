@@ -83,10 +83,10 @@ def test_suffix_window_split(monkeypatch):
     texts = [rng.integers(97, 100, n).astype(np.uint8) for n in (60, 75, 90)]
     texts.append(texts[0][:55].copy())
     lengths = np.array([len(t) for t in texts])
-    value, docs = np.zeros(4, dtype=np.uint64), np.array([5, 2, 9, 1])
-    whole = suffix_dedup._minima(value, np.concatenate(texts), lengths, docs)
+    value, docs, at = np.zeros(4, dtype=np.uint64), np.array([5, 2, 9, 1]), np.cumsum(lengths) - lengths
+    whole = suffix_dedup._minima(value, np.concatenate(texts), at, lengths, docs)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 64)
-    assert (suffix_dedup._minima(value, np.concatenate(texts), lengths, docs) == whole).all()
+    assert (suffix_dedup._minima(value, np.concatenate(texts), at, lengths, docs) == whole).all()
     assert whole[:6].tolist() == [1] * 6 and whole[6] == 5
 
 
