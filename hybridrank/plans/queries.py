@@ -380,9 +380,9 @@ def _metrics(spark, d, k=5, stemmed=True):
     return E.retrieval_metrics(items, _lexical(spark, d, k, stemmed), _gold(spark, d), k)
 
 
-@query(f"WITH {_METRICS} SELECT query_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg, first_rank FROM me")
+@query(f"WITH {_METRICS} SELECT query_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg, CAST(coalesce(first_rank, 0) AS BIGINT) AS first_rank FROM me")
 def retrieval_metrics(spark, d):
-    return _metrics(spark, d).select("query_id", *[six(c).alias(c) for c in ("recall", "precision", "rr", "ndcg")], "first_rank")
+    return _metrics(spark, d).select("query_id", *[six(c).alias(c) for c in ("recall", "precision", "rr", "ndcg")], F.coalesce("first_rank", F.lit(0)).cast("long").alias("first_rank"))
 
 
 @query(f"WITH {_METRICS} SELECT count(*) AS n, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(rr), 6) AS rr, round(avg(ndcg), 6) AS ndcg, round(avg(CASE WHEN recall > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM me")
