@@ -35,6 +35,7 @@ HEADS = 255
 BURN_IN, SAMPLES = 2, 3
 STRENGTH, ROOT_STRENGTH = 1.0, 10.0
 EXACT = 64
+SALTS = 16
 SEED = 29
 END = np.uint64(0x0123456789ABCDEF)
 
@@ -260,9 +261,9 @@ class _Bucket:
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over a bucket: (what, index, total)."""
+    """Sums over a bucket: (what, salt, totals)."""
     for b in batches:
-        for pack, state in zip(b.column("pack").to_pylist(), b.column("state")):
+        for pack, bucket, state in zip(b.column("pack").to_pylist(), b.column("bucket").to_pylist(), b.column("state")):
             if pack != -1:
                 continue
             value, count, pairs, pair_count = _read(unzipped(state.as_py()))
@@ -273,11 +274,23 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows += [("tokens", 0, float(count.sum())), ("words", 0, float((count > 0).sum()))]
             for name, c in (("of", pair_count), ("root_of", count)):
                 rows += [(name, i, float((c == i).sum())) for i in (1, 2)]
-            yield _rows(rows)
+            yield _rows(rows, bucket)
 
 
-def _rows(rows: list[tuple[str, int, float]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64())], ["what", "at", "total"])
+def _rows(rows: list[tuple[str, int, float]], salt: int) -> pa.RecordBatch:
+    """One row for each name, with its totals by index as one value."""
+    totals: dict[str, np.ndarray] = {}
+    for what, at, x in rows:
+        totals.setdefault(what, np.zeros(HEADS + 2))[at] = x
+    return pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([salt % SALTS] * len(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], ["what", "salt", "totals"])
+
+
+_FACTS = "what string, salt int, totals binary"
+
+
+def _add(t: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(x, dtype=np.float64) for x in t["totals"].to_pylist()], axis=0)
+    return pa.table({"what": t["what"].slice(0, 1), "salt": t["salt"].slice(0, 1), "totals": pa.array([total.tobytes()], pa.binary())})
 
 
 def _swept(shape: Shape) -> Callable:
@@ -288,7 +301,7 @@ def _swept(shape: Shape) -> Callable:
                     own = _Bucket(bucket, unzipped(state.as_py()), shape)
                     for k in range(len(shape.tables)):
                         own.sweep(k)
-                    yield _rows([("tables", i, float(x)) for i, x in enumerate(own.tables())])
+                    yield _rows([("tables", i, float(x)) for i, x in enumerate(own.tables())], bucket)
 
     return run
 
@@ -351,10 +364,10 @@ def _score(shape: Shape, heads: np.ndarray) -> Callable:
 
 
 def _sums(rows: DataFrame) -> dict[str, np.ndarray]:
-    """Totals by name: HEADS + 2 values at most for each."""
+    """Totals by name: SALTS partial sums of HEADS + 2 values for each come to the driver."""
     out: dict[str, np.ndarray] = {}
-    for r in rows.groupBy("what", "at").agg(F.sum("total").alias("total")).collect():
-        out.setdefault(r["what"], np.zeros(HEADS + 2))[r["at"]] = r["total"]
+    for r in rows.groupBy("what", "salt").applyInArrow(_add, _FACTS).collect():
+        out[r["what"]] = out.get(r["what"], np.zeros(HEADS + 2)) + np.frombuffer(bytes(r["totals"]), dtype=np.float64)
     return out
 
 
@@ -366,7 +379,7 @@ def score(docs: DataFrame) -> DataFrame:
     top = frequent.orderBy(F.desc("count"), "word").limit(HEADS).collect()
     heads = np.sort(np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64))
     state = cut(dealt(texts.mapInArrow(_ask(buckets, heads), "pack long, bucket int, asked binary"), buckets).mapInArrow(_merge, "pack long, bucket int, state binary"))
-    facts = _sums(state.mapInArrow(_facts, "what string, at int, total double"))
+    facts = _sums(state.mapInArrow(_facts, _FACTS))
     zero = np.zeros(HEADS + 2)
     customers, tables = facts.get("customers", zero)[: HEADS + 1], facts.get("tables", zero).copy()
     tokens, vocabulary = int(facts.get("tokens", zero)[0]), int(facts.get("words", zero)[0])
@@ -374,7 +387,7 @@ def score(docs: DataFrame) -> DataFrame:
     discount, root_discount = (min(0.95, max(0.05, (x[1] + 1) / (x[1] + 2 * x[2] + 2))) for x in (facts.get("of", zero), facts.get("root_of", zero)))
     shape = Shape(customers, tables, int(tokens - customers.sum()), tokens, vocabulary, discount, root_discount)
     for _ in range(BURN_IN + SAMPLES):
-        shape.tables.append(_sums(state.mapInArrow(_swept(shape), "what string, at int, total double")).get("tables", zero))
+        shape.tables.append(_sums(state.mapInArrow(_swept(shape), _FACTS)).get("tables", zero))
     answers = state.mapInArrow(_reply(shape), "pack long, bucket int, answer binary").groupBy("pack").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
     joined = texts.join(answers, "pack", "left").select("texts", "answers")
     return joined.mapInArrow(_score(shape, heads), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
