@@ -1,16 +1,18 @@
 """Hierarchical Pitman-Yor language model of words, its seating sampled by Gibbs.
 
 The root restaurant serves all words over a uniform base of V + 1 dishes, one of them for all unknown words.
-Each of the HEADS most frequent words, and the beginning of a text, is a context with a restaurant of its own,
-and all of these share the root as parent; a token after any other word is a customer of the root itself.
-
-Texts are packed; each pack asks once for each distinct word and each distinct (context, word) pair it
-holds, with their training counts. A bucket of words keeps all their counts and samples, sweep by sweep, how
-many tables serve a word in each restaurant: from the exact conditional of the table count (generalised
-Stirling numbers times the parent's predictive probability) for up to EXACT customers, and by seating
-growing groups of customers beyond. Between sweeps only the number of tables of each restaurant, HEADS + 2
-sums, passes the driver; a bucket replays its sweeps from their seeds. The predictive probabilities of the
-last SAMPLES sweeps are averaged and sent back to the packs, which add their logarithms up by text.
+Every word of the training texts, and the beginning of a text, is a context with a restaurant of its own, and
+all of these share the root as parent. There is no level above one word of history.
+
+Texts are packed. Each pack asks once for each distinct (context, word) pair, dealt by the hash of both, and
+the first pack that holds a pair in training learns its count; packs then ask for their distinct words, with
+the pairs they were first for. A pair with one customer has one table for good, so only pairs of two or more
+are rows of the sampler, and so are the words found twice or more. A sweep samples how many tables serve a
+word in each restaurant, all at once given the sums of the last sweep: from the exact conditional of the table
+count (generalised Stirling numbers times the parent's predictive probability) for up to EXACT customers, and
+by seating growing groups of customers beyond. Sums by context and by word stay in distributed tables; a few
+totals pass the driver. The last SAMPLES sweeps are averaged and sent back to the packs, which add the
+logarithms up by text.
 
 Defined edge cases: a null or blank text is its end token alone; with no training text every word is unknown
 and V is 0; very long texts make one large pack; a null doc_id trains, as its remainder is not HELD_OUT's; rows
@@ -22,22 +24,23 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, span_hash, table, words
+from .common import cut, lower_ascii, mix, span_hash, table, words
 from .packs import bucket_count, by_bucket, dealt, edges, packed, unpack, unzipped, zipped
 
+#: Contexts of the in-memory _Bucket; the query has no such bound.
 HEADS = 255
 BURN_IN, SAMPLES = 2, 3
 STRENGTH, ROOT_STRENGTH = 1.0, 10.0
 EXACT = 64
-SALTS = 16
 SEED = 29
-END = np.uint64(0x0123456789ABCDEF)
+END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0x0F1E2D3C4B5A6978)
 
 
 def is_held_out(ids: np.ndarray, is_null: np.ndarray) -> np.ndarray:
@@ -57,123 +60,195 @@ def _tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, np.repeat(np.arange(n), count) if n else owner
 
 
-def _contexts(tokens: np.ndarray, owner: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """0 at the beginning of a text, 1 + rank of the head word before, or -1."""
-    out = np.full(len(tokens), -1, dtype=np.int64)
-    if len(tokens) > 1 and len(heads):
-        at = np.minimum(np.searchsorted(heads, tokens[:-1]), len(heads) - 1)
-        out[1:] = np.where(heads[at] == tokens[:-1], at + 1, -1)
-    begin = np.ones(len(tokens), dtype=bool)
-    begin[1:] = owner[1:] != owner[:-1]
-    out[begin] = 0
-    return out
+def _pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(context ^ np.uint64(0x5851F42D4C957F2D)) + word)
 
 
 class _Pack:
-    """Distinct words and (word, context) pairs of a pack, in order of hash, with training counts."""
+    """Distinct words of a pack in order of hash, contexts among them, with training counts."""
 
-    def __init__(self, blob: bytes, heads: np.ndarray | None) -> None:
+    def __init__(self, blob: bytes) -> None:
         self.ids, self.is_null, offsets, data = unpack(blob)
         tokens, self.owner = _tokens(offsets, data)
+        before = np.full(len(tokens), BEGIN, dtype=np.uint64)
+        before[1:] = np.where(self.owner[1:] == self.owner[:-1], tokens[:-1], BEGIN)
         self.held_out = is_held_out(self.ids, self.is_null)
+        self.words, at = np.unique(np.concatenate([tokens, before]), return_inverse=True)
+        self.word, context = at[: len(tokens)], at[len(tokens) :]
         trained = ~self.held_out[self.owner]
-        self.words, self.word = np.unique(tokens, return_inverse=True)
         self.count = np.bincount(self.word[trained], minlength=len(self.words))
-        if heads is not None:
-            context = _contexts(tokens, self.owner, heads)
-            self.in_context = context >= 0
-            key = self.word * (HEADS + 1) + context
-            self.pairs, self.pair = np.unique(key[self.in_context], return_inverse=True)
-            self.pair_count = np.bincount(self.pair[trained[self.in_context]], minlength=len(self.pairs))
+        # Distinct pairs in order of their hash.
+        pairs, pair = np.unique(self.word * len(self.words) + context, return_inverse=True)
+        own = np.bincount(pair[trained], minlength=len(pairs))
+        word, context = np.divmod(pairs, len(self.words))
+        value = _pair_hash(self.words[context], self.words[word])
+        order = np.argsort(value, kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        self.pair, self.pair_value, self.pair_count, self.pair_word, self.pair_context = rank[pair], value[order], own[order], word[order], context[order]
+
+
+_ROW = "pack long, bucket int, data binary"
+
+
+def _sent(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([zipped(r[2]) for r in rows], pa.binary())], ["pack", "bucket", "data"])
+
+
+def _parts(value: np.ndarray, buckets: int, columns: tuple[np.ndarray, ...]) -> Iterator[tuple[int, bytes]]:
+    """Each bucket's share of columns beside sorted hashes."""
+    cut_at = edges(value >> np.uint64(17), buckets)
+    for i in np.flatnonzero(np.diff(cut_at)).tolist():
+        yield i, _blob(*[c[cut_at[i] : cut_at[i + 1]] for c in columns])
+
 
+def _blob(*columns: np.ndarray) -> bytes:
+    return np.array([len(columns[0])], dtype=np.int64).tobytes() + b"".join(c.tobytes() for c in columns)
 
-def _count_words(buckets: int) -> Callable:
+
+def _read(raw: bytes, *kinds) -> list[np.ndarray]:
+    n, at, out = int(np.frombuffer(raw, dtype=np.int64, count=1)[0]), 8, []
+    for kind in kinds:
+        out.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def _joined(blobs: list[bytes], *kinds) -> tuple[list[int], list[np.ndarray]]:
+    """Lengths and joined columns of blobs."""
+    parts = [_read(unzipped(x), *kinds) for x in blobs]
+    return [len(p[0]) for p in parts], [np.concatenate([p[k] for p in parts]) if parts else np.empty(0, dtype=kind) for k, kind in enumerate(kinds)]
+
+
+def _ask_pairs(buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for pack, blob in zip(b.column("pack").to_pylist(), b.column("texts")):
-                p = _Pack(blob.as_py(), None)
-                own = np.flatnonzero(p.count)
-                value, count = p.words[own], p.count[own]
-                cut_at = edges(value >> np.uint64(17), buckets)
-                full = np.flatnonzero(np.diff(cut_at)).tolist()
-                blobs = [zipped(value[cut_at[i] : cut_at[i + 1]].tobytes() + count[cut_at[i] : cut_at[i + 1]].astype(np.int32).tobytes()) for i in full]
-                yield pa.RecordBatch.from_arrays([pa.array([pack] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["pack", "bucket", "counts"])
+                p = _Pack(blob.as_py())
+                yield _sent([(pack, i, x) for i, x in _parts(p.pair_value, buckets, (p.pair_value, p.pair_count.astype(np.int32)))])
 
     return run
 
 
-def _most_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The HEADS most frequent words of a bucket."""
-    for _, _, blobs in by_bucket(batches, "counts"):
-        raw = [unzipped(x) for x in blobs]
-        n = [len(x) // 12 for x in raw]
-        value = np.concatenate([np.frombuffer(x, dtype=np.uint64, count=k) for x, k in zip(raw, n)])
-        count = np.concatenate([np.frombuffer(x, dtype=np.int32, offset=8 * k) for x, k in zip(raw, n)]).astype(np.int64)
+def _merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each bucket a row (pack -1) with its counts, then for each pack where its pairs are among them, and the count of those it is first to train."""
+    for bucket, held, blobs in by_bucket(batches, "data"):
+        lengths, (value, own) = _joined(blobs, np.uint64, np.int32)
         unique, where = np.unique(value, return_inverse=True)
-        total = np.bincount(where, weights=count).astype(np.int64)
-        top = np.lexsort((unique, -total))[:HEADS]
-        yield pa.RecordBatch.from_arrays([pa.array(unique[top].view(np.int64)), pa.array(total[top])], ["word", "count"])
+        count = np.bincount(where, weights=own, minlength=len(unique)).astype(np.int64)
+        trained = np.flatnonzero(own)
+        known, first = np.unique(where[trained], return_index=True)
+        told = np.zeros(len(value), dtype=np.int64)
+        told[trained[first]] = count[known]
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        yield _sent([(-1, bucket, _blob(count))])
+        for k, pack in enumerate(held):
+            w = where[at[k] : at[k + 1]]
+            yield _sent([(pack, bucket, _blob(np.diff(w, prepend=0).astype(np.int32), told[at[k] : at[k + 1]]))])
 
 
-def _ask(buckets: int, heads: np.ndarray) -> Callable:
+def _ask_words(buckets: int) -> Callable:
+    """Words with their counts and the pairs the pack is first for, by context and by word; pairs of two or more customers in bucket -1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for pack, blob in zip(b.column("pack").to_pylist(), b.column("texts")):
-                p = _Pack(blob.as_py(), heads)
-                cut_at = edges(p.words >> np.uint64(17), buckets)
-                pair_at = np.searchsorted(p.pairs, cut_at * (HEADS + 1))
-                full = np.flatnonzero(np.diff(cut_at)).tolist()
-                blobs = []
-                for i in full:
-                    w, q = slice(cut_at[i], cut_at[i + 1]), slice(pair_at[i], pair_at[i + 1])
-                    pairs = p.pairs[q] - cut_at[i] * (HEADS + 1)
-                    head = np.array([w.stop - w.start, q.stop - q.start], dtype=np.int64)
-                    blobs.append(zipped(head.tobytes() + p.words[w].tobytes() + p.count[w].astype(np.int64).tobytes() + pairs.astype(np.int64).tobytes() + p.pair_count[q].astype(np.int64).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([pack] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["pack", "bucket", "asked"])
+            for pack, blob, answers in zip(b.column("pack").to_pylist(), b.column("texts"), b.column("answers")):
+                p = _Pack(blob.as_py())
+                got = sorted(answers.as_py() or [], key=lambda x: x["bucket"])
+                parts = [_read(unzipped(x["data"]), np.int32, np.int64) for x in got]
+                if not parts:
+                    continue
+                of = np.repeat(np.array([x["bucket"] for x in got], dtype=np.int32), [len(q[0]) for q in parts])
+                at, told = np.concatenate([np.cumsum(q[0], dtype=np.int64) for q in parts]), np.concatenate([q[1] for q in parts])
+                n, first = len(p.words), np.flatnonzero(told)
+                as_context, as_dish = (np.bincount(x[first], minlength=n) for x in (p.pair_context, p.pair_word))
+                yield _sent([(pack, i, x) for i, x in _parts(p.words, buckets, (p.words, p.count, as_context, as_dish))])
+                live = np.flatnonzero(told > 1)
+                if len(live):
+                    yield _sent([(pack, -1, _blob(p.words[p.pair_context[live]], p.words[p.pair_word[live]], of[live], at[live], told[live]))])
 
     return run
 
 
-def _read(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(raw, dtype=np.int64, count=2).tolist()
-    at = 16
-    out = []
-    for kind, k in ((np.uint64, n), (np.int64, n), (np.int64, m), (np.int64, m)):
-        out.append(np.frombuffer(raw, dtype=kind, count=k, offset=at))
-        at += 8 * k
-    return tuple(out)  # type: ignore[return-value]
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each bucket a row (pack -1) with its counts, then a row for each pack with where its questions are among them."""
-    for bucket, held, blobs in by_bucket(batches, "asked"):
-        parts = [_read(unzipped(x)) for x in blobs]
-        value, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        count = np.bincount(where, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-        at = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
-        keys = np.concatenate([where[at[k] + p[2] // (HEADS + 1)] * (HEADS + 1) + p[2] % (HEADS + 1) for k, p in enumerate(parts)])
-        pairs, which = np.unique(keys, return_inverse=True)
-        pair_count = np.bincount(which, weights=np.concatenate([p[3] for p in parts]), minlength=len(pairs)).astype(np.int64)
-        head = np.array([len(value), len(pairs)], dtype=np.int64)
-        rows = [(-1, zipped(head.tobytes() + value.tobytes() + count.tobytes() + pairs.tobytes() + pair_count.tobytes()))]
-        pair_at = np.concatenate([[0], np.cumsum([len(p[2]) for p in parts])])
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for x in b.column("data"):
+            context, word, bucket, at, n = _read(unzipped(x.as_py()), np.int64, np.int64, np.int32, np.int64, np.int64)
+            for i in range(0, len(n), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in (context, word, bucket, at, n)], ["context", "word", "bucket", "at", "n"])
+
+
+def _merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each bucket a row (pack -1) with its words, then for each pack where its words are among them."""
+    for bucket, held, blobs in by_bucket(batches, "data"):
+        lengths, (value, *own) = _joined(blobs, np.uint64, np.int64, np.int64, np.int64)
+        unique, where = np.unique(value, return_inverse=True)
+        yield _sent([(-1, bucket, _blob(unique, *[np.bincount(where, weights=x, minlength=len(unique)).astype(np.int64) for x in own]))])
+        at = np.concatenate([[0], np.cumsum(lengths)])
         for k, pack in enumerate(held):
-            w, q = where[at[k] : at[k + 1]], which[pair_at[k] : pair_at[k + 1]]
-            steps = [np.diff(x, prepend=0).astype(np.int32).tobytes() for x in (w, q)]
-            rows.append((pack, zipped(np.array([len(w), len(q)], dtype=np.int64).tobytes() + steps[0] + steps[1])))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["pack", "bucket", "state"])
+            yield _sent([(pack, bucket, _blob(np.diff(where[at[k] : at[k + 1]], prepend=0).astype(np.int32)))])
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words whose seating can change: all that are found twice or more, and the beginning."""
+    for b in batches:
+        for x in b.column("data"):
+            word, count, as_context, as_dish = _read(unzipped(x.as_py()), np.int64, np.int64, np.int64, np.int64)
+            own = np.flatnonzero((count > 1) | (word.view(np.uint64) == BEGIN))
+            for i in range(0, len(own), 1 << 16):
+                k = own[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(c[k]) for c in (word, as_context, as_dish)], ["word", "as_context", "as_dish"])
+
+
+def _facts(column: int) -> Callable:
+    """Sum and numbers of counts above 0, of 1 and of 2 of each row with a bucket's counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column("data"):
+                count = _read(unzipped(x.as_py()), *[np.int64] * (column + 1))[column]
+                yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in (count.sum(), (count > 0).sum(), (count == 1).sum(), (count == 2).sum())], ["total", "some", "ones", "twos"])
+
+    return run
+
+
+def _counted(rows: DataFrame, column: int) -> tuple[int, int, int, int]:
+    found = rows.mapInArrow(_facts(column), "total long, some long, ones long, twos long")
+    return tuple(int(x or 0) for x in found.agg(*[F.sum(c) for c in found.columns]).first())
+
 
+def root_probability(customers: np.ndarray, tables: np.ndarray, all_customers: float, all_tables: float, vocabulary: int, discount: float) -> np.ndarray:
+    """Predictive probability of words in the root."""
+    fresh = (ROOT_STRENGTH + discount * all_tables) / (vocabulary + 1)
+    return (np.maximum(customers - discount * tables, 0.0) + fresh) / (ROOT_STRENGTH + all_customers)
 
+
+@dataclass
 class Shape:
-    """What all buckets share: customers of each context, tables of each restaurant after each sweep, and totals.
+    """What a _Bucket shares with others: customers and tables of each context, the root's tables last, and totals."""
 
-    Index 0 to HEADS are contexts, HEADS + 1 is the root.
-    """
+    customers: np.ndarray
+    tables: np.ndarray
+    direct: int
+    tokens: int
+    vocabulary: int
+    discount: float
+    root_discount: float
+
+
+class _Bucket:
+    """Words with their counts and one table for each pair, in memory."""
 
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, direct: int, tokens: int, vocabulary: int, discount: float, root_discount: float) -> None:
-        self.customers, self.tables, self.direct = customers, [tables], direct
-        self.tokens, self.vocabulary = tokens, vocabulary
-        self.discount, self.root_discount = discount, root_discount
+    def __init__(self, bucket: int, raw: bytes, shape: Shape) -> None:
+        n, m = np.frombuffer(raw, dtype=np.int64, count=2).tolist()
+        self.count, self.shape = np.frombuffer(raw, dtype=np.int64, count=n, offset=16 + 8 * n), shape
+        pairs, own = np.frombuffer(raw, dtype=np.int64, count=2 * m, offset=16 + 16 * n).reshape(2, m)
+        word = pairs // (HEADS + 1)
+        self.customers = self.count + np.bincount(word, weights=np.minimum(own, 1) - own, minlength=n)
+
+    def root(self, tables: np.ndarray) -> np.ndarray:
+        s = self.shape
+        return root_probability(self.customers, np.minimum(self.customers, 1), s.direct + tables[: HEADS + 1].sum(), tables[HEADS + 1], s.vocabulary, s.root_discount)
 
 
 def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
@@ -220,177 +295,184 @@ def sample_tables(count: np.ndarray, others: np.ndarray, parent: np.ndarray, str
     return out
 
 
-class _Bucket:
-    def __init__(self, bucket: int, raw: bytes, shape: Shape) -> None:
-        self.value, self.count, pairs, self.pair_count = _read(raw)
-        self.word, self.context = pairs // (HEADS + 1), pairs % (HEADS + 1)
-        self.direct = self.count - np.bincount(self.word, weights=self.pair_count, minlength=len(self.count)).astype(np.int64)
-        self.shape, self.bucket = shape, bucket
-        self.pair_tables = np.minimum(self.pair_count, 1)
-        self.root_tables = np.minimum(self._root_customers(), 1)
-        self.stirling = log_stirling(shape.discount), log_stirling(shape.root_discount)
+@dataclass
+class Totals:
+    vocabulary: int
+    discount: float
+    root_discount: float
+    customers: float
+    tables: float
 
-    def _root_customers(self) -> np.ndarray:
-        return self.direct + np.bincount(self.word, weights=self.pair_tables, minlength=len(self.count)).astype(np.int64)
+    def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return root_probability(customers, tables, self.customers, self.tables, self.vocabulary, self.root_discount)
 
-    def root(self, tables: np.ndarray) -> np.ndarray:
-        """Predictive probability of each word in the root."""
-        s = self.shape
-        fresh = (ROOT_STRENGTH + s.root_discount * tables[HEADS + 1]) / (s.vocabulary + 1)
-        own = np.maximum(self._root_customers() - s.root_discount * self.root_tables, 0.0)
-        return (own + fresh) / (ROOT_STRENGTH + s.direct + tables[: HEADS + 1].sum())
 
-    def paired(self, tables: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """Predictive probability of each pair's word in its context's restaurant."""
-        s = self.shape
-        own = np.maximum(self.pair_count - s.discount * self.pair_tables, 0.0)
-        return (own + (STRENGTH + s.discount * tables[self.context]) * root[self.word]) / (STRENGTH + s.customers[self.context])
+def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [b.column(c).to_numpy(zero_copy_only=False) for c in names]
 
-    def sweep(self, k: int) -> None:
-        s, tables = self.shape, self.shape.tables[k]
-        rng = np.random.default_rng([SEED, self.bucket, k])
-        root = self.root(tables)
-        self.pair_tables = sample_tables(self.pair_count, np.maximum(tables[self.context] - self.pair_tables, 0), root[self.word], STRENGTH, s.discount, self.stirling[0], rng)
-        base = np.full(len(self.count), 1.0 / (s.vocabulary + 1))
-        self.root_tables = sample_tables(self._root_customers(), np.maximum(tables[HEADS + 1] - self.root_tables, 0), base, ROOT_STRENGTH, s.root_discount, self.stirling[1], rng)
 
-    def tables(self) -> np.ndarray:
-        out = np.bincount(self.context, weights=self.pair_tables, minlength=HEADS + 2)
-        out[HEADS + 1] = self.root_tables.sum()
-        return out
+def _rng(sweep: int, b: pa.RecordBatch, *names: str) -> np.random.Generator:
+    """Seeded by the sweep and the first row of a batch, whose rows are sorted."""
+    return np.random.default_rng([SEED, sweep, *[b.column(c)[0].as_py() % (1 << 64) for c in names]])
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over a bucket: (what, salt, totals)."""
-    for b in batches:
-        for pack, bucket, state in zip(b.column("pack").to_pylist(), b.column("bucket").to_pylist(), b.column("state")):
-            if pack != -1:
+def _sample_pairs(totals: Totals, sweep: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stirling = log_stirling(totals.discount)
+        for b in batches:
+            if not b.num_rows:
                 continue
-            value, count, pairs, pair_count = _read(unzipped(state.as_py()))
-            context = pairs % (HEADS + 1)
-            customers = np.bincount(context, weights=pair_count, minlength=HEADS + 1)
-            tables = np.bincount(context[pair_count > 0], minlength=HEADS + 1)
-            rows = [("customers", i, float(x)) for i, x in enumerate(customers)] + [("tables", i, float(x)) for i, x in enumerate(tables)]
-            rows += [("tokens", 0, float(count.sum())), ("words", 0, float((count > 0).sum()))]
-            for name, c in (("of", pair_count), ("root_of", count)):
-                rows += [(name, i, float((c == i).sum())) for i in (1, 2)]
-            yield _rows(rows, bucket)
-
+            n, t, here, customers, tables, own = _columns(b, "n", "t", "here", "customers", "tables", "own")
+            t = sample_tables(n, np.maximum(here - t, 0), totals.root(customers, tables), STRENGTH, totals.discount, stirling, _rng(sweep, b, "context", "word"))
+            if sweep >= BURN_IN:
+                own = own + np.maximum(n - totals.discount * t, 0.0) / SAMPLES
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("context", "word", "bucket", "at", "n")], pa.array(t), pa.array(own)], ["context", "word", "bucket", "at", "n", "t", "own"])
 
-def _rows(rows: list[tuple[str, int, float]], salt: int) -> pa.RecordBatch:
-    """One row for each name, with its totals by index as one value."""
-    totals: dict[str, np.ndarray] = {}
-    for what, at, x in rows:
-        totals.setdefault(what, np.zeros(HEADS + 2))[at] = x
-    return pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([salt % SALTS] * len(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], ["what", "salt", "totals"])
+    return run
 
 
-_FACTS = "what string, salt int, totals binary"
+def _sample_root(totals: Totals, sweep: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stirling = log_stirling(totals.root_discount)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            customers, tables = _columns(b, "customers", "tables")
+            base = np.full(len(customers), 1.0 / (totals.vocabulary + 1))
+            tables = sample_tables(customers, np.maximum(totals.tables - tables, 0), base, ROOT_STRENGTH, totals.root_discount, stirling, _rng(sweep, b, "word"))
+            yield pa.RecordBatch.from_arrays([b.column(c) if c != "tables" else pa.array(tables) for c in b.schema.names], b.schema.names)
 
+    return run
 
-def _add(t: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, dtype=np.float64) for x in t["totals"].to_pylist()], axis=0)
-    return pa.table({"what": t["what"].slice(0, 1), "salt": t["salt"].slice(0, 1), "totals": pa.array([total.tobytes()], pa.binary())})
 
+def _to_buckets(buckets: int | None, key: str, *names: str) -> Callable:
+    """Rows as pieces (pack -2) of the buckets that they belong to: by hash, or as the column bucket says."""
 
-def _swept(shape: Shape) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for pack, bucket, state in zip(b.column("pack").to_pylist(), b.column("bucket").to_pylist(), b.column("state")):
-                if pack == -1:
-                    own = _Bucket(bucket, unzipped(state.as_py()), shape)
-                    for k in range(len(shape.tables)):
-                        own.sweep(k)
-                    yield _rows([("tables", i, float(x)) for i, x in enumerate(own.tables())], bucket)
+            if not b.num_rows:
+                continue
+            columns = _columns(b, *names)
+            if buckets:
+                value = columns[0].view(np.uint64)
+                order = np.argsort(value)
+                yield _sent([(-2, i, x) for i, x in _parts(value[order], buckets, tuple(c[order] for c in columns))])
+            else:
+                of = b.column(key).to_numpy()
+                order = np.argsort(of, kind="stable")
+                ends = np.flatnonzero(np.diff(of[order], append=-1)) + 1
+                yield _sent([(-2, int(of[own[0]]), _blob(*[c[own] for c in columns])) for own in np.split(order, ends[:-1])])
 
     return run
 
 
-def _reply(shape: Shape) -> Callable:
-    """For each pack and bucket: the training count and averaged root probability of its words, and the averaged one of its pairs."""
+def _reply_pairs(discount: float) -> Callable:
+    """For each pack and bucket, the averaged customers less discounts of its pairs, by the number -1 - bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, root, paired = None, None, None
-        for b in batches:
-            out = []
-            for pack, bucket, state in zip(b.column("pack").to_pylist(), b.column("bucket").to_pylist(), b.column("state")):
-                raw = unzipped(state.as_py())
-                if pack == -1:
-                    own = _Bucket(bucket, raw, shape)
-                    root, paired = np.zeros(len(own.count)), np.zeros(len(own.word))
-                    for k in range(BURN_IN + SAMPLES):
-                        own.sweep(k)
-                        if k >= BURN_IN:
-                            now = own.root(shape.tables[k + 1])
-                            root += now / SAMPLES
-                            paired += own.paired(shape.tables[k + 1], now) / SAMPLES
-                    continue
-                n, m = np.frombuffer(raw, dtype=np.int64, count=2).tolist()
-                w = np.cumsum(np.frombuffer(raw, dtype=np.int32, count=n, offset=16), dtype=np.int64)
-                q = np.cumsum(np.frombuffer(raw, dtype=np.int32, count=m, offset=16 + 4 * n), dtype=np.int64)
-                answer = np.array([n, m], dtype=np.int64).tobytes() + own.count[w].tobytes() + np.log10(root[w]).astype(np.float32).tobytes() + np.log10(paired[q]).astype(np.float32).tobytes()
-                out.append((pack, bucket, zipped(answer)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], ["pack", "bucket", "answer"])
+        for bucket, held, blobs in by_bucket(batches, "data"):
+            sampled = held.count(-2)
+            _, (at, value) = _joined(blobs[:sampled], np.int64, np.float64)
+            own = np.maximum(_read(unzipped(blobs[sampled]), np.int64)[0] - discount, 0.0)
+            own[at] = value
+            yield _sent([(pack, -1 - bucket, _blob(own[np.cumsum(_read(unzipped(x), np.int32)[0], dtype=np.int64)].astype(np.float32))) for pack, x in zip(held[sampled + 1 :], blobs[sampled + 1 :])])
 
     return run
 
 
-def _score(shape: Shape, heads: np.ndarray) -> Callable:
+def _reply_words(samples: list[Totals]) -> Callable:
+    """For each pack and bucket, the counts of its words, and in each sample their root probability and their tables as contexts."""
+    kinds = [np.uint64, *[np.int64] * (3 * len(samples))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, held, blobs in by_bucket(batches, "data"):
+            sampled = held.count(-2)
+            _, (word, *drawn) = _joined(blobs[:sampled], *kinds)
+            value, count, as_context, as_dish = _read(unzipped(blobs[sampled]), np.uint64, np.int64, np.int64, np.int64)
+            at, facts = np.searchsorted(value, word), []
+            for k, totals in enumerate(samples):
+                customers, tables, here = as_dish.copy(), np.minimum(as_dish, 1), as_context.copy()
+                customers[at], tables[at], here[at] = drawn[3 * k : 3 * k + 3]
+                facts += [totals.root(customers, tables).astype(np.float32), here.astype(np.float32)]
+            for pack, x in zip(held[sampled + 1 :], blobs[sampled + 1 :]):
+                w = np.cumsum(_read(unzipped(x), np.int32)[0], dtype=np.int64)
+                yield _sent([(pack, bucket, _blob(count[w], *[f[w] for f in facts]))])
+
+    return run
+
+
+def _score(tokens: int, vocabulary: int, discount: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob, answers in zip(b.column("texts"), b.column("answers")):
-                p = _Pack(blob.as_py(), heads)
-                count, root, paired = [], [], []
-                for x in sorted(answers.as_py() or [], key=lambda x: x["bucket"]):
-                    raw = unzipped(x["answer"])
-                    n, m = np.frombuffer(raw, dtype=np.int64, count=2).tolist()
-                    count.append(np.frombuffer(raw, dtype=np.int64, count=n, offset=16))
-                    root.append(np.frombuffer(raw, dtype=np.float32, count=n, offset=16 + 8 * n))
-                    paired.append(np.frombuffer(raw, dtype=np.float32, count=m, offset=16 + 12 * n))
-                count, root, paired = np.concatenate(count), np.concatenate(root), np.concatenate(paired)
-                n = len(p.ids)
-                logs = root[p.word].astype(np.float64)
-                logs[p.in_context] = paired[p.pair]
-                known = count[p.word]
-                base = np.log10((known + 1.0) / (shape.tokens + 1.0 * (shape.vocabulary + 1)))
+                p = _Pack(blob.as_py())
+                got = answers.as_py() or []
+                of_words = [x["data"] for x in sorted((x for x in got if x["bucket"] >= 0), key=lambda x: x["bucket"])]
+                of_pairs = [x["data"] for x in sorted((x for x in got if x["bucket"] < 0), key=lambda x: -x["bucket"])]
+                _, (own,) = _joined(of_pairs, np.float32)
+                _, (count, *facts) = _joined(of_words, np.int64, *[np.float32] * (2 * SAMPLES))
+                # Every training text has one beginning and one end, and every other word is followed as often as it is found.
+                customers = np.where(p.words == BEGIN, count[np.searchsorted(p.words, END)], count)
+                c, w = p.pair_context, p.pair_word
+                fresh = np.mean([(STRENGTH + discount * facts[2 * k + 1][c].astype(np.float64)) * facts[2 * k][w] for k in range(SAMPLES)], axis=0)
+                logs = np.log10((own + fresh) / (STRENGTH + customers[c]))[p.pair]
+                n, known = len(p.ids), count[p.word]
+                base = np.log10((known + 1.0) / (tokens + 1.0 * (vocabulary + 1)))
                 add = lambda x: np.bincount(p.owner, weights=x, minlength=n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.ids, mask=p.is_null.astype(bool)), pa.array(p.held_out), pa.array(np.bincount(p.owner, minlength=n)), pa.array(np.bincount(p.owner[known > 0], minlength=n)), pa.array(np.full(n, shape.tokens)), pa.array(add(base)), pa.array(add(logs))],
+                    [pa.array(p.ids, mask=p.is_null.astype(bool)), pa.array(p.held_out), pa.array(np.bincount(p.owner, minlength=n)), pa.array(np.bincount(p.owner[known > 0], minlength=n)), pa.array(np.full(n, tokens)), pa.array(add(base)), pa.array(add(logs))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
     return run
 
 
-def _sums(rows: DataFrame) -> dict[str, np.ndarray]:
-    """Totals by name: SALTS partial sums of HEADS + 2 values for each come to the driver."""
-    out: dict[str, np.ndarray] = {}
-    for r in rows.groupBy("what", "salt").applyInArrow(_add, _FACTS).collect():
-        out[r["what"]] = out.get(r["what"], np.zeros(HEADS + 2)) + np.frombuffer(bytes(r["totals"]), dtype=np.float64)
-    return out
+def _answered(texts: DataFrame, answers: DataFrame) -> DataFrame:
+    return texts.join(answers.groupBy("pack").agg(F.collect_list(F.struct("bucket", "data")).alias("answers")), "pack", "left").select("pack", "texts", "answers")
+
+
+def _with_sums(words: DataFrame, live: DataFrame) -> DataFrame:
+    """words with the root's customers of each and its tables as a context, given the tables of pairs."""
+    more = F.sum(F.col("t") - 1)
+    sums = live.groupBy("word").agg(more.alias("more")).join(live.groupBy(F.col("context").alias("word")).agg(more.alias("more_here")), "word", "full")
+    joined = words.join(sums, "word", "left")
+    kept = [c for c in words.columns if c not in ("customers", "here")]
+    return joined.select(*kept, (F.col("as_dish") + F.coalesce("more", F.lit(0))).alias("customers"), (F.col("as_context") + F.coalesce("more_here", F.lit(0))).alias("here"))
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     texts = packed(docs)
     buckets = bucket_count(texts)
-    frequent = dealt(texts.mapInArrow(_count_words(buckets), "pack long, bucket int, counts binary"), buckets).mapInArrow(_most_frequent, "word long, count long")
-    top = frequent.orderBy(F.desc("count"), "word").limit(HEADS).collect()
-    heads = np.sort(np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64))
-    state = cut(dealt(texts.mapInArrow(_ask(buckets, heads), "pack long, bucket int, asked binary"), buckets).mapInArrow(_merge, "pack long, bucket int, state binary"))
-    facts = _sums(state.mapInArrow(_facts, _FACTS))
-    zero = np.zeros(HEADS + 2)
-    customers, tables = facts.get("customers", zero)[: HEADS + 1], facts.get("tables", zero).copy()
-    tokens, vocabulary = int(facts.get("tokens", zero)[0]), int(facts.get("words", zero)[0])
-    tables[HEADS + 1] = vocabulary
-    discount, root_discount = (min(0.95, max(0.05, (x[1] + 1) / (x[1] + 2 * x[2] + 2))) for x in (facts.get("of", zero), facts.get("root_of", zero)))
-    shape = Shape(customers, tables, int(tokens - customers.sum()), tokens, vocabulary, discount, root_discount)
-    for _ in range(BURN_IN + SAMPLES):
-        shape.tables.append(_sums(state.mapInArrow(_swept(shape), _FACTS)).get("tables", zero))
-    answers = state.mapInArrow(_reply(shape), "pack long, bucket int, answer binary").groupBy("pack").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
-    joined = texts.join(answers, "pack", "left").select("texts", "answers")
-    return joined.mapInArrow(_score(shape, heads), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    pairs = cut(dealt(texts.mapInArrow(_ask_pairs(buckets), _ROW), buckets).mapInArrow(_merge_pairs, _ROW))
+    asked = cut(_answered(texts, pairs.where("pack >= 0")).mapInArrow(_ask_words(buckets), _ROW))
+    vocab = cut(dealt(asked.where("bucket >= 0"), buckets).mapInArrow(_merge_words, _ROW))
+    all_pairs, all_words = _counted(pairs.where("pack = -1"), 0), _counted(vocab.where("pack = -1"), 1)
+    discount, root_discount = (min(0.95, max(0.05, (x[2] + 1) / (x[2] + 2 * x[3] + 2))) for x in (all_pairs, all_words))
+    tokens, vocabulary, once = all_words[:3]
+
+    # Words found once stay at one customer and one table of the root; the others, and pairs found twice, are sampled.
+    live = cut(asked.where("bucket < 0").mapInArrow(_live, "context long, word long, bucket int, at long, n long").withColumn("t", F.lit(1).cast("long")).withColumn("own", F.lit(0.0)))
+    several = vocab.where("pack = -1").mapInArrow(_several, "word long, as_context long, as_dish long").select("*", F.least("as_dish", F.lit(1)).alias("tables"))
+    now = cut(_with_sums(several, live))
+    drawn, samples = [], []
+    totals = lambda: Totals(vocabulary, discount, root_discount, *(float(x or 0) + once for x in now.agg(F.sum("customers"), F.sum("tables")).first()))
+    last = totals()
+    for sweep in range(BURN_IN + SAMPLES):
+        seated = live.join(now.select("word", "customers", "tables"), "word").join(now.select(F.col("word").alias("context"), "here"), "context").sortWithinPartitions("context", "word")
+        live = cut(seated.mapInArrow(_sample_pairs(last, sweep), live.schema))
+        sums = _with_sums(now, live).sortWithinPartitions("word")
+        now = cut(sums.mapInArrow(_sample_root(last, sweep), sums.schema))
+        last = totals()
+        if sweep >= BURN_IN:
+            k = len(samples)
+            samples.append(last)
+            drawn += [f"customers{k}", f"tables{k}", f"here{k}"]
+            now = now.select("*", F.col("customers").alias(f"customers{k}"), F.col("tables").alias(f"tables{k}"), F.col("here").alias(f"here{k}"))
+
+    of_pairs = dealt(pairs.unionAll(live.mapInArrow(_to_buckets(None, "bucket", "at", "own"), _ROW)), buckets).mapInArrow(_reply_pairs(discount), _ROW)
+    of_words = dealt(vocab.unionAll(now.mapInArrow(_to_buckets(buckets, "word", "word", *drawn), _ROW)), buckets).mapInArrow(_reply_words(samples), _ROW)
+    return _answered(texts, of_pairs.unionAll(of_words)).mapInArrow(_score(tokens, vocabulary, discount), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

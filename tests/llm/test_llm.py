@@ -211,6 +211,20 @@ def test_pitman_yor(docs, nothing):
     assert pitman_yor.score(nothing).count() == 0
 
 
+def test_pitman_yor_contexts_of_rare_words(spark):
+    """A word after a rare word is predicted from that word's own restaurant, however many words are more frequent."""
+    common = " ".join(f"c{i} c{i}" for i in range(400))
+    rows = [(i, common) for i in range(20) if zlib.crc32(str(i).encode()) % 7 != 2] + [(100 + i, f"rare{i % 3} follow{i % 3}") for i in range(12)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows += [(held[0], "rare0 follow0"), (held[1], "rare0 follow1")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(pitman_yor.score(texts))
+    assert math.isclose(got[held[0]].base_score, got[held[1]].base_score, abs_tol=0.3)
+    assert got[held[0]].score > got[held[1]].score + 1
+    again = by_id(pitman_yor.score(texts))
+    assert all(again[i].score == r.score for i, r in got.items())
+
+
 def test_pitman_yor_sampler():
     """Sampled table counts follow the exact conditional, and predictive probabilities add up to one."""
     stirling = pitman_yor.log_stirling(0.5)
