@@ -304,6 +304,18 @@ def test_quality_rejects_what_is_unlike(spark):
     assert math.isclose(total.sum(), 1.0, abs_tol=1e-6)
 
 
+def test_quality_rejects_planted_junk(spark):
+    """Shouted words and table cells between prose, which are far less unlike it than random letters."""
+    rng = np.random.default_rng(2)
+    parts = "the ing ent er an on re st al ion to ar in it".split()
+    say = lambda: ["".join(rng.choice(parts, 3)) for _ in range(80)]
+    rows = [(i, " ".join(say()), "en") for i in range(300)]
+    rows += [(900 + i, " ".join(f"{w.upper()}!!" if k % 4 < 2 else w for k, w in enumerate(say())), "en") for i in range(5)]
+    rows += [(910 + i, " ".join(f"| {w} |" if k % 8 == 0 else w for k, w in enumerate(say())), "en") for i in range(5)]
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(kept[i] for i in kept if i >= 900) and sum(kept[i] for i in range(300)) >= 297
+
+
 def test_media(spark):
     rng = np.random.default_rng(0)
     images = [media.drawn(rng.normal(size=64)) for _ in range(30)]
