@@ -316,6 +316,17 @@ def test_quality_rejects_planted_junk(spark):
     assert not any(kept[i] for i in kept if i >= 900) and sum(kept[i] for i in range(300)) >= 297
 
 
+@pytest.mark.parametrize("n, lang", [(1, "xx"), (1, None), (29, "xx"), (31, "xx"), (31, None)])
+def test_quality_rejects_junk_of_its_own_lang(spark, n, lang):
+    """Gibberish is not kept for its null or rare lang, nor for a model of itself, however few or many rows it has."""
+    rng = np.random.default_rng(4)
+    parts = "the ing ent er an on re st al ion to ar in it".split()
+    rows = [(i, " ".join("".join(rng.choice(parts, 3)) for _ in range(80)), "en") for i in range(300)]
+    rows += [(900 + i, " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 9)) for _ in range(80)), lang) for i in range(n)]
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(kept[i] for i in kept if i >= 900) and sum(kept[i] for i in range(300)) >= 297
+
+
 def test_media(spark):
     rng = np.random.default_rng(0)
     images = [media.drawn(rng.normal(size=64)) for _ in range(30)]
