@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import citations, is_refusal, lexical_tokens
+from ..functions.text import citations, dot, is_refusal, lexical_tokens
 from ..operators import chunking, retrieval
 
 
@@ -106,10 +107,14 @@ class Snapshot:
 
 
 class Engine:
-    """Whole batches of questions (query_id, text[, vector]) against passages (doc_id, text[, vector])."""
+    """Whole batches of questions (query_id, text[, vector]) against passages (doc_id, text[, vector]).
 
-    def __init__(self, passages: DataFrame, config: Config | None = None) -> None:
-        self.passages, self.config = passages, config or Config()
+    reorder, if given, maps the heads of all rankings (query_id, question, rank, doc_id, text) to
+    (query_id, ordering): an array of places from 0; a query without a row keeps its order.
+    """
+
+    def __init__(self, passages: DataFrame, config: Config | None = None, reorder: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        self.passages, self.config, self.reorder = passages, config or Config(), reorder
 
     def retrieve(self, questions: DataFrame) -> DataFrame:
         c = self.config
@@ -118,7 +123,34 @@ class Engine:
         empty = asked.select("query_id", F.lit(None).cast(kind).alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
         lexical = retrieval.bm25(asked, self.passages, c.lexical_k, c.stemmed, c.truncate) if c.fusion != "dense_only" else empty
         dense = retrieval.dense(asked, self.passages, c.dense_k) if c.fusion != "lexical_only" else empty
-        return retrieval.fuse(dense, lexical, c.fusion, c.rrf_k, c.alpha, c.top_k)
+        diverse = c.use_mmr and "vector" in self.passages.columns and "vector" in asked.columns
+        if not self.reorder and not diverse:
+            return retrieval.fuse(dense, lexical, c.fusion, c.rrf_k, c.alpha, c.top_k)
+        hits = retrieval.fuse(dense, lexical, c.fusion, c.rrf_k, c.alpha)
+        if self.reorder:
+            hits = self._reranked(hits, asked)
+        if diverse:
+            hits = self._diversified(hits, asked)
+        return hits.where(F.col("rank") <= c.top_k)
+
+    def _reranked(self, hits: DataFrame, asked: DataFrame) -> DataFrame:
+        """The head of each ranking of more than one hit in the order that reorder gives."""
+        c = self.config
+        several = hits.withColumn("n", F.count("*").over(Window.partitionBy("query_id"))).where((F.col("n") > 1) & (F.col("rank") <= c.rerank_head))
+        head = several.select("query_id", "rank", "doc_id").join(self.passages.select("doc_id", "text"), "doc_id").join(asked.select("query_id", F.col("text").alias("question")), "query_id")
+        ordered = retrieval.rerank(hits, self.reorder(head.select("query_id", "question", "rank", "doc_id", "text")), c.rerank_head)
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("new_rank", "rank")).cast("long")
+        return ordered.select(*[place.alias("rank") if x == "rank" else x for x in hits.columns])
+
+    def _diversified(self, hits: DataFrame, asked: DataFrame) -> DataFrame:
+        """MMR over the first hits of each ranking that has more than top_k."""
+        c = self.config
+        counted = hits.withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+        pool = counted.where((F.col("n") > c.top_k) & (F.col("rank") <= max(c.rerank_head, 3 * c.top_k))).select("query_id", "doc_id", "rank")
+        pool = pool.join(self.passages.select("doc_id", "vector"), "doc_id").join(asked.select("query_id", F.col("vector").alias("query_vector")), "query_id")
+        picked = retrieval.mmr(pool.withColumn("relevance", dot(F.col("query_vector"), F.col("vector"))), c.mmr_trade, c.top_k)
+        kept = counted.join(picked, ["query_id", "doc_id"], "left").where((F.col("n") <= c.top_k) | F.col("step").isNotNull())
+        return kept.select(*[F.coalesce("step", "rank").alias("rank") if x == "rank" else x for x in hits.columns])
 
     def ask(self, questions: DataFrame, generate=None) -> DataFrame:
         """(query_id, abstained, answer, cited): generate maps (query_id, prompt) to (query_id, answer); abstained rows never reach it."""

@@ -137,6 +137,21 @@ def test_files_snapshot_and_engine(spark, tmp_path):
     assert len({c.fingerprint() for c in sweep_configs()}) == len(sweep_configs()) == 10
 
 
+def test_engine_diversifies_and_reranks(spark):
+    vectors = {"a": [1.0, 0.0], "b": [1.0, 0.0], "c": [0.8, 0.6], "d": [0.6, 0.8]}
+    passages = spark.createDataFrame([(k, f"word {k}", v) for k, v in vectors.items()], "doc_id string, text string, vector array<double>")
+    asked = spark.createDataFrame([("q", "word", [1.0, 0.0])], "query_id string, text string, vector array<double>")
+    order = lambda e: [r.doc_id for r in e.retrieve(asked).orderBy("rank").collect()]
+    config = Config(fusion="dense_only", top_k=2)
+    assert order(Engine(passages, config)) == ["a", "b"]
+    # After a, at 0.3: b is worth 0.3 - 0.7 = -0.4, c 0.24 - 0.56 = -0.32, d 0.18 - 0.42 = -0.24.
+    assert order(Engine(passages, Config(fusion="dense_only", top_k=2, use_mmr=True, mmr_trade=0.3))) == ["a", "d"]
+    last_first = lambda head: head.groupBy("query_id").agg(F.count("*").alias("n")).selectExpr("query_id", "transform(sequence(1, cast(n as int)), i -> cast(n as int) - i) AS ordering")
+    assert order(Engine(passages, config, last_first)) == ["d", "c"]
+    assert order(Engine(passages, Config(fusion="dense_only", top_k=3, rerank_head=2), last_first)) == ["b", "a", "c"]
+    assert order(Engine(passages, Config(fusion="dense_only", top_k=4, use_mmr=True), last_first)) == ["d", "c", "b", "a"]
+
+
 def test_streaming(spark, tmp_path):
     texts(spark, "alpha beta " * 50, "gamma").write.parquet(str(tmp_path / "docs"))
     stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "docs"))
