@@ -153,7 +153,9 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     no link reaches the driver. Minima are aggregated before the shuffle, and a hub's links meet its minimum
     in a join of two plain tables, which Spark can split.
     """
+    known = lambda df: df.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     spark_edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    before = known(spark_edges)
     for _ in range(most_rounds):
         # Large star: each node links its larger neighbours to the least of its neighbours and itself.
         both = spark_edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(spark_edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -163,9 +165,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.select(F.col("a").alias("u"), F.col("b").alias("v")).join(low, "u")
         after = cut(small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
-        same = after.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == spark_edges.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        spark_edges = after
-        if same:
+        spark_edges, last, before = after, before, known(after)
+        if last == before:
             break
     else:
         raise RuntimeError("components did not settle")

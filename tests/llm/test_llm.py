@@ -144,6 +144,40 @@ def test_minhash_group_of_edits(spark):
     assert {r.component_id for r in minhash.near_duplicates(docs, 5).collect()} == {0}
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_minhash_family_rows(spark, monkeypatch, block):
+    """Edits of one text that are mostly not linked: as brute force, and no task gives more than a forest."""
+    monkeypatch.setattr(minhash, "FAMILY_BLOCK", block)
+    monkeypatch.setattr(minhash, "LIST_BLOCK", block)
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for x in rng.choice(200, int(rng.integers(2, 8)), replace=False):
+            own[x] = f"e{i}-{x}"
+        rows.append((1000 - i, " ".join(own)))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    root = {i: i for i in sets}
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert 1 < len(set(root.values())) < 60
+    made = []
+    plain = minhash._by_block
+
+    def counted(*args):
+        out = plain(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_by_block", counted)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert {r.doc_id: r.component_id for r in got} == root
+    assert max(made[1:]) <= (60 if block == 1024 else 60 * 8)
+
+
 def test_language(spark, docs, nothing):
     text = {"en": "the house of the man and this is what they have", "de": "das haus und der mann mit einem kind ist nicht da", "fr": "la maison de la femme est dans une rue avec les"}
     rows = [(i, " ".join(np.random.default_rng(i).permutation(text[la].split())), la) for i in range(300) for la in [list(text)[i % 3]]]
