@@ -7,7 +7,6 @@ pack, and the answers are joined to the packs. No row or task grows with how oft
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +15,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, packs, text_bytes
+from .common import cut, packs, text_bytes
 
-PACK_BYTES = 8 << 20
+PACK_BYTES = 4 << 20
+#: Bytes of text for each bucket.
+BUCKET_BYTES = 8 << 20
 #: Stands for a null doc_id, which is later than all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -56,10 +57,10 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return ids, is_null, np.frombuffer(offsets, dtype=np.int64), np.frombuffer(raw, dtype=np.uint8, offset=at + 8 * (n + 1))
 
 
-def edges(short: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's share of sorted 47-bit values begins and ends."""
-    limits = (np.arange(buckets + 1, dtype=np.float64) * (float(1 << 47) / buckets)).astype(np.uint64)
-    limits[-1] = np.uint64(1 << 47)
+def edges(short: np.ndarray, buckets: int, bits: int = 47) -> np.ndarray:
+    """Where each bucket's share of sorted values of so many bits begins and ends."""
+    limits = (np.arange(buckets + 1, dtype=np.float64) * (float(1 << bits) / buckets)).astype(np.uint64)
+    limits[-1] = np.uint64(1 << bits)
     return np.searchsorted(short, limits)
 
 
@@ -79,17 +80,13 @@ def by_bucket(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """A table of (pack, texts) in the shared checkpoint folder."""
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/packs-{uuid.uuid4().hex}"
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack, "pack long, texts binary").write.option("compression", "none").parquet(path)
-    return spark.read.schema("pack long, texts binary").parquet(path)
+    """Rows (pack, texts), checkpointed in the shared folder, so that Spark cleans them up as it does other checkpoints."""
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack, "pack long, texts binary"))
 
 
 def bucket_count(table: DataFrame) -> int:
-    """One bucket for each pack, and no fewer than shuffle partitions."""
-    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), table.count())
+    """A bucket for each BUCKET_BYTES of text, and no fewer than shuffle partitions."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), table.count() * PACK_BYTES // BUCKET_BYTES)
 
 
 def dealt(asked: DataFrame, buckets: int) -> DataFrame:

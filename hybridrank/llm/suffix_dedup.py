@@ -14,8 +14,11 @@ windows meet under one minimizer; a run of neighbouring windows with one minimiz
 5. The answers go back to the packs, which cut the covered bytes out.
 
 A pack sends a string once however often it holds it, so a passage that a third of all documents share
-costs one entry a pack. Blocks of a transform hold whole minimizers; one whose segments exceed BLOCK is cut
-into single windows dealt by their hash, so memory stays bounded.
+costs one entry a pack. Packs also tell about how many runs a minimizer has; where these come to HOT or more
+in all, as when a common phrase stands in ever other surroundings, its runs are cut into single windows, and
+each window is dealt to a bucket by its own hash. So no bucket gets more than HOT segments, by the packs'
+rough counts, of one minimizer. Blocks of a transform hold whole minimizers; one whose segments exceed BLOCK
+is cut into single windows too.
 
 Defined edge cases: a null text is empty; texts shorter than LENGTH keep all bytes; strings never cross
 texts; rows that repeat a doc_id don't count as earlier than one another; a null doc_id counts as later than
@@ -39,6 +42,12 @@ LENGTH = 50
 K = 24
 STEP = 1 << 19
 BLOCK = 1 << 19
+#: Runs of a minimizer from which on it is dealt out window by window.
+HOT = 1 << 14
+#: Bits of a minimizer or window hash; the remaining ones of 48 say whether two documents of a pack have it, and how often.
+BITS = 45
+LEVELS = np.array([1, 4, 32, 256])
+SLICE = 1 << 20
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,15 +88,20 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*parts))  # type: ignore[return-value]
 
 
-def _asked(minimizer: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct minimizers, shortened to their upper 47 bits, and whether two documents of the pack have them."""
-    short = minimizer >> np.uint64(17)
+def _short(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(64 - BITS)
+
+
+def _asked(minimizer: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct minimizers, shortened to BITS, whether two documents of the pack have them, and the level of their number of runs."""
+    short = _short(minimizer)
+    if not len(short):
+        return short, np.empty(0, dtype=bool), np.empty(0, dtype=np.int64)
     order = np.argsort(short, kind="stable")
     short, doc = short[order], doc[order]
-    start = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]])) if len(short) else np.empty(0, np.int64)
-    if not len(start):
-        return short, np.empty(0, dtype=bool)
-    return short[start], np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+    start = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
+    level = np.searchsorted(LEVELS, np.diff(np.append(start, len(short))), side="right") - 1
+    return short[start], np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start), level
 
 
 def _ask(buckets: int):
@@ -96,46 +110,60 @@ def _ask(buckets: int):
             for pack, blob in zip(b.column("pack").to_pylist(), b.column("texts")):
                 ids, _, offsets, data = unpack(blob.as_py())
                 _, _, minimizer, doc = runs(data, offsets)
-                short, several = _asked(minimizer, ids[doc])
-                coded = (short << np.uint64(1) | several.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :6]
-                cut_at = edges(short, buckets)
+                short, several, level = _asked(minimizer, ids[doc])
+                coded = (short << np.uint64(3) | level.astype(np.uint64) << np.uint64(1) | several.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :6]
+                cut_at = edges(short, buckets, BITS)
                 full = np.flatnonzero(np.diff(cut_at))
                 yield pa.RecordBatch.from_arrays([pa.array([pack] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array([coded[cut_at[i] : cut_at[i + 1]].tobytes() for i in full.tolist()], pa.binary())], ["pack", "bucket", "asked"])
 
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bit for each minimizer asked for: whether more than one document has it."""
-    for bucket, held, blobs in by_bucket(batches, "asked"):
-        size = [len(x) // 6 for x in blobs]
-        raw = np.zeros((sum(size), 8), dtype=np.uint8)
-        raw[:, :6] = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, 6)
-        coded = raw.view(np.uint64).ravel()
-        order = np.argsort(coded >> np.uint64(1), kind="stable")
-        value, several = (coded >> np.uint64(1))[order], (coded & np.uint64(1))[order].astype(bool)
-        start = np.concatenate([[True], value[1:] != value[:-1]])
-        group = np.cumsum(start) - 1
-        many = (np.bincount(group) > 1) | (np.bincount(group, weights=several) > 0)
-        out = np.empty(len(coded), dtype=bool)
-        out[order] = many[group]
-        at = np.concatenate([[0], np.cumsum(size)])
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([bucket] * len(held), pa.int32()), pa.array([np.packbits(out[at[i] : at[i + 1]]).tobytes() for i in range(len(held))], pa.binary())], ["pack", "bucket", "bits"])
+def _answer(hot: int):
+    """Two bits for each minimizer asked for: whether more than one document has it, and whether it is dealt out by window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, held, blobs in by_bucket(batches, "asked"):
+            size = [len(x) // 6 for x in blobs]
+            raw = np.zeros((sum(size), 8), dtype=np.uint8)
+            raw[:, :6] = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, 6)
+            coded = raw.view(np.uint64).ravel()
+            order = np.argsort(coded >> np.uint64(3), kind="stable")
+            coded = coded[order]
+            value, several, level = coded >> np.uint64(3), (coded & np.uint64(1)).astype(bool), (coded >> np.uint64(1) & np.uint64(3)).astype(np.int64)
+            start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+            count = np.diff(np.append(start, len(value)))
+            many = (count > 1) | np.logical_or.reduceat(several, start)
+            busy = np.add.reduceat(LEVELS[level], start) >= hot
+            out = np.empty((2, len(coded)), dtype=bool)
+            out[:, order] = np.repeat(np.stack([many, busy]), count, axis=1)
+            at = np.concatenate([[0], np.cumsum(size)])
+            bits = [np.packbits(out[:, at[i] : at[i + 1]], axis=1).tobytes() for i in range(len(held))]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([bucket] * len(held), pa.int32()), pa.array(bits, pa.binary())], ["pack", "bucket", "bits"])
+
+    return run
 
 
 def _segments(blob: bytes, answers: list, buckets: int) -> dict:
     """The runs of a pack whose minimizers several documents have, and their distinct strings in order of bucket."""
     ids, is_null, offsets, data = unpack(blob)
     start, count, minimizer, doc = runs(data, offsets)
-    short, _ = _asked(minimizer, ids[doc])
-    cut_at = edges(short, buckets)
-    shared = np.zeros(len(short), dtype=bool)
+    short, _, _ = _asked(minimizer, ids[doc])
+    cut_at = edges(short, buckets, BITS)
+    told = np.zeros((2, len(short)), dtype=bool)
     for x in answers:
         lo, hi = cut_at[x["bucket"]], cut_at[x["bucket"] + 1]
-        shared[lo:hi] = np.unpackbits(np.frombuffer(x["bits"], dtype=np.uint8), count=int(hi - lo)).astype(bool)
-    own = minimizer >> np.uint64(17)
-    keep = shared[np.searchsorted(short, own)] if len(own) else np.empty(0, dtype=bool)
-    start, count, own, doc = start[keep], count[keep], own[keep], doc[keep]
+        told[:, lo:hi] = np.unpackbits(np.frombuffer(x["bits"], dtype=np.uint8).reshape(2, -1), axis=1, count=int(hi - lo)).astype(bool)
+    own = _short(minimizer)
+    shared, hot = told[:, np.searchsorted(short, own)] if len(own) else told
+    start, count, own, doc, hot = start[shared], count[shared], own[shared], doc[shared], hot[shared]
+    if hot.any():  # single windows under their own hash; runs stay in order of place
+        size = np.where(hot, count, 1)
+        at = expand(start, size)
+        doc, of_hot = np.repeat(doc, size), np.repeat(hot, size)
+        own, count = np.repeat(own, size), np.where(of_hot, 1, np.repeat(count, size))
+        start = at
+        own[of_hot] = _short(span_hash(data, start[of_hot], start[of_hot] + LENGTH, 7))
     h = span_hash(data, start, start + count + LENGTH - 1, 5)
     order = np.lexsort((h, own))
     new = np.ones(len(order), dtype=bool)
@@ -152,7 +180,7 @@ def _send(buckets: int):
         for b in batches:
             for pack, blob, answers in zip(b.column("pack").to_pylist(), b.column("texts"), b.column("answers")):
                 s = _segments(blob.as_py(), answers.as_py() or [], buckets)
-                cut_at = edges(s["value"], buckets)
+                cut_at = edges(s["value"], buckets, BITS)
                 rows = []
                 for i in np.flatnonzero(np.diff(cut_at)).tolist():
                     part = slice(cut_at[i], cut_at[i + 1])
@@ -352,32 +380,36 @@ def _cut_out(buckets: int):
                     gone = low[take] < np.repeat(ids[s["doc"]], c)
                     np.add.at(delta, begin[gone], 1)
                     np.add.at(delta, stop[gone] + LENGTH - 1, -1)
-                removed = np.cumsum(delta[:-1]) > 0
-                total = np.concatenate([[0], np.cumsum(removed)])
-                begins = removed.copy()
-                begins[1:] &= ~removed[:-1]
-                edge = offsets[:-1][offsets[:-1] < len(data)]
-                begins[edge] = removed[edge]
-                spans = np.concatenate([[0], np.cumsum(begins)])
-                digest = []
-                for i in range(len(ids)):
-                    own = slice(offsets[i], offsets[i + 1])
-                    digest.append(hashlib.sha256(data[own][~removed[own]].tobytes()).hexdigest())
-                lo, hi = offsets[:-1], offsets[1:]
+                gone_bytes, spans, digest = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64), []
+                i = 0
+                while i < len(ids):  # no removed run crosses a text, so slices of whole texts stand alone
+                    j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, side="right")) - 1)
+                    base, at = offsets[i], offsets[i : j + 1] - offsets[i]
+                    removed = np.cumsum(delta[base : offsets[j]]) > 0
+                    begins = removed.copy()
+                    begins[1:] &= ~removed[:-1]
+                    edge = at[:-1][at[:-1] < len(removed)]
+                    begins[edge] = removed[edge]
+                    gone_bytes[i:j] = np.diff(np.concatenate([[0], np.cumsum(removed)])[at])
+                    spans[i:j] = np.diff(np.concatenate([[0], np.cumsum(begins)])[at])
+                    for k in range(j - i):
+                        own = slice(at[k], at[k + 1])
+                        digest.append(hashlib.sha256(data[base : offsets[j]][own][~removed[own]].tobytes()).hexdigest())
+                    i = j
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=s["is_null"].astype(bool)), pa.array(hi - lo), pa.array(total[hi] - total[lo]), pa.array(spans[hi] - spans[lo]), pa.array(digest, pa.string())],
+                    [pa.array(ids, mask=s["is_null"].astype(bool)), pa.array(np.diff(offsets)), pa.array(gone_bytes), pa.array(spans), pa.array(digest, pa.string())],
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
                 )
 
     return run
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     texts = packed(docs)
     buckets = bucket_count(texts)
     asked = texts.mapInArrow(_ask(buckets), "pack long, bucket int, asked binary")
-    bits = dealt(asked, buckets).mapInArrow(_answer, "pack long, bucket int, bits binary")
+    bits = dealt(asked, buckets).mapInArrow(_answer(hot), "pack long, bucket int, bits binary")
     answers = cut(bits.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers")))
     joined = texts.join(answers, "pack", "left").select("pack", "texts", "answers")
     sent = joined.mapInArrow(_send(buckets), "pack long, bucket int, segments binary")

@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from hybridrank.llm import bpe, html_extract, language_id, media, minhash, mixing, pitman_yor, quality, secrets, suffix_dedup
+from hybridrank.llm import bpe, html_extract, language_id, media, minhash, mixing, packs, pitman_yor, quality, secrets, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ROWS = [
@@ -66,6 +66,46 @@ def test_suffix_dedup(docs, nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("hot", [8, suffix_dedup.HOT])
+def test_suffix_common_phrase(spark, hot):
+    """A common 24-byte phrase in ever other surroundings: split or not, the result is that of brute force."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    phrases = ["".join(map(chr, x)) for x in rng.integers(97, 123, (400, 24))]
+    raw = np.frombuffer("".join(phrases).encode(), dtype=np.uint8)
+    up, down = suffix_dedup._powers(1 << 14)
+    prefix = np.concatenate([[0], np.cumsum(suffix_dedup._byte_table(0)[raw] * up[: len(raw)], dtype=np.uint64)]).astype(np.uint64)
+    at = np.arange(400) * 24
+    phrase = phrases[int(suffix_dedup.mix((prefix[at + 24] - prefix[at]) * down[at]).argmin())]
+    ends = [draw(40) for _ in range(12)]
+    rows = [(i, draw(30) + ends[i % 12] + phrase + ends[i % 7] + draw(30)) for i in range(120)]
+    seen: set[str] = set()
+    got = by_id(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot))
+    for i, text in rows:
+        own = [text[k : k + 50] for k in range(len(text) - 49)]
+        gone = {k + j for k, w in enumerate(own) if w in seen for j in range(50)}
+        seen.update(own)
+        assert got[i].n_removed == len(gone) and got[i].kept_sha256 == hashlib.sha256("".join(x for k, x in enumerate(text) if k not in gone).encode()).hexdigest()
+
+
+def test_suffix_hot_minimizer_is_dealt_out():
+    """Windows of a hot minimizer go to many buckets; of a cold one, to one."""
+    phrase, rng = b"abcdefghijklmnopqrstuvwx", np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 123, 40).tolist()) + phrase + bytes(rng.integers(97, 123, 40).tolist()) for _ in range(200)]
+    data, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    ids = np.arange(200)
+    head = np.array([200], dtype=np.int64).tobytes() + ids.tobytes() + bytes(200) + offsets.astype(np.int64).tobytes()
+    blob = packs.zipped(head + data.tobytes())
+    _, _, minimizer, doc = suffix_dedup.runs(data, offsets)
+    short, several, _ = suffix_dedup._asked(minimizer, doc)
+    worst = {}
+    for hot in (False, True):
+        bits = np.packbits(np.stack([several, several & hot]), axis=1).tobytes()
+        s = suffix_dedup._segments(blob, [{"bucket": 0, "bits": bits}], 1)
+        worst[hot] = np.unique(s["value"], return_counts=True)[1].max(initial=0)
+    assert worst[True] <= max(1, worst[False] // 20)
+
+
 def test_suffix_transform_against_sorting():
     rng = np.random.default_rng(3)
     text = np.concatenate([rng.integers(97, 99, 400), np.full(200, 97), rng.integers(97, 99, 300)]).astype(np.uint8)
