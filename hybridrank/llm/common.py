@@ -146,6 +146,14 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - at, lengths) + np.arange(total)
 
 
+#: An edge takes a hundredth of the bytes of a text, so edges are kept in fewer partitions.
+TEXTS_PER_EDGE_PARTITION = 16
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return df.coalesce(max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // TEXTS_PER_EDGE_PARTITION))
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(id, component) for every end of the edges (a, b): component is the least id that is reachable.
 
@@ -154,17 +162,20 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     in a join of two plain tables, which Spark can split.
     """
     known = lambda df: df.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    spark_edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    spark_edges = cut(_few(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")))
     before = known(spark_edges)
     for _ in range(most_rounds):
+        if not before[0]:
+            break
         # Large star: each node links its larger neighbours to the least of its neighbours and itself.
-        both = spark_edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(spark_edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        both = spark_edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = _few(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b"))
         # Small star: each node links itself and its smaller neighbours to the least of them.
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.select(F.col("a").alias("u"), F.col("b").alias("v")).join(low, "u")
-        after = cut(small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
+        linked = small.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        after = cut(_few(_few(linked.where("a <> b")).distinct()))
         spark_edges, last, before = after, before, known(after)
         if last == before:
             break

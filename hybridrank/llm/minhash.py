@@ -350,9 +350,7 @@ def _within_lists(lists: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _across_lists(lists: DataFrame, families: DataFrame, classes: DataFrame) -> DataFrame:
     """Forests of matching pairs of different families in lists of several parts."""
-    large = cut(lists.groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") > LIST_BLOCK).select("element"))
-    rows = lists.join(large, "element").join(families.withColumnRenamed("id", "doc"), "doc", "left")
-    rows = rows.select("element", "doc", F.coalesce("component", "doc").alias("label"), F.lit(1).alias("weight"))
+    rows = cut(lists.join(families.withColumnRenamed("id", "doc"), "doc", "left").select("element", "doc", F.coalesce("component", "doc").alias("label"), F.lit(1).alias("weight")))
     keys = ["element", "p", "q"]
     return _by_block(_signed(_dealt(rows, "element", LIST_BLOCK, LIST_BLOCK), classes), keys, _matching(keys), 4096, "signature")
 
@@ -418,8 +416,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = S
     prefix = POSTED - LEAST + 1
     lists = cut(posted.where(F.col("rank") <= F.lit(prefix - POSTED) + F.col("held")).select("element", "doc", "weight"))
     families = components(_within_lists(lists, classes))
-    more = cut(_across_lists(lists, families, classes))
-    if more.take(1):
+    large = cut(lists.groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") > LIST_BLOCK).select("element"))
+    if large.take(1):
+        more = _across_lists(lists.join(large, "element"), families, classes)
         families = components(families.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     members = cut(families.select(F.col("id").alias("doc"), F.col("component").alias("family")).join(classes.select("doc", F.col("size").alias("weight")), "doc"))
     links = _links(members, docs, k, similarity)
@@ -433,16 +432,16 @@ def _links(members: DataFrame, docs: DataFrame, k: int, similarity: tuple[int, i
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(members.select("doc"), "doc", "left_semi")
     texts = cut(texts.groupBy("doc").agg(F.min("text").alias("text")))
     sizes = cut(members.groupBy("family").agg(((F.count("*") > FAMILY_BLOCK) | (F.sum("weight") > FAMILY_SHINGLES)).alias("large"), F.max(F.struct("weight", "doc"))["doc"].alias("widest")))
-    rows = members.join(sizes, "family")
+    rows = cut(members.join(sizes, "family"))  # a table of its own, so that a large family's join can be split
     deal = lambda x: _dealt(x.select("family", "doc", "label", "weight"), "family", FAMILY_BLOCK, FAMILY_SHINGLES)
     small = _within_families(deal(rows.where("NOT large").withColumn("label", F.col("doc"))), texts, k, similarity)
-    large = cut(rows.where("large"))
+    large = rows.where("large")
     if not large.take(1):
         return small
     # A large family is linked to its least member and its largest set first.
     star = large.select(F.explode(F.array("family", "widest")).alias("a"), F.col("doc").alias("b")).where("a <> b").distinct()
     led = cut(_confirm(star, texts.withColumnRenamed("doc", "doc_id"), k, similarity))
-    labelled = large.join(components(led).withColumnRenamed("id", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc"))
+    labelled = cut(large.join(components(led).withColumnRenamed("id", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc")))
     return small.unionByName(led).unionByName(_within_families(deal(labelled), texts, k, similarity))
 
 

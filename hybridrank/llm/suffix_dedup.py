@@ -82,7 +82,7 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         ends = np.minimum(np.append(at[1:], e - s), hi[owner] - s)
         ok = ends > at
         at, owner, ends = at[ok], owner[ok], ends[ok]
-        parts.append((at + s, ends - at, m[at], number[a:b][owner]))
+        parts.append((at + s, ends - at, mix(m[at]), number[a:b][owner]))  # minima are small values; mixed, they spread evenly over buckets
     if not parts:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*parts))  # type: ignore[return-value]
