@@ -24,11 +24,14 @@ _M_INV = np.uint64(pow(int(_M), -1, 1 << 64))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the folder in spark.checkpoint.dir; a local one is set only where that is unset."""
+    """The cluster names the folder in spark.checkpoint.dir; where that is unset, a local master gets a local one and a cluster an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -162,7 +165,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     in a join of two plain tables, which Spark can split.
     """
     known = lambda df: df.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    spark_edges = cut(_few(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")))
+    # What makes the edges may be heavy and keeps its partitions; the checkpoint is read in few.
+    spark_edges = _few(cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")))
     before = known(spark_edges)
     for _ in range(most_rounds):
         if not before[0]:

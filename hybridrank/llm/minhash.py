@@ -129,19 +129,14 @@ def _rows(signatures_: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(signatures_.to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; a's set is built once for a block of its partners.
 
     A hub a is dealt out in blocks of about STAR_BLOCK partners, each with a copy of a's text. Both texts
     are shuffled once for each block, partners stream past the hub's set.
     """
-    pairs = pairs.withColumn("salt", F.floor((F.row_number().over(Window.partitionBy("a", F.pmod(F.xxhash64("b"), F.lit(64))).orderBy("b")) - 1) / (STAR_BLOCK // 16)).cast("long") * 64 + F.pmod(F.xxhash64("b"), F.lit(64)))
-    pairs = cut(pairs)
-    sizes = cut(pairs.groupBy("a").agg(F.count("*").alias("n")))
-    pairs = cut(pairs.join(sizes, "a").withColumn("salt", F.when(F.col("n") <= STAR_BLOCK, F.lit(-1)).otherwise(F.col("salt"))).select("a", "b", "salt"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").dropDuplicates(["doc"])
-    needed = pairs.select(F.col("a").alias("doc")).unionAll(pairs.select(F.col("b").alias("doc"))).distinct()
-    texts = cut(texts.join(needed, "doc", "left_semi"))
+    sizes = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_BLOCK).alias("parts")))
+    pairs = cut(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt")))
     hubs = pairs.select("a", "salt").distinct().withColumn("doc", F.col("a")).withColumn("hub", F.lit(0))
     members = pairs.select("a", "salt", F.col("b").alias("doc"), F.lit(1).alias("hub"))
     spokes = hubs.unionByName(members).join(texts, "doc")
@@ -431,7 +426,7 @@ def _links(members: DataFrame, docs: DataFrame, k: int, similarity: tuple[int, i
     """A forest of the links within the families of members (family, doc, weight)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(members.select("doc"), "doc", "left_semi")
     texts = cut(texts.groupBy("doc").agg(F.min("text").alias("text")))
-    sizes = cut(members.groupBy("family").agg(((F.count("*") > FAMILY_BLOCK) | (F.sum("weight") > FAMILY_SHINGLES)).alias("large"), F.max(F.struct("weight", "doc"))["doc"].alias("widest")))
+    sizes = members.groupBy("family").agg(((F.count("*") > FAMILY_BLOCK) | (F.sum("weight") > FAMILY_SHINGLES)).alias("large"), F.max(F.struct("weight", "doc"))["doc"].alias("widest"))
     rows = cut(members.join(sizes, "family"))  # a table of its own, so that a large family's join can be split
     deal = lambda x: _dealt(x.select("family", "doc", "label", "weight"), "family", FAMILY_BLOCK, FAMILY_SHINGLES)
     small = _within_families(deal(rows.where("NOT large").withColumn("label", F.col("doc"))), texts, k, similarity)
@@ -440,7 +435,7 @@ def _links(members: DataFrame, docs: DataFrame, k: int, similarity: tuple[int, i
         return small
     # A large family is linked to its least member and its largest set first.
     star = large.select(F.explode(F.array("family", "widest")).alias("a"), F.col("doc").alias("b")).where("a <> b").distinct()
-    led = cut(_confirm(star, texts.withColumnRenamed("doc", "doc_id"), k, similarity))
+    led = cut(_confirm(star, texts, k, similarity))
     labelled = cut(large.join(components(led).withColumnRenamed("id", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc")))
     return small.unionByName(led).unionByName(_within_families(deal(labelled), texts, k, similarity))
 
