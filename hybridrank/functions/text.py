@@ -25,9 +25,12 @@ TURKISH_CHARACTERS = "ğışĞİŞ"
 TURKISH_SHARE = 0.004
 TURKISH_WORDS = ["ve", "bir", "için", "ile", "bu", "olarak", "veya", "da", "de", "en"]
 ENGLISH_WORDS = ["the", "and", "for", "with", "this", "that", "are", "from", "which"]
-# Phrases of a refusal.
+# Phrases of copied instructions, the two refusals, and phrases of a refusal.
+LEAK_MARKERS = ["yalnızca bağlamdaki", "kendi bilgini ekleme", "kurallar:", "use only information", "do not add outside", "rules:", "biçiminde belirt", "cite the source"]
+REFUSAL_TEXT = {"tr": "Bu bilgi verilen belgelerde bulunmuyor.", "en": "This information is not present in the provided documents."}
 REFUSALS = ["bulunmuyor", "belgelerde yok", "bilgi yok", "mevcut değil", "not present", "not contain", "cannot answer", "yanıtlayamıyorum"]
 SUFFIX_PATTERN = f"^(.{{4,}}?)(?:{'|'.join(SUFFIXES)})$"
+TURNED_PATTERN = f"^(?:{'|'.join(x[::-1] for x in SUFFIXES)})(?=.{{4}})"
 WORD_CHARACTERS = r"[\p{L}\p{N}_’']+"
 
 
@@ -56,14 +59,18 @@ def turkish_upper(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case without diacritics."""
+    """Lower case without diacritics; ASCII texts skip the character table."""
     source, target = fold_map()
-    return F.lower(F.translate(c, source, target))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.lower(F.translate(c, source, target))).otherwise(F.lower(c))
 
 
 def stem(word: Column) -> Column:
-    """At most two suffixes off a folded word, leaving four letters at least."""
-    return F.regexp_replace(F.regexp_replace(word, SUFFIX_PATTERN, "$1"), SUFFIX_PATTERN, "$1")
+    """At most two suffixes off a folded word, leaving four letters at least.
+
+    The word is turned round, so that a suffix either matches at once or not at all.
+    """
+    for_two = F.regexp_replace(F.regexp_replace(F.reverse(word), TURNED_PATTERN, ""), TURNED_PATTERN, "")
+    return F.reverse(for_two)
 
 
 def lexical_tokens(c: Column, stemmed: bool = True, truncate: int | None = None) -> Column:
@@ -119,6 +126,52 @@ def is_refusal(c: Column) -> Column:
     return F.exists(F.array(*map(F.lit, REFUSALS)), lambda m: F.contains(low, m))
 
 
+def contains_any(c: Column, phrases: list[str]) -> Column:
+    """Whether the lower-cased text holds one of the phrases."""
+    low = F.lower(c)
+    return F.exists(F.array(*map(F.lit, phrases)), lambda m: F.contains(low, F.lower(m)))
+
+
+def leaked(c: Column) -> Column:
+    """Whether a reply repeats its instructions."""
+    return contains_any(c, LEAK_MARKERS)
+
+
+def citation_label(source: Column, doc_id: Column, text: Column, heading: Column | None = None) -> Column:
+    """Source (or document), heading and page of a passage, what is missing left out."""
+    page = page_number(text)
+    name = F.coalesce(F.nullif(source, F.lit("")), doc_id.cast("string"))
+    parts = [name, *([F.nullif(heading, F.lit(""))] if heading is not None else []), F.when(page.isNotNull(), F.concat(F.lit("s."), page.cast("string")))]
+    return F.concat_ws(" · ", *parts)
+
+
+def read_text(window_text: Column, text: Column) -> Column:
+    """What a reader gets: the window around a passage where there is one."""
+    return F.coalesce(F.nullif(window_text, F.lit("")), text)
+
+
+def with_instruction(question: Column, template: str, enabled: bool = True) -> Column:
+    """A question inside the query template of an embedding model; {query} marks its place."""
+    before, _, after = template.partition("{query}")
+    return F.concat(F.lit(before), question, F.lit(after)) if enabled else question
+
+
+def prompt_language(question: Column, configured: str = "auto") -> Column:
+    """The configured language, else English for a question in English, else Turkish."""
+    return F.lit(configured) if configured != "auto" else F.when(detect_language(question) == "en", "en").otherwise("tr")
+
+
+def execution_provider(model_id: Column) -> Column:
+    found = F.regexp_extract(F.split(model_id, ":")[0], "-(npu|gpu|cpu)$", 1)
+    return F.when(found != "", found).otherwise("unknown")
+
+
+def repair_count(before: Column, after: Column) -> Column:
+    """Each repair joins two words, so the drop in their number is the number of repairs."""
+    count = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    return count(before) - count(after)
+
+
 def repetition(c: Column, n: int = 5) -> Column:
     """1 - distinct / all word n-grams; 0 for n words or fewer."""
     words = F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")

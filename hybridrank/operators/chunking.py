@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dot
+from ..functions.text import clean_text, dot
 
 CHUNK_SIZE, OVERLAP, LEAST_CHARS, WINDOW, PERCENTILE = 900, 150, 120, 2, 90.0
 # Separators from the strongest to the weakest.
@@ -62,7 +62,8 @@ def recursive_pieces(text: str, size: int = CHUNK_SIZE) -> list[str]:
                     groups[-1] += "\n" + x
                 else:
                     groups.append(x)
-            todo += [(g, level + 1) for g in reversed(groups if len(groups) > 1 else [part])]
+            # Packed again to one piece that fits, it is that piece; a single part goes down by itself.
+            todo += [(g, level + 1) for g in reversed(groups)] if groups and (len(groups) > 1 or groups[0] != part) else [(part, level + 1)]
     return out
 
 
@@ -140,10 +141,49 @@ def semantic_segments(sentences_: DataFrame, percentile: float = PERCENTILE) ->
     return marked.select("doc_id", "ordinal", "distance", before.cast("long").alias("segment"))
 
 
-def chunk(docs: DataFrame, strategy: str = "recursive", **options) -> DataFrame:
-    if strategy == "semantic" and "vector" not in docs.columns:
-        raise ValueError("semantic chunks need sentence vectors")
-    known = {"fixed": fixed_chunks, "recursive": recursive_chunks, "sentence_window": sentence_windows, "semantic": semantic_segments}
-    if strategy not in known:
+def merged(chunks: DataFrame, least: int) -> DataFrame:
+    """Chunks shorter than least join the one before; a short first one joins the next. A document's chunks meet in one row."""
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(d, i, s, e, t) for d, own in zip(b.column("doc_id").to_pylist(), b.column("own").to_pylist()) for i, (t, s, e) in enumerate(merge_short([(x["text"], x["char_start"], x["char_end"]) for x in own], least))]
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.schema.field("doc_id").type), *[pa.array(c, pa.int64()) for c in columns[1:4]], pa.array(columns[4], pa.string())], ["doc_id", "ordinal", "char_start", "char_end", "text"])
+
+    own = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "char_start", "char_end", "text"))).alias("own"))
+    return own.mapInArrow(run, f"doc_id {kind}, ordinal long, char_start long, char_end long, text string")
+
+
+def semantic_chunks(sentences_: DataFrame, percentile: float = PERCENTILE) -> DataFrame:
+    """Chunks of sentences (doc_id, ordinal, text, vector): the sentences between two cuts, joined by a space."""
+    rows = semantic_segments(sentences_, percentile).join(sentences_.select("doc_id", "ordinal", "text"), ["doc_id", "ordinal"])
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), " ")
+    return rows.groupBy("doc_id", "segment").agg(text.alias("text")).select("doc_id", F.col("segment").alias("ordinal"), "text")
+
+
+CHUNK_COLUMNS = ["doc_id", "ordinal", "char_start", "char_end", "text", "window_text", "strategy"]
+
+
+def chunk(docs: DataFrame, strategy: str = "recursive", size: int = CHUNK_SIZE, overlap: int = OVERLAP, least: int = LEAST_CHARS, width: int = WINDOW, percentile: float = PERCENTILE) -> DataFrame:
+    """CHUNK_COLUMNS of docs (doc_id, text), cleaned first; each strategy takes the knobs that it has.
+
+    semantic takes sentences (doc_id, ordinal, text, vector) instead, as they need vectors.
+    """
+    if strategy not in ("fixed", "recursive", "sentence_window", "semantic"):
         raise ValueError(f"unknown chunk strategy: {strategy}")
-    return known[strategy](docs, **options)
+    if strategy == "semantic":
+        if "vector" not in docs.columns:
+            raise ValueError("semantic chunks need sentence vectors")
+        out = semantic_chunks(docs, percentile)
+    else:
+        texts = docs.select("doc_id", clean_text(F.col("text")).alias("text"))
+        if strategy == "fixed":
+            out = merged(fixed_chunks(texts, size, overlap), least)
+        else:
+            out = recursive_chunks(texts, size, overlap, least) if strategy == "recursive" else sentence_windows(texts, width)
+    kinds = {"char_start": "long", "char_end": "long", "window_text": "string"}
+    for name, kind in kinds.items():
+        if name not in out.columns:
+            out = out.withColumn(name, F.lit(None).cast(kind))
+    return out.withColumn("text", F.trim("text")).withColumn("strategy", F.lit(strategy)).select(*CHUNK_COLUMNS)

@@ -58,12 +58,13 @@ def permutation_test(pairs: DataFrame, resamples: int = 1000, seed: int = SEED)
 
 
 def permutation_exact(pairs: DataFrame) -> DataFrame:
-    """All sign flips of at most 16 pairs: diff and p."""
-    d = pairs.select("i", (F.col("a") - F.col("b")).alias("d"))
-    size = d.agg(F.count("*").alias("n"), F.avg("d").alias("diff"))
-    masks = size.select("n", "diff", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, cast(n AS int)) - 1"))).alias("mask")).where("n <= 16")
-    means = d.crossJoin(masks).groupBy("mask", "diff").agg(F.avg(F.col("d") * (1 - 2 * F.expr("shiftright(mask, cast(i AS int)) & 1"))).alias("m"))
-    return means.groupBy("diff").agg(F.avg(F.when(F.round(F.abs("m"), 12) >= F.round(F.abs("diff"), 12), 1.0).otherwise(0.0)).alias("p"))
+    """All sign flips of each test of at most 16 pairs (test, i, a, b), i from 0: test, diff and p; larger tests raise."""
+    d = pairs.select("test", "i", (F.col("a") - F.col("b")).alias("d"))
+    size = d.groupBy("test").agg(F.count("*").alias("n"), F.avg("d").alias("diff"))
+    n = F.when(F.col("n") <= 16, F.col("n")).otherwise(F.raise_error(F.lit("an exact test takes at most 16 pairs"))).cast("int")
+    masks = size.select("test", "diff", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1)).alias("mask"))
+    means = d.join(masks, "test").groupBy("test", "mask", "diff").agg(F.avg(F.col("d") * (1 - 2 * F.expr("shiftright(mask, cast(i AS int)) & 1"))).alias("m"))
+    return means.groupBy("test", "diff").agg(F.avg(F.when(F.round(F.abs("m"), 12) >= F.round(F.abs("diff"), 12), 1.0).otherwise(0.0)).alias("p"))
 
 
 def holm(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -132,8 +133,32 @@ def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
     return calibration_bins(scored, bins).crossJoin(F.broadcast(total)).agg(F.sum(F.col("n") / F.col("total") * gap).alias("ece"), F.max(gap).alias("mce"), F.first("brier").alias("brier"))
 
 
+def _order(values: DataFrame, by: str) -> DataFrame:
+    """Distinct values of each group with their count, how many are not above, and the group's size."""
+    counts = values.groupBy(by, "value").agg(F.count("*").alias("c"))
+    w = Window.partitionBy(by)
+    return counts.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
+
+
+def _at(place: Column) -> Column:
+    """The value at a place, from 1, of a group's order."""
+    return F.min(F.when(F.col("upto") >= place, F.col("value")))
+
+
 def latency_summary(values: DataFrame, by: str) -> DataFrame:
-    """count, total, median (interpolated), p95 (nearest rank, half to even) and max of (by, value)."""
-    place = F.greatest(F.lit(1), F.bround(F.lit(0.95) * F.count("*"), 0).cast("int"))
-    ordered = F.sort_array(F.collect_list("value"))
-    return values.groupBy(by).agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.percentile("value", F.lit(0.5)).alias("median"), F.element_at(ordered, place).alias("p95"), F.max("value").alias("most"))
+    """count, total, median (interpolated), p95 (nearest rank, half to even) and max of (by, value), from counts of distinct values."""
+    place = F.greatest(F.lit(1), F.bround(F.lit(0.95) * F.col("n"), 0).cast("long"))
+    middle = (_at(F.floor((F.col("n") + 1) / 2)) + _at(F.floor(F.col("n") / 2) + 1)) / 2
+    return _order(values, by).groupBy(by).agg(F.max("n").alias("n"), F.sum(F.col("value") * F.col("c")).alias("total"), middle.alias("median"), _at(place).alias("p95"), F.max("value").alias("most"))
+
+
+def run_latency(values: DataFrame, by: str) -> DataFrame:
+    """p50, p95, max and mean of a run's (by, value): p50 is the value after n // 2 others, p95 the nearest rank."""
+    n = F.col("n")
+    last = F.when(n > 1, F.least(n, F.bround(F.lit(0.95) * n, 0).cast("long"))).otherwise(F.lit(1))
+    return _order(values, by).groupBy(by).agg(_at(F.floor(n / 2) + 1).alias("p50"), _at(last).alias("p95"), F.max("value").alias("most"), (F.sum(F.col("value") * F.col("c")) / F.max("n")).alias("mean"))
+
+
+def is_bounded(scored: DataFrame) -> DataFrame:
+    """One row: whether all scores lie in 0..1, without which a calibration error says nothing."""
+    return scored.agg(((F.min("score") >= 0) & (F.max("score") <= 1)).alias("bounded"))

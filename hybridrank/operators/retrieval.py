@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dot, lexical_tokens
+from ..functions.text import dot, l2_normalize, lexical_tokens
 
 K1, B = 1.2, 0.75
 
@@ -33,16 +33,19 @@ def corpus_size(passages: DataFrame, stemmed: bool = True, truncate: int | None
     return passages.select(size.alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
 
 
-def bm25(queries: DataFrame, passages: DataFrame, k: int = 30, stemmed: bool = True, truncate: int | None = None) -> DataFrame:
+def bm25(queries: DataFrame, passages: DataFrame, k: int = 30, stemmed: bool = True, truncate: int | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The k best passages of each query (query_id, text). A repeated query term counts each time.
 
-    Posting lists are cut to the terms that queries have before anything is shuffled by passage: the terms
-    join is a semi-join that Spark broadcasts while they are few.
+    index: postings (term, doc_id, tf, len) and one row (n, avgdl) that a snapshot keeps; without it they are
+    made from passages. Posting lists are cut to the terms that queries have before anything is shuffled by
+    passage: the terms join is a semi-join that Spark broadcasts while they are few. Document frequencies are
+    counted over the same columns as scores, so that both read one exchange.
     """
     wanted = queries.select("query_id", F.explode(lexical_tokens(F.col("text"), stemmed, truncate)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    lists = postings(passages, stemmed, truncate).join(wanted.select("term").distinct(), "term", "left_semi")
-    df = lists.groupBy("term").agg(F.count("*").alias("df"))
-    size = corpus_size(passages, stemmed, truncate)
+    # A passage's number of tokens is the same before stemming.
+    every, size = index or (postings(passages, stemmed, truncate), corpus_size(passages, False, None))
+    lists = every.join(wanted.select("term").distinct(), "term", "left_semi")
+    df = lists.groupBy("term").agg(F.count(F.when((F.col("tf") > 0) & (F.col("len") > 0) & F.col("doc_id").isNotNull(), 1)).alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     norm = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avgdl")))
     weight = wanted.join(df, "term").crossJoin(F.broadcast(size)).select("query_id", "term", "avgdl", (F.col("qtf") * idf).alias("weight"))
@@ -57,9 +60,9 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 30) -> DataFrame:
 
 
 def _both(left: DataFrame, right: DataFrame) -> DataFrame:
-    a = left.select("query_id", "doc_id", F.col("score").alias("dense_score"), F.col("rank").alias("dense_rank"))
-    b = right.select("query_id", "doc_id", F.col("score").alias("lexical_score"), F.col("rank").alias("lexical_rank"))
-    return a.join(b, ["query_id", "doc_id"], "full")
+    """Rows of both arms with their own scores and ranks, and what else an arm has under its name."""
+    arm = lambda x, name: x.select("query_id", "doc_id", *[F.col(c).alias(f"{name}_{c}") for c in x.columns if c not in ("query_id", "doc_id")])
+    return arm(left, "dense").join(arm(right, "lexical"), ["query_id", "doc_id"], "full")
 
 
 def _fused(rows: DataFrame, score: Column, k: int | None) -> DataFrame:
@@ -73,16 +76,22 @@ def rrf(left: DataFrame, right: DataFrame, rrf_k: int = 60, weights: tuple[float
     return _fused(_both(left, right), part("dense_rank", weights[0]) + part("lexical_rank", weights[1]), k)
 
 
-def min_max(arm: DataFrame) -> DataFrame:
-    """Scores of each query brought to 0..1; equal scores become 1."""
+def min_max_score() -> Column:
+    """A query's scores brought to 0..1; equal scores become 1."""
     w = Window.partitionBy("query_id")
     low, high = F.min("score").over(w), F.max("score").over(w)
-    return arm.withColumn("score", F.when(high - low < 1e-12, F.lit(1.0)).otherwise((F.col("score") - low) / (high - low)))
+    return F.when(high - low < 1e-12, F.lit(1.0)).otherwise((F.col("score") - low) / (high - low))
+
+
+def min_max(arm: DataFrame) -> DataFrame:
+    return arm.withColumn("score", min_max_score())
 
 
 def weighted(left: DataFrame, right: DataFrame, alpha: float = 0.5, k: int | None = None) -> DataFrame:
-    rows = _both(min_max(left), min_max(right))
-    return _fused(rows, F.lit(alpha) * F.coalesce("dense_score", F.lit(0.0)) + F.lit(1 - alpha) * F.coalesce("lexical_score", F.lit(0.0)), k)
+    """Weighted sum of both arms' min-max scores; dense_score and lexical_score stay what the arms gave."""
+    scaled = lambda x: x.select("*", min_max_score().alias("scaled"))
+    score = F.lit(alpha) * F.coalesce("dense_scaled", F.lit(0.0)) + F.lit(1 - alpha) * F.coalesce("lexical_scaled", F.lit(0.0))
+    return _fused(_both(scaled(left), scaled(right)), score, k).drop("dense_scaled", "lexical_scaled")
 
 
 def fuse(left: DataFrame, right: DataFrame, strategy: str = "weighted", rrf_k: int = 60, alpha: float = 0.5, k: int | None = None) -> DataFrame:
@@ -132,8 +141,47 @@ def context(hits: DataFrame, budget: int = 1600) -> DataFrame:
     return out.where((F.col("rank") == 1) | (F.col("used") <= budget))
 
 
-def abstention(queries: DataFrame, hits: DataFrame, threshold: float, enabled: bool = True) -> DataFrame:
-    """(query_id, signal, abstains): the best raw lexical score among a query's final hits against the threshold."""
-    best = hits.groupBy("query_id").agg(F.coalesce(F.max("lexical_score"), F.max(F.when(F.col("rank") == 1, F.col("score")))).alias("signal"))
+def abstention(queries: DataFrame, hits: DataFrame, threshold: float, enabled: bool = True, signal: str = "lexical_raw") -> DataFrame:
+    """(query_id, signal, abstains): the best raw score of an arm among a query's final hits against the threshold.
+
+    signal: lexical_raw, dense_raw or fused; a query whose hits the arm does not have goes by its first hit's score.
+    """
+    columns = {"lexical_raw": "lexical_score", "dense_raw": "dense_score", "fused": None}
+    if signal not in columns:
+        raise ValueError(f"unknown abstention signal: {signal}")
+    first = F.max(F.when(F.col("rank") == 1, F.col("score")))
+    best = hits.groupBy("query_id").agg((F.coalesce(F.max(columns[signal]), first) if columns[signal] else first).alias("signal"))
     out = queries.select("query_id").join(best, "query_id", "left")
     return out.withColumn("abstains", F.lit(enabled) & (F.col("signal").isNull() | (F.col("signal") < threshold)))
+
+
+def explain() -> Column:
+    """One line of a fused hit: its rank and score in each arm that has it."""
+    arm = lambda label, name: F.when(F.col(f"{name}_rank").isNotNull(), F.format_string(f"{label} #%d (%.3f)", f"{name}_rank", f"{name}_score"))
+    text = F.concat_ws(" | ", arm("dense", "dense"), arm("bm25", "lexical"))
+    return F.when(text == "", "no arm").otherwise(text)
+
+
+def cosine_matrix(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_id, right_id, cosine) of a stated set of vectors (id, vector) against another."""
+    return left.select(F.col("id").alias("left_id"), F.col("vector").alias("_l")).crossJoin(right.select(F.col("id").alias("right_id"), F.col("vector").alias("_r"))).select("left_id", "right_id", dot(F.col("_l"), F.col("_r")).alias("cosine"))
+
+
+def hashed_vectors(texts: DataFrame, dim: int = 64) -> DataFrame:
+    """(doc_id, vector) of (doc_id, text): the offline embedder. Each token adds its sign to one of dim places; unit length."""
+    tokens = texts.select("doc_id", F.explode_outer(lexical_tokens(F.col("text"), False)).alias("term"))
+    h = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long")
+    parts = tokens.groupBy("doc_id", (h % dim).alias("place")).agg(F.sum(F.when((h / dim).cast("long") % 2 == 0, 1).otherwise(-1)).alias("w"))
+    maps = parts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "w")))).alias("m"))
+    place = F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))
+    return maps.select("doc_id", l2_normalize(F.transform(place, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))).alias("vector"))
+
+
+def strategies(left: DataFrame, right: DataFrame, k: int = 3) -> DataFrame:
+    """The k first hits of each fusion strategy side by side."""
+    names = ("dense_only", "lexical_only", "rrf", "weighted")
+    out = None
+    for name in names:
+        rows = fuse(left, right, name, k=k).select(F.lit(name).alias("strategy"), "query_id", "doc_id", "rank", "score")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import citations, dot, is_refusal, lexical_tokens
+from ..functions.text import REFUSAL_TEXT, citation_label, citations, dot, is_refusal, lexical_tokens, prompt_language, read_text, strip_page_markers, with_instruction
 from ..operators import chunking, retrieval
 
 
@@ -36,6 +36,21 @@ class Config:
     budget: int = 1600
     threshold: float = 6.865533
     abstain: bool = True
+    signal: str = "lexical_raw"
+    language: str = "auto"
+    instruct: bool = False
+    rerank: bool = False
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True)
+
+    @classmethod
+    def from_dict(cls, values: dict[str, Any]) -> Config:
+        """A configuration from a mapping, such as a parsed YAML or JSON file; unknown names raise."""
+        unknown = set(values) - set(cls.__dataclass_fields__)
+        if unknown:
+            raise ValueError(f"unknown settings: {sorted(unknown)}")
+        return cls(**values)
 
     def fingerprint(self) -> str:
         return _digest({k: v for k, v in asdict(self).items() if k != "name"})
@@ -61,28 +76,44 @@ def sweep_configs() -> list[Config]:
         replace(base, name="weighted-0.5", alpha=0.5),
         replace(base, name="weighted-0.7", alpha=0.7),
         replace(base, name="rrf-truncate6", fusion="rrf", truncate=6),
+        replace(base, name="rrf-instruct", fusion="rrf", instruct=True),
         replace(base, name="rrf-mmr", fusion="rrf", use_mmr=True),
+        replace(base, name="weighted-rerank", rerank=True),
     ]
 
 
+PROMPTS = {
+    "tr": "Soruyu yalnızca aşağıdaki pasajlara dayanarak, kısa ve tahmin etmeden yanıtla. Her bilginin ardından pasajın numarasını [1] biçiminde yaz. Pasajlar yetmiyorsa yalnızca şunu yaz: {refusal}\n\nPasajlar:\n",
+    "en": "Answer the question from the passages below alone, briefly and without guessing. Put the number of the passage after each statement, as in [1]. If they do not suffice, write only: {refusal}\n\nPassages:\n",
+}
+INSTRUCTION = "Instruct: find passages that answer the question\nQuery: {query}"
+
+
 class Snapshot:
-    """Parquet tables of an index below a folder of its fingerprint; the manifest is written last and commits it."""
+    """Parquet tables of an index below a folder of its fingerprint.
+
+    A build writes a folder of its own, and the manifest that names it comes last; until then readers keep
+    the version before.
+    """
 
     def __init__(self, spark: SparkSession, root: str, config: Config) -> None:
         self.spark, self.config = spark, config
         self.path = f"{root.rstrip('/')}/index-{config.index_fingerprint()}"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        found = self.manifest()
+        if not found:
+            raise ValueError(f"no index at {self.path}")
+        return self.spark.read.parquet(f"{self.path}/{found['version']}/{name}")
 
     def manifest(self) -> dict[str, Any] | None:
         try:
-            row = self.spark.read.json(f"{self.path}/manifest").first()
+            rows = self.spark.read.json(f"{self.path}/manifests").collect()  # one small row for each build
         except Exception as e:  # no manifest: no snapshot
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return None
-        return row.asDict(recursive=True) if row else None
+        return max((r.asDict(recursive=True) for r in rows), key=lambda r: r["version"], default=None)
 
     def needs_rebuild(self) -> bool:
         found = self.manifest()
@@ -92,36 +123,80 @@ class Snapshot:
         """Chunks, postings and lengths of docs (doc_id, text, ...); an equal snapshot is used again."""
         if not force and not self.needs_rebuild():
             return self.manifest() or {}
-        options = {k: v for k, v in self.config.chunk.items() if k != "strategy"}
-        docs.write.mode("overwrite").parquet(f"{self.path}/documents")
-        chunks = chunking.chunk(self.table("documents").select("doc_id", "text"), self.config.chunk["strategy"], **options)
-        chunks.select(F.concat_ws("::", "doc_id", "ordinal").alias("chunk_id"), "*").write.mode("overwrite").parquet(f"{self.path}/chunks")
-        passages = self.table("chunks").select(F.col("chunk_id").alias("doc_id"), "text")
-        retrieval.postings(passages, self.config.stemmed, self.config.truncate).repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/postings")
-        facts = self.table("chunks").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_documents"), F.avg(F.size(lexical_tokens(F.col("text"), self.config.stemmed, self.config.truncate))).alias("avgdl"))
-        facts.withColumn("fingerprint", F.lit(self.config.index_fingerprint())).coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest")
+        c = self.config
+        version = f"v{int((self.manifest() or {'version': 'v0'})['version'][1:]) + 1:08d}"
+        at = lambda name: f"{self.path}/{version}/{name}"
+        docs.write.mode("overwrite").parquet(at("documents"))
+        known = self.spark.read.parquet(at("documents"))
+        needed = [x for x in ("doc_id", "ordinal", "text", "vector") if x in known.columns]
+        chunks = chunking.chunk(known.select(*needed), **c.chunk)
+        chunks.select(F.concat_ws("::", F.col("doc_id").cast("string"), "ordinal").alias("chunk_id"), "*").write.mode("overwrite").parquet(at("chunks"))
+        chunks = self.spark.read.parquet(at("chunks"))
+        passages = chunks.select(F.col("chunk_id").alias("doc_id"), "text")
+        # Ranges of (term, passage) split a frequent term's list over files.
+        retrieval.postings(passages, c.stemmed, c.truncate).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(at("postings"))
+        facts = chunks.agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_documents"), F.avg(F.size(lexical_tokens(F.col("text"), False))).alias("avgdl"))
+        facts.select("*", F.lit(c.index_fingerprint()).alias("fingerprint"), F.lit(version).alias("version"), F.lit(c.to_json()).alias("config")).coalesce(1).write.mode("append").json(f"{self.path}/manifests")
         return self.manifest() or {}
 
     def chunk(self, chunk_id: str) -> DataFrame:
         return self.table("chunks").where(F.col("chunk_id") == chunk_id)
 
+    def chunk_ids(self) -> DataFrame:
+        return self.table("chunks").orderBy("doc_id", "ordinal").select("chunk_id")
+
+    def add_vectors(self, vectors: DataFrame, dim: int) -> None:
+        """Stores (doc_id, vector) of chunks; a vector of another length fails the write."""
+        found = self.manifest()
+        if not found:
+            raise ValueError(f"no index at {self.path}")
+        checked = vectors.where(F.assert_true(F.size("vector") == dim, F.lit(f"a vector must have {dim} values")).isNull())
+        checked.write.mode("overwrite").parquet(f"{self.path}/{found['version']}/vectors")
+
+    def vectors(self, ids: DataFrame) -> DataFrame:
+        return self.table("vectors").join(ids.select("doc_id"), "doc_id", "left_semi")
+
+    def engine(self, reorder: Callable[[DataFrame], DataFrame] | None = None, with_vectors: bool = False) -> Engine:
+        """An engine that reads the postings instead of the texts."""
+        passages = self.table("chunks").select(F.col("chunk_id").alias("doc_id"), "text", F.col("doc_id").cast("string").alias("source"), "window_text")
+        if with_vectors:
+            passages = passages.join(self.table("vectors"), "doc_id", "left")
+        facts = self.manifest() or {}
+        size = self.spark.createDataFrame([(facts["n_chunks"], float(facts["avgdl"] or 0.0))], "n long, avgdl double")
+        return Engine(passages, self.config, reorder, (self.table("postings"), size))
+
 
 class Engine:
     """Whole batches of questions (query_id, text[, vector]) against passages (doc_id, text[, vector]).
 
     reorder, if given, maps the heads of all rankings (query_id, question, rank, doc_id, text) to
-    (query_id, ordering): an array of places from 0; a query without a row keeps its order.
+    (query_id, ordering): an array of places from 0; a query without a row keeps its order. embed, if given,
+    maps (doc_id, text) to (doc_id, vector) for questions that come without vectors.
     """
 
-    def __init__(self, passages: DataFrame, config: Config | None = None, reorder: Callable[[DataFrame], DataFrame] | None = None) -> None:
-        self.passages, self.config, self.reorder = passages, config or Config(), reorder
+    def __init__(self, passages: DataFrame, config: Config | None = None, reorder: Callable[[DataFrame], DataFrame] | None = None, index: tuple[DataFrame, DataFrame] | None = None, embed: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        self.passages, self.config, self.reorder, self.index, self.embed = passages, config or Config(), reorder, index, embed
+        if self.config.rerank and not reorder:
+            raise ValueError("a configuration with rerank needs a reorder function")
+
+    def describe(self) -> str:
+        c = self.config
+        return f"{c.name}: {c.fusion}, dense {c.dense_k}, lexical {c.lexical_k}, top {c.top_k}, mmr {c.use_mmr}, rerank {bool(self.reorder)}, threshold {c.threshold} on {c.signal}"
+
+    def _embedded(self, asked: DataFrame) -> DataFrame:
+        """Questions with a vector each, of their text inside the query template where the configuration says so."""
+        texts = asked.select(F.col("query_id").alias("doc_id"), with_instruction(F.col("text"), INSTRUCTION, self.config.instruct).alias("text"))
+        return asked.join(self.embed(texts).withColumnRenamed("doc_id", "query_id"), "query_id")
 
     def retrieve(self, questions: DataFrame) -> DataFrame:
+        """The first top_k hits of each question with both arms' own scores and ranks."""
         c = self.config
         asked = questions.where(F.trim("text") != "")
+        if self.embed and c.fusion != "lexical_only" and "vector" not in asked.columns:
+            asked = self._embedded(asked)
         kind = self.passages.schema["doc_id"].dataType
         empty = asked.select("query_id", F.lit(None).cast(kind).alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
-        lexical = retrieval.bm25(asked, self.passages, c.lexical_k, c.stemmed, c.truncate) if c.fusion != "dense_only" else empty
+        lexical = retrieval.bm25(asked, self.passages, c.lexical_k, c.stemmed, c.truncate, self.index) if c.fusion != "dense_only" else empty
         dense = retrieval.dense(asked, self.passages, c.dense_k) if c.fusion != "lexical_only" else empty
         diverse = c.use_mmr and "vector" in self.passages.columns and "vector" in asked.columns
         if not self.reorder and not diverse:
@@ -153,15 +228,32 @@ class Engine:
         return kept.select(*[F.coalesce("step", "rank").alias("rank") if x == "rank" else x for x in hits.columns])
 
     def ask(self, questions: DataFrame, generate=None) -> DataFrame:
-        """(query_id, abstained, answer, cited): generate maps (query_id, prompt) to (query_id, answer); abstained rows never reach it."""
-        hits = self.retrieve(questions).join(self.passages.select("doc_id", "text"), "doc_id")
-        decided = retrieval.abstention(questions, hits, self.config.threshold, self.config.abstain)
-        blocks = hits.withColumn("block", F.format_string("[%d] (%s)\n%s", F.col("rank"), F.col("doc_id").cast("string"), F.col("text")))
-        told = retrieval.context(blocks, self.config.budget).groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("context"), F.count("*").alias("n_hits"))
-        prompts = decided.where("NOT abstains").join(told, "query_id").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
-        prompts = prompts.select("query_id", "n_hits", F.concat_ws("\n\n", "context", "question").alias("prompt"))
-        replies = generate(prompts) if generate else prompts.select("query_id", F.concat(F.regexp_extract("prompt", r"(?s)^\[1\][^\n]*\n(.*?[.!?])(?:\s|$)", 1), F.lit(" [1]")).alias("answer"))
-        cited = replies.join(prompts.select("query_id", "n_hits"), "query_id").withColumn("cited", F.filter(citations(F.col("answer")), lambda x: (x >= 1) & (x <= F.col("n_hits"))))
+        """(query_id, abstained, answer, cited, invalid, grounded, language).
+
+        generate maps (query_id, prompt, question, context) to (query_id, answer); abstained rows never reach it.
+        """
+        c = self.config
+        told = [x for x in ("doc_id", "text", "source", "window_text") if x in self.passages.columns]
+        hits = self.retrieve(questions).join(self.passages.select(*told), "doc_id")
+        decided = retrieval.abstention(questions, hits, c.threshold, c.abstain, c.signal)
+        optional = lambda name: F.col(name) if name in told else F.lit(None).cast("string")
+        label = citation_label(optional("source"), F.col("doc_id"), F.col("text"))
+        shown = strip_page_markers(read_text(optional("window_text"), F.col("text")))
+        blocks = hits.withColumn("block", F.format_string("[%d] (%s)\n%s", F.col("rank"), label, shown))
+        held = retrieval.context(blocks, c.budget).groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("context"))
+        counts = hits.groupBy("query_id").agg(F.count("*").alias("n_hits"))
+        prompts = decided.where("NOT abstains").join(held, "query_id").join(counts, "query_id").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
+        prompts = prompts.withColumn("language", prompt_language(F.col("question"), c.language))
+        head = F.when(F.col("language") == "en", PROMPTS["en"].format(refusal=REFUSAL_TEXT["en"])).otherwise(PROMPTS["tr"].format(refusal=REFUSAL_TEXT["tr"]))
+        prompts = prompts.select("query_id", "n_hits", "question", "context", "language", F.concat(head, "context", F.lit("\n\n"), "question").alias("prompt"))
+        # Without a model the answer is the first sentence of the first passage, or all of it.
+        passage = F.regexp_extract("context", r"(?s)^\[1\][^\n]*\n(.*?)(?:\n\n\[2\] \(|$)", 1)
+        sentence = F.regexp_extract(passage, r"(?s)^(.*?[.!?])(?:\s|$)", 1)
+        replies = generate(prompts.select("query_id", "prompt", "question", "context")) if generate else prompts.select("query_id", F.concat(F.when(sentence == "", passage).otherwise(sentence), F.lit(" [1]")).alias("answer"))
+        marks = citations(F.col("answer"))
+        within = lambda x: (x >= 1) & (x <= F.col("n_hits"))
+        cited = replies.join(prompts.select("query_id", "n_hits", "language"), "query_id").withColumn("cited", F.filter(marks, within)).withColumn("invalid", F.filter(marks, lambda x: ~within(x)))
         out = decided.select("query_id", "abstains").join(cited, "query_id", "left")
         refused = is_refusal(F.col("answer")) & (F.size("cited") == 0)
-        return out.select("query_id", (F.col("abstains") | F.coalesce(refused, F.lit(True))).alias("abstained"), "answer", "cited")
+        grounded = F.coalesce((F.size("cited") > 0) & (F.size("invalid") == 0), F.lit(False))
+        return out.select("query_id", (F.col("abstains") | F.coalesce(refused, F.lit(True))).alias("abstained"), "answer", "cited", "invalid", grounded.alias("grounded"), "language")

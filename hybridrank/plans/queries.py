@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import evaluation as E
+from ..operators import reports as X
 from ..operators import retrieval as R
 from .. import sources as S
 
@@ -31,6 +32,11 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """documents for work on their texts, over all cores."""
+    return S.spread(read(spark, d, "documents"))
+
+
 def big(c) -> F.Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
@@ -184,7 +190,7 @@ _VOCABULARY = f"(SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_a
 
 @query(f"SELECT term, n FROM {_VOCABULARY}")
 def vocabulary(spark, d):
-    return S.vocabulary(read(spark, d, "documents"))
+    return S.vocabulary(texts(spark, d))
 
 
 @query()
@@ -210,7 +216,7 @@ _FIXED = """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) -
 
 @query(f"SELECT doc_id, ordinal, char_start, char_end, md5(c) AS chunk FROM ({_FIXED})")
 def fixed_chunks(spark, d):
-    return C.fixed_chunks(read(spark, d, "documents")).select("doc_id", "ordinal", "char_start", "char_end", F.md5("text").alias("chunk"))
+    return C.fixed_chunks(texts(spark, d)).select("doc_id", "ordinal", "char_start", "char_end", F.md5("text").alias("chunk"))
 
 
 @query(f"""SELECT count(*) AS n, min(x) AS least, max(x) AS most, list_sort(list(x))[count(*) // 4 + 1] AS q1, list_sort(list(x))[count(*) // 2 + 1] AS median, list_sort(list(x))[3 * count(*) // 4 + 1] AS q3, round(avg(x), 1) AS mean FROM (SELECT char_end - char_start AS x FROM ({_FIXED}))""")
@@ -227,7 +233,7 @@ def chunk_length_stats(spark, d):
 
 @query()
 def recursive_chunks(spark, d):
-    return C.recursive_chunks(read(spark, d, "documents")).select("doc_id", "ordinal", "char_start", "char_end", F.md5("text").alias("chunk"))
+    return C.recursive_chunks(texts(spark, d)).select("doc_id", "ordinal", "char_start", "char_end", F.md5("text").alias("chunk"))
 
 
 @query()
@@ -266,7 +272,7 @@ den AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 def _lexical(spark, d, k=30, stemmed=True, truncate=None):
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.bm25(items, read(spark, d, "documents").select("doc_id", "text"), k, stemmed, truncate)
+    return R.bm25(items, texts(spark, d).select("doc_id", "text"), k, stemmed, truncate)
 
 
 def _dense(spark, d, k=30):
@@ -355,12 +361,65 @@ def context_budget(spark, d):
 al AS (SELECT f.query_id, coalesce(any_value(be.raw), max(CASE WHEN rank = 1 THEN score END)) AS sig FROM fu f LEFT JOIN be USING (query_id) GROUP BY f.query_id)
 SELECT item_id AS query_id, round(sig, 6) AS signal, sig IS NULL OR sig < 20 AS abstains FROM benchmark LEFT JOIN al ON item_id = al.query_id""")
 def abstain_decision(spark, d):
-    lex = _lexical(spark, d)
-    hits = R.fuse(_dense(spark, d), lex, "weighted", k=5).drop("lexical_score").join(lex.select("query_id", "doc_id", F.col("score").alias("lexical_score")), ["query_id", "doc_id"], "left")
+    hits = R.fuse(_dense(spark, d), _lexical(spark, d), "weighted", k=5)
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
     return R.abstention(items, hits, 20.0).select("query_id", six("signal").alias("signal"), "abstains")
 
 
+def _engine(spark, d, **options):
+    from . import Config, Engine
+
+    passages = texts(spark, d).select("doc_id", "text")
+    return Engine(passages, Config(fusion="lexical_only", **options)), read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query(f"WITH {fused_sql('lexical_only')} SELECT query_id, fu.doc_id, fu.rank, round(fu.score, 6) AS score, round(lex.score, 6) AS raw FROM fu JOIN lex USING (query_id, doc_id)")
+def engine_retrieve(spark, d):
+    engine, asked = _engine(spark, d)
+    return engine.retrieve(asked).select("query_id", "doc_id", "rank", six("score").alias("score"), six("lexical_score").alias("raw"))
+
+
+@query(f"WITH {bm25_sql(5)} SELECT item_id AS query_id, coalesce(max(score), 0) < 20 AS abstained, coalesce(max(score), 0) >= 20 AS grounded FROM benchmark LEFT JOIN lex ON item_id = query_id GROUP BY item_id")
+def engine_abstain(spark, d):
+    engine, asked = _engine(spark, d, threshold=20.0)
+    return engine.ask(asked).select("query_id", "abstained", "grounded")
+
+
+_COSINE = "list_inner_product(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE)))"
+
+
+@query(f"SELECT a.vec_id AS left_id, b.vec_id AS right_id, round({_COSINE}, 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark) AND b.vec_id IN (SELECT item_id FROM benchmark)")
+def cosine_matrix(spark, d):
+    v = read(spark, d, "embeddings").join(read(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return R.cosine_matrix(v, v).select("left_id", "right_id", six("cosine").alias("cosine"))
+
+
+@query(f"""WITH tk AS (SELECT doc_id, unnest({tokens_sql('text', False)}) AS term FROM documents), hs AS (SELECT doc_id, CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) AS h FROM tk),
+pl AS (SELECT doc_id, h % 64 AS place, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END) AS w FROM hs GROUP BY doc_id, place), nm AS (SELECT doc_id, sqrt(sum(w * w)) AS nm FROM pl GROUP BY doc_id)
+SELECT doc_id, place, round(w / nm, 6) AS value FROM pl JOIN nm USING (doc_id) WHERE w <> 0""")
+def hashed_vectors(spark, d):
+    v = R.hashed_vectors(texts(spark, d).select("doc_id", "text")).select("doc_id", F.posexplode("vector").alias("place", "value"))
+    return v.where("value <> 0").select("doc_id", big("place").alias("place"), six("value").alias("value"))
+
+
+@query("""SELECT page_id, concat_ws(' · ', coalesce(nullif(src, ''), CAST(page_id AS VARCHAR)), nullif(head, ''), CASE WHEN page_id % 3 > 0 THEN concat('s.', page_id % 3) END) AS label,
+  CASE WHEN page_id % 2 = 0 THEN 'window' ELSE url END AS shown, page_id % 5 = 0 AS leaked, CASE page_id % 4 WHEN 0 THEN 'gpu' WHEN 1 THEN 'npu' WHEN 2 THEN 'cpu' ELSE 'unknown' END AS provider,
+  CASE WHEN page_id % 3 = 1 THEN 'en' ELSE 'tr' END AS language, CAST(page_id % 4 AS BIGINT) AS repairs
+FROM (SELECT *, CASE WHEN page_id % 2 = 0 THEN url ELSE '' END AS src, CASE WHEN page_id % 5 = 0 THEN 'Head' ELSE '' END AS head FROM pages)""")
+def passage_labels(spark, d):
+    n = lambda k: F.col("page_id") % k
+    text = F.when(n(3) > 0, F.concat(F.lit("[[page:"), n(3).cast("string"), F.lit("]]\nbody"))).otherwise("body")
+    label = T.citation_label(F.when(n(2) == 0, F.col("url")).otherwise(""), F.col("page_id"), text, F.when(n(5) == 0, "Head").otherwise(""))
+    model = F.concat(F.lit("model-generic"), F.when(n(4) == 0, "-gpu:4").when(n(4) == 1, "-npu").when(n(4) == 2, "-cpu:1").otherwise(":2"))
+    asked = F.when(n(3) == 1, "which of the rules are for this?").otherwise("bu nedir ve hangisi?")
+    words = F.concat(F.repeat(F.lit("ab c "), n(4).cast("int")), F.lit("end"))
+    reply = F.when(n(5) == 0, "Kurallar: 1. RULES:").otherwise("fine")
+    return read(spark, d, "pages").select(
+        "page_id", label.alias("label"), T.read_text(F.when(n(2) == 0, "window").otherwise(""), F.col("url")).alias("shown"), T.leaked(reply).alias("leaked"), T.execution_provider(model).alias("provider"),
+        T.prompt_language(asked).alias("language"), big(T.repair_count(words, F.replace(words, F.lit("ab c"), F.lit("abc")))).alias("repairs"),
+    )
+
+
 # -- evaluation ---------------------------------------------------------------------------------------------------
 _GOLD = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 _METRICS = f"""{bm25_sql(5)}, {_GOLD}, ng AS (SELECT query_id, count(*) AS ng FROM gold GROUP BY query_id),
@@ -372,7 +431,7 @@ me AS (SELECT item_id AS query_id, CASE WHEN ng > 0 THEN coalesce(h, 0) / CAST(l
 def _gold(spark, d):
     """Items whose text a document contains. The few items are matched in one pass over the documents."""
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    return read(spark, d, "documents").join(items, F.expr("contains(text, passage)")).select("query_id", "doc_id")
+    return texts(spark, d).join(F.broadcast(items), F.expr("contains(text, passage)")).select("query_id", "doc_id")
 
 
 def _metrics(spark, d, k=5, stemmed=True):
@@ -459,18 +518,21 @@ def permutation_test(spark, d):
     return E.permutation_test(_values(spark, d), 300).select(six("diff").alias("diff"), six("p").alias("p"), six("d").alias("d"), "n")
 
 
-@query(f"""WITH {_VALUES}, fe AS (SELECT i, a - b AS d FROM va ORDER BY i LIMIT 10), mn AS (SELECT k, avg(d * (1 - 2 * ((k >> i) & 1))) AS m FROM fe, range(1024) x(k) GROUP BY k)
-SELECT round((SELECT avg(d) FROM fe), 6) AS diff, round(avg(CASE WHEN round(abs(m), 12) >= round(abs((SELECT avg(d) FROM fe)), 12) THEN 1.0 ELSE 0.0 END), 6) AS p FROM mn""")
+@query(f"""WITH {_VALUES}, fe AS (SELECT i // 10 AS test, i % 10 AS i, a - b AS d FROM va), sz AS (SELECT test, count(*) AS n, avg(d) AS diff FROM fe GROUP BY test),
+mn AS (SELECT test, diff, k, avg(d * (1 - 2 * ((k >> i) & 1))) AS m FROM fe JOIN sz USING (test), range(1024) x(k) WHERE k < (1 << n) GROUP BY test, diff, k)
+SELECT test, round(diff, 6) AS diff, round(avg(CASE WHEN round(abs(m), 12) >= round(abs(diff), 12) THEN 1.0 ELSE 0.0 END), 6) AS p FROM mn GROUP BY test, diff""")
 def permutation_exact(spark, d):
-    return E.permutation_exact(_values(spark, d).where("i < 10")).select(six("diff").alias("diff"), six("p").alias("p"))
+    """All rows, in tests of ten pairs each."""
+    pairs = _values(spark, d).select(F.floor(F.col("i") / 10).alias("test"), (F.col("i") % 10).alias("i"), "a", "b")
+    return E.permutation_exact(pairs).select("test", six("diff").alias("diff"), six("p").alias("p"))
 
 
-_P = "pv AS (SELECT CAST(item_id AS VARCHAR) AS name, (item_id * 37 % 101 + 1) / 10000e0 AS p FROM benchmark WHERE item_id < 20)"
+_P = "pv AS (SELECT CAST(item_id AS VARCHAR) AS name, (item_id * 37 % 1009 + 1) / 1000000e0 AS p FROM benchmark)"
 
 
 @query(f"WITH {_P} SELECT name, p, min(CASE WHEN p <= 0.05e0 / (m - r + 1) THEN 1 ELSE 0 END) OVER (ORDER BY r) = 1 AS reject FROM (SELECT *, row_number() OVER (ORDER BY p, name) AS r, count(*) OVER () AS m FROM pv)")
 def holm(spark, d):
-    t = read(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").cast("string").alias("name"), ((F.col("item_id") * 37 % 101 + 1) / 10000).alias("p"))
+    t = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("name"), ((F.col("item_id") * 37 % 1009 + 1) / 1000000).alias("p"))
     return E.holm(t)
 
 
@@ -509,3 +571,96 @@ def corpus_stats(spark, d):
 def telemetry_summary(spark, d):
     t = E.latency_summary(read(spark, d, "events").select("event_type", "value"), "event_type")
     return t.select("event_type", "n", F.round("total", 4).alias("total"), six("median").alias("median"), six("p95").alias("p95"), six("most").alias("most"))
+
+
+# -- runs and reports ---------------------------------------------------------------------------------------------
+_ANSWERS = """an AS (SELECT item_id AS query_id, item_id % 3 = 0 AS ab, item_id % 4 = 0 AS sh, CASE WHEN item_id % 6 = 5 THEN [] ELSE [item_id % 3 + 1, item_id % 7 + 1] END AS ci, item_id % 5 = 0 AS inv, item_id % 3 AS g FROM benchmark),
+me AS (SELECT *, len(ci) > 0 AS hc, CASE WHEN len(list_filter(ci, lambda c: c <= 4)) > 0 THEN len(list_filter(ci, lambda c: c <= 4 AND c - 1 = g)) / CAST(len(list_filter(ci, lambda c: c <= 4)) AS DOUBLE) ELSE 0.0 END AS cp FROM an)"""
+
+
+def _answers(spark, d):
+    i = F.col("item_id")
+    rows = read(spark, d, "benchmark").select(
+        i.alias("query_id"), (i % 3 == 0).alias("abstained"), (i % 4 == 0).alias("should_abstain"), F.when(i % 6 == 5, F.array().cast("array<bigint>")).otherwise(F.array(i % 3 + 1, i % 7 + 1)).alias("citations"),
+        F.when(i % 5 == 0, F.array(F.lit(9))).otherwise(F.array().cast("array<int>")).alias("invalid"), F.array(*[i + k for k in range(4)]).alias("retrieved"), F.array(i + i % 3).alias("gold"),
+    )
+    return X.answer_metrics(rows)
+
+
+@query(f"WITH {_ANSWERS} SELECT query_id, hc AS has_citations, inv AS has_invalid, round(cp, 6) AS citation_precision, ab = sh AS abstention_correct FROM me")
+def answer_metrics(spark, d):
+    return _answers(spark, d).select("query_id", "has_citations", "has_invalid", six("citation_precision").alias("citation_precision"), "abstention_correct")
+
+
+@query(f"""WITH {_ANSWERS} SELECT count(*) AS n, round(avg(CASE WHEN ab = sh THEN 1.0 ELSE 0 END), 6) AS abstention_accuracy, round(avg(CASE WHEN hc THEN 1.0 ELSE 0 END), 6) AS citation_rate, round(avg(CASE WHEN inv THEN 1.0 ELSE 0 END), 6) AS invalid_rate,
+  round(avg(CASE WHEN ab THEN 1.0 ELSE 0 END) FILTER (sh), 6) AS refusal_recall, round(avg(CASE WHEN ab THEN 0 ELSE 1.0 END) FILTER (NOT sh), 6) AS answer_rate, round(avg(cp) FILTER (NOT sh), 6) AS citation_precision FROM me""")
+def answer_summary(spark, d):
+    out = X.answer_summary(_answers(spark, d))
+    return out.select("n", *[six(c).alias(c) for c in out.columns if c != "n"])
+
+
+@query("SELECT event_type, round(list_sort(list(value))[count(*) // 2 + 1], 6) AS p50, round(list_sort(list(value))[CASE WHEN count(*) > 1 THEN least(count(*), CAST(round_even(0.95e0 * count(*), 0) AS BIGINT)) ELSE 1 END], 6) AS p95, round(max(value), 6) AS most, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
+def run_latency(spark, d):
+    out = E.run_latency(read(spark, d, "events").select("event_type", "value"), "event_type")
+    return out.select("event_type", *[six(c).alias(c) for c in ("p50", "p95", "most", "mean")])
+
+
+def _runs(spark, d):
+    rows = _values(spark, d)
+    own = lambda value: rows.select(F.col("i").alias("position"), F.concat(F.lit("q"), F.col("i").cast("string")).alias("question"), F.lit(True).alias("answerable"), F.array("i").alias("gold"), value.alias("value"))
+    return own(F.col("a")), own(F.col("b")), own(F.col("a") + F.col("i") % 2)
+
+
+_TEST = f"mn AS (SELECT name, r, avg(d * (1 - 2 * ({_DRAW.format(chr(39).join(['concat_ws(', ':', ', ', '20260801', ', r, i)']))} % 2))) AS m FROM pr, range(200) x(r) GROUP BY name, r), ob AS (SELECT name, avg(d) AS diff, max(abs(d)) AS most FROM pr GROUP BY name), te AS (SELECT name, any_value(diff) AS diff, CASE WHEN any_value(most) <= 1e-8 THEN 1.0 ELSE (count(*) FILTER (round(abs(m), 12) >= round(abs(diff), 12)) + 1) / 201e0 END AS p FROM mn JOIN ob USING (name) GROUP BY name)"
+
+
+@query(f"""WITH {_VALUES}, pr AS (SELECT 'b' AS name, i, a - b AS d FROM va UNION ALL SELECT 'shifted', i, -(i % 2) FROM va), {_TEST}
+SELECT name, round(diff, 6) AS diff, round(p, 6) AS p, min(CASE WHEN p <= 0.05e0 / (m - r + 1) THEN 1 ELSE 0 END) OVER (ORDER BY r) = 1 AS reject FROM (SELECT *, row_number() OVER (ORDER BY p, name) AS r, count(*) OVER () AS m FROM te)""")
+def compare_configs(spark, d):
+    a, b, shifted = _runs(spark, d)
+    return X.compare_many({"b": b, "shifted": shifted}, a, resamples=200).select("name", six("diff").alias("diff"), six("p").alias("p"), "reject")
+
+
+@query(f"WITH {_VALUES}, pr AS (SELECT 'g' AS name, i, a - b AS d FROM va), {_TEST} SELECT round(diff, 6) AS diff, round(p, 6) AS p FROM te")
+def compare_by_gold(spark, d):
+    a, b, _ = _runs(spark, d)
+    return X.compare_by_gold(a, b.withColumn("question", F.lit("reworded")), 200).select(six("diff").alias("diff"), six("p").alias("p"))
+
+
+@query("""SELECT variant, count(*) AS n, count(*) FILTER (variant <> 'unanswerable') AS n_answerable, count(DISTINCT source) AS documents, round(avg(CASE WHEN variant = 'unanswerable' THEN NULL ELSE n_chars % 10 / 10e0 END), 4) AS gold_overlap,
+  count(*) FILTER (variant = 'paraphrased' AND doc_id % 4 = 1) AS echoes, round(avg(length(coalesce(lang, ''))), 1) AS mean_chars
+FROM (SELECT *, ['generated', 'paraphrased', 'unanswerable'][doc_id % 3 + 1] AS variant FROM documents) GROUP BY variant""")
+def evalset_stats(spark, d):
+    i = F.col("doc_id")
+    variant = F.when(i % 3 == 0, "generated").when(i % 3 == 1, "paraphrased").otherwise("unanswerable")
+    rows = read(spark, d, "documents").select(variant.alias("variant"), (i % 3 != 2).alias("answerable"), F.col("source").alias("source_doc"), F.coalesce("lang", F.lit("")).alias("question"), F.when(i % 3 != 2, F.col("n_chars") % 10 / 10).alias("gold_overlap"), (i % 4 == 1).alias("echo"))
+    return X.evalset_stats(rows)
+
+
+@query(f"WITH pr AS (SELECT {_COSINE} AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT count(*) AS n, round(avg(c), 6) AS mean, round(quantile_cont(c, 0.5), 6) AS median, round(min(c), 6) AS least, round(quantile_cont(c, 0.1), 6) AS p10, count(*) FILTER (c < 0.8) AS suspect FROM pr")
+def paraphrase_fidelity(spark, d):
+    v = read(spark, d, "embeddings").select("vec_id", "embedding")
+    pairs = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select(T.dot(F.col("embedding"), F.col("other")).alias("cosine"))
+    out = X.fidelity(pairs)
+    return out.select("n", "suspect", *[six(c).alias(c) for c in ("mean", "median", "least", "p10")])
+
+
+@query("SELECT role AS model, count(*) AS n, round(avg(length(text)), 6) AS mean_latency, count(*) FILTER (turn % 3 <> 0 AND contains(lower(text), 'the')) AS grounded, count(*) FILTER (turn % 3 = 0 AND conv_id % 2 = 0) AS refused FROM conversations GROUP BY role")
+def model_comparison(spark, d):
+    c = read(spark, d, "conversations")
+    answer = F.when(F.col("conv_id") % 2 == 0, F.concat("text", F.lit(" Not present in it."))).otherwise(F.col("text"))
+    rows = c.select(F.col("role").alias("model"), answer.alias("answer"), F.length("text").alias("latency"), F.array(F.lit("THE")).alias("must_contain"), (F.col("turn") % 3 == 0).alias("expect_refusal"))
+    return X.model_comparison(rows).select("model", "n", six("mean_latency").alias("mean_latency"), "grounded", "refused")
+
+
+@query("""SELECT role AS language, CAST(turn % 4 AS BIGINT) AS budget, count(*) FILTER (conv_id % 2 = 1 AND conv_id % 3 = 0) AS refused, count(*) FILTER (conv_id % 5 = 0) AS leaks, count(*) FILTER (conv_id % 2 = 0 AND conv_id % 3 <> 0) AS answered, round(avg(length(text)), 6) AS mean_latency FROM conversations GROUP BY role, turn % 4""")
+def prompt_ablation(spark, d):
+    i = F.col("conv_id")
+    answer = F.concat("text", F.when(i % 3 == 0, " It cannot answer.").otherwise(" [1]"), F.when(i % 5 == 0, " Rules: none").otherwise(""))
+    rows = read(spark, d, "conversations").select(F.col("role").alias("language"), big(F.col("turn") % 4).alias("budget"), (i % 2 == 0).alias("answerable"), answer.alias("answer"), T.citations(answer).alias("citations"), F.length("text").alias("latency"))
+    return X.prompt_ablation(rows).select("language", "budget", "refused", "leaks", "answered", six("mean_latency").alias("mean_latency"))
+
+
+@query("SELECT bool_and(confidence BETWEEN 0 AND 1) AS bounded FROM (SELECT least(n_chars / 4000e0, 1.0) AS confidence FROM documents JOIN labels USING (doc_id))")
+def bounded_scores(spark, d):
+    return E.is_bounded(_confidence(spark, d).withColumnRenamed("confidence", "score"))

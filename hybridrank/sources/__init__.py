@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import clean_text, detect_language, turkish_lower
+from ..functions.text import clean_text, detect_language, repair_count, turkish_lower
 
 DROPPED_TAGS = ("script", "style", "nav", "footer", "header", "title")
 ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("amp", "&"))
@@ -48,19 +48,44 @@ def markdown_title(c):
     return F.trim(F.regexp_extract(c, r"(?m)^# (.*)$", 1))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the files have fewer splits than that, as a single row group has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(doc_id, source, text, path, language) of every readable file below path; the id is the relative path without suffix."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", F.decode("content", "UTF-8").alias("raw"))
+    """(doc_id, source, text, path, language) of every readable file below path; the id is the relative path without suffix.
+
+    Bytes that are no UTF-8 become replacement characters; a missing folder raises.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        raise FileNotFoundError(path)
+    root = system.makeQualified(folder).toUri().getPath().rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", F.expr("make_valid_utf8(cast(content AS string))").alias("raw"))
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    base = F.regexp_replace("path", r"^.*?" + path.rstrip("/").replace(".", r"\.") + "/", "")
+    # Paths come with percent-encoded bytes and a scheme; the root is cut off as plain text.
+    plain = F.expr("try_url_decode(replace(path, '+', '%2B'))")
+    base = F.substring_index(F.coalesce(plain, "path"), root, -1)
     rows = files.withColumn("suffix", suffix).where(F.col("suffix").isin(*SUFFIXES))
     title = F.when(F.col("suffix").isin(".html", ".htm"), html_title(F.col("raw"))).when(F.col("suffix").isin(".md", ".markdown"), markdown_title(F.col("raw"))).otherwise(F.lit(""))
     text = F.when(F.col("suffix").isin(".html", ".htm"), html_text(F.col("raw"))).otherwise(F.col("raw"))
-    stem = F.regexp_extract("path", r"([^/]+?)\.[^./]+$", 1)
+    stem = F.regexp_extract(base, r"([^/]+?)\.[^./]+$", 1)
     docs = rows.select(F.regexp_replace(base, r"\.[^./]+$", "").alias("doc_id"), F.coalesce(F.nullif(title, F.lit("")), stem).alias("source"), text.alias("text"), "path")
     return as_documents(docs)
 
 
+def load_corpus(spark: SparkSession, path: str, recursive: bool = True, repair: bool = True) -> DataFrame:
+    """read_files with broken words repaired by the corpus's own vocabulary; repairs is their number in each document."""
+    docs = read_files(spark, path, recursive)
+    if not repair:
+        return docs.withColumn("repairs", F.lit(0))
+    fixed = repair_word_breaks(docs.withColumn("_before", F.col("text")), vocabulary(docs))
+    return fixed.withColumn("repairs", repair_count(F.col("_before"), F.col("text"))).drop("_before")
+
+
 def as_documents(docs: DataFrame) -> DataFrame:
     """Cleaned texts of at least LEAST_TEXT characters, with their language."""
     cleaned = normalized(docs).withColumn("text", clean_text(F.col("text")))

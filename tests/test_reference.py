@@ -10,6 +10,7 @@ from hybridrank import sources as S
 from hybridrank.functions import text as T
 from hybridrank.operators import chunking as C
 from hybridrank.operators import evaluation as E
+from hybridrank.operators import reports as X
 from hybridrank.operators import retrieval as R
 from hybridrank.plans import Config, Engine, Snapshot, sweep_configs
 from hybridrank.plans import queries as Q
@@ -134,7 +135,7 @@ def test_files_snapshot_and_engine(spark, tmp_path):
     engine = Engine(passages, Config(fusion="lexical_only", threshold=-1.0))
     assert [(r.query_id, r.doc_id) for r in engine.retrieve(questions).collect()] == [("1", "a::0")]
     assert {r.query_id: r.abstained for r in engine.ask(questions).collect()} == {"1": False, "2": True, "3": True}
-    assert len({c.fingerprint() for c in sweep_configs()}) == len(sweep_configs()) == 10
+    assert len({c.fingerprint() for c in sweep_configs()}) == len(sweep_configs()) == 12
 
 
 def test_engine_diversifies_and_reranks(spark):
@@ -176,3 +177,86 @@ def test_query_against_sql(spark, duck, name):
     rows = [tuple(r[i] for i in at) for r in theirs.fetchall()]
     key = lambda r: tuple("" if x is None else f"{x:.5f}" if isinstance(x, float) else str(x) for x in r)
     assert sorted(map(key, (tuple(r) for r in ours.select(*names).collect()))) == sorted(map(key, rows))
+
+
+def test_recursive_repacks_to_one_piece():
+    text = "a" * 450 + "\n\n" + "b" * 449
+    assert [len(x) for x in C.recursive_pieces(text, 900)] == [900]
+
+
+def test_every_chunker_with_default_knobs(spark):
+    docs = spark.createDataFrame([(1, "One sentence here.  Another  one follows. " * 40), (2, None), (3, "")], "doc_id long, text string")
+    for strategy in ("fixed", "recursive", "sentence_window"):
+        out = C.chunk(docs, strategy)
+        assert out.columns == C.CHUNK_COLUMNS and {r.doc_id for r in out.collect()} == {1}
+    rows = spark.createDataFrame([(1, i, f"s{i}", [1.0, 0.0] if i < 4 else [0.0, 1.0]) for i in range(8)], "doc_id long, ordinal long, text string, vector array<double>")
+    assert [r.text for r in C.chunk(rows, "semantic").orderBy("ordinal").collect()] == ["s0 s1 s2 s3", "s4 s5 s6 s7"]
+
+
+def test_engine_by_default_abstains_on_raw_scores(spark):
+    passages = spark.createDataFrame([(f"p{i}", f"filler{i} words of passage {i} that say nothing", [1.0, 0.0]) for i in range(30)] + [("x", "zebra quagga okapi. More text.", [0.0, 1.0])], "doc_id string, text string, vector array<double>")
+    asked = spark.createDataFrame([("q", "zebra quagga okapi", [0.0, 1.0]), ("r", "unknown thing", [0.0, 1.0])], "query_id string, text string, vector array<double>")
+    got = {r.query_id: r for r in Engine(passages, Config()).ask(asked).collect()}
+    assert not got["q"].abstained and got["q"].grounded and got["q"].cited == [1]
+    top = Engine(passages, Config()).retrieve(asked).where("query_id = 'q' AND rank = 1").first()
+    assert top.doc_id == "x" and top.lexical_score > 6.9 and top.score <= 1.0
+    assert R.strategies(*[R.bm25(asked, passages, 5)] * 2, 2).groupBy("strategy").count().count() == 4
+    assert top.asDict().keys() >= {"dense_score", "lexical_score"}
+    assert Engine(passages, Config()).retrieve(asked).select(R.explain().alias("e")).where("e LIKE '%bm25 #1 (%'").count() == 1
+
+
+def test_engine_reads_its_snapshot(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i}", f"passage {i} tells of topic{i} and more. " * 6) for i in range(6)], "doc_id string, text string")
+    snap = Snapshot(spark, str(tmp_path / "ix"), Config(fusion="lexical_only", threshold=0.0))
+    first = snap.build(docs)["version"]
+    engine = snap.engine()
+    asked = spark.createDataFrame([("q", "topic4")], "query_id string, text string")
+    assert [r.doc_id for r in engine.retrieve(asked).collect()] == ["d4::0"]
+    plain = Engine(snap.table("chunks").select(F.col("chunk_id").alias("doc_id"), "text"), snap.config).retrieve(asked).first()
+    assert abs(plain.lexical_score - engine.retrieve(asked).first().lexical_score) < 1e-9
+    assert snap.build(docs, force=True)["version"] > first and snap.chunk_ids().count() == 6
+    with pytest.raises(Exception, match="must have 3"):
+        snap.add_vectors(spark.createDataFrame([("d0::0", [1.0])], "doc_id string, vector array<double>"), 3)
+    with pytest.raises(ValueError):
+        Config.from_dict({"nonsense": 1})
+
+
+def test_files_with_odd_paths_and_bytes(spark, tmp_path):
+    (tmp_path / "in (1)+ x").mkdir()
+    (tmp_path / "in (1)+ x/y.txt").write_bytes(b"bad \xff byte in a text that is long enough to be taken as one document")
+    (row,) = S.load_corpus(spark, str(tmp_path / "in (1)+ x")).collect()
+    assert row.doc_id == "y" and "�" in row.text and row.repairs == 0
+    with pytest.raises(FileNotFoundError):
+        S.read_files(spark, str(tmp_path / "none"))
+
+
+def test_run_comparisons_check_their_pairs(spark):
+    run = lambda rows: spark.createDataFrame(rows, "position long, question string, answerable boolean, gold array<long>, value double")
+    a, b = run([(0, "x", True, [1], 1.0), (1, "y", True, [2], 0.5)]), run([(0, "y", True, [1], 1.0), (1, "x", True, [2], 0.0)])
+    with pytest.raises(ValueError):
+        X.compare(a, b)
+    assert abs(X.compare_by_gold(a, b, 50).first()["diff"] - 0.25) < 1e-9
+    with pytest.raises(ValueError):
+        X.compare_by_gold(a, run([(0, "y", True, [], 1.0), (1, "x", True, [2], 0.0)]))
+    with pytest.raises(ValueError):
+        X.compare_by_gold(a, run([(0, "y", True, [1], 1.0)]))
+
+
+def test_paraphrases(spark):
+    items = spark.createDataFrame([(1, "What does the old garden rule say?", "garden rule"), (2, "When is the library open today?", "library"), (3, "Who signs the form in spring?", "form")], "item_id long, question string, gold_text string")
+    tries = spark.createDataFrame(
+        [(1, 0, "What does the old garden rule say?"), (1, 1, "1. How must one treat plants outside?"), (2, 0, "When is the library open today?\nnoise"), (3, 0, "short?")], "item_id long, attempt int, raw string"
+    )
+    got = {r.item_id: r for r in X.paraphrases(items, tries).collect()}
+    assert got[1].question == "How must one treat plants outside?" and not got[1].echo
+    assert got[2].question == "When is the library open today?" and got[2].echo
+    assert got[3].question == "Who signs the form in spring?" and got[3].echo and got[3].gold_overlap > 0
+    assert X.unanswerable(spark, ["a?", "b?"], 1).count() == 1
+    assert [r[0] for r in spark.createDataFrame([("z",), ("paraphrased",), ("generated",)], "v string").orderBy(X.variant_order(F.col("v"))).collect()] == ["generated", "paraphrased", "z"]
+
+
+def test_question_texts(spark):
+    raw = spark.createDataFrame([('2) "Soru: Bu kural kime uygulanır?"\nek',), ("yukarıda ne yazıyor acaba?",), ("kısa?",)], "t string")
+    got = [(r.c, r.u) for r in raw.select(T.clean_question(F.col("t")).alias("c"), T.is_usable_question(T.clean_question(F.col("t")), X.REFERENTIAL).alias("u")).collect()]
+    assert got[0][1] and not got[1][1] and not got[2][1]
+    assert T.with_instruction(F.lit("x"), "Query: {query}!") is not None
