@@ -7,12 +7,16 @@ all of these share the root as parent. There is no level above one word of histo
 Texts are packed. Each pack asks once for each distinct (context, word) pair, dealt by the hash of both, and
 the first pack that holds a pair in training learns its count; packs then ask for their distinct words, with
 the pairs they were first for. A pair with one customer has one table for good, so only pairs of two or more
-are rows of the sampler, and so are the words found twice or more. A sweep samples how many tables serve a
-word in each restaurant, all at once given the sums of the last sweep: from the exact conditional of the table
-count (generalised Stirling numbers times the parent's predictive probability) for up to EXACT customers, and
-by seating growing groups of customers beyond. Sums by context and by word stay in distributed tables; a few
-totals pass the driver. The last SAMPLES sweeps are averaged and sent back to the packs, which add the
-logarithms up by text.
+are seated, and so are the words found twice or more.
+
+Bucket b of the sampler has the pairs of one share of hashes and the root's words of another. A sweep is two
+exchanges of compressed blobs: pairs send what tables they have added by word and by context, and the root
+samples its tables and answers with the customers, tables and totals that each pair needs. A table count is
+drawn from its conditional given all others as they last stood, with the pair's own tables taken out of the
+restaurant and of the root (generalised Stirling numbers times the parent's predictive probability) for up
+to EXACT customers, and by seating growing groups of customers beyond. No sweep passes the driver, and shuffle
+files are all that is kept between them. The last SAMPLES sweeps are averaged and sent back to the packs,
+which add the logarithms up by text.
 
 Defined edge cases: a null or blank text is its end token alone; with no training text every word is unknown
 and V is 0; very long texts make one large pack; a null doc_id trains, as its remainder is not HELD_OUT's; rows
@@ -22,9 +26,10 @@ doc_id and text are not read.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,7 @@ from .packs import bucket_count, by_bucket, dealt, edges, packed, unpack, unzipp
 
 #: Contexts of the in-memory _Bucket; the query has no such bound.
 HEADS = 255
-BURN_IN, SAMPLES = 2, 3
+BURN_IN, SAMPLES = 1, 2
 STRENGTH, ROOT_STRENGTH = 1.0, 10.0
 EXACT = 64
 SEED = 29
@@ -148,7 +153,7 @@ def _merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ask_words(buckets: int) -> Callable:
-    """Words with their counts and the pairs the pack is first for, by context and by word; pairs of two or more customers in bucket -1."""
+    """Words with their counts and the pairs the pack is first for, by context and by word; pairs of two or more customers under -1 less their bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,21 +168,13 @@ def _ask_words(buckets: int) -> Callable:
                 n, first = len(p.words), np.flatnonzero(told)
                 as_context, as_dish = (np.bincount(x[first], minlength=n) for x in (p.pair_context, p.pair_word))
                 yield _sent([(pack, i, x) for i, x in _parts(p.words, buckets, (p.words, p.count, as_context, as_dish))])
-                live = np.flatnonzero(told > 1)
-                if len(live):
-                    yield _sent([(pack, -1, _blob(p.words[p.pair_context[live]], p.words[p.pair_word[live]], of[live], at[live], told[live]))])
+                live = np.flatnonzero(told > 1)  # in order of bucket
+                ends = np.flatnonzero(np.diff(of[live], append=-1)) + 1
+                yield _sent([(pack, -1 - int(of[own[0]]), _blob(p.words[p.pair_context[own]], p.words[p.pair_word[own]], at[own], told[own])) for own in np.split(live, ends[:-1]) if len(own)])
 
     return run
 
 
-def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for x in b.column("data"):
-            context, word, bucket, at, n = _read(unzipped(x.as_py()), np.int64, np.int64, np.int32, np.int64, np.int64)
-            for i in range(0, len(n), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in (context, word, bucket, at, n)], ["context", "word", "bucket", "at", "n"])
-
-
 def _merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each bucket a row (pack -1) with its words, then for each pack where its words are among them."""
     for bucket, held, blobs in by_bucket(batches, "data"):
@@ -189,17 +186,6 @@ def _merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _sent([(pack, bucket, _blob(np.diff(where[at[k] : at[k + 1]], prepend=0).astype(np.int32)))])
 
 
-def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words whose seating can change: all that are found twice or more, and the beginning."""
-    for b in batches:
-        for x in b.column("data"):
-            word, count, as_context, as_dish = _read(unzipped(x.as_py()), np.int64, np.int64, np.int64, np.int64)
-            own = np.flatnonzero((count > 1) | (word.view(np.uint64) == BEGIN))
-            for i in range(0, len(own), 1 << 16):
-                k = own[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(c[k]) for c in (word, as_context, as_dish)], ["word", "as_context", "as_dish"])
-
-
 def _facts(column: int) -> Callable:
     """Sum and numbers of counts above 0, of 1 and of 2 of each row with a bucket's counts."""
 
@@ -307,61 +293,131 @@ class Totals:
         return root_probability(customers, tables, self.customers, self.tables, self.vocabulary, self.root_discount)
 
 
-def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
-    return [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+#: Kinds of rows of the sampler's buckets, in the order in which a bucket gets them.
+ROOT, SEATS, PIECE, TABLES, REPLY = range(5)
+_STATE = "bucket int, kind int, src long, data binary"
 
 
-def _rng(sweep: int, b: pa.RecordBatch, *names: str) -> np.random.Generator:
-    """Seeded by the sweep and the first row of a batch, whose rows are sorted."""
-    return np.random.default_rng([SEED, sweep, *[b.column(c)[0].as_py() % (1 << 64) for c in names]])
+def _dump(*values) -> bytes:
+    return zipped(pickle.dumps(values, protocol=5))
 
 
-def _sample_pairs(totals: Totals, sweep: int) -> Callable:
+def _load(raw: bytes) -> tuple:
+    return pickle.loads(unzipped(raw))
+
+
+def _stated(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "kind", "src", "data"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[tuple[int, bytes]]]]]:
+    """Each bucket's rows by kind; they follow one another, sorted by kind and source."""
+    bucket, rows = None, {}
+    for b in batches:
+        for k, kind, src, x in zip(b.column("bucket").to_pylist(), b.column("kind").to_pylist(), b.column("src").to_pylist(), b.column("data")):
+            if k != bucket and rows:
+                yield bucket, rows
+                rows = {}
+            bucket = k
+            rows.setdefault(kind, []).append((src, x.as_py()))
+    if rows:
+        yield bucket, rows
+
+
+def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The root's rows: the words whose seating can change, all that are found twice or more, and the beginning."""
+    for b in batches:
+        for bucket, x in zip(b.column("bucket").to_pylist(), b.column("data")):
+            word, count, as_context, as_dish = _read(unzipped(x.as_py()), np.uint64, np.int64, np.int64, np.int64)
+            own = (count > 1) | (word == BEGIN)
+            yield _stated([(bucket, ROOT, 0, _dump(word[own], as_context[own], as_dish[own], as_dish[own], np.minimum(as_dish[own], 1), as_context[own], []))])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            yield _stated([(-1 - k, PIECE, pack, x.as_py()) for pack, k, x in zip(b.column("pack").to_pylist(), b.column("bucket").to_pylist(), b.column("data"))])
+
+
+def _seated(pieces: list[bytes]) -> list:
+    """Pairs in order of their place, with one table each, and the distinct words that they name, in order of hash."""
+    _, (context, word, at, n) = _joined(pieces, np.uint64, np.uint64, np.int64, np.int64)
+    order = np.argsort(at)
+    keys, where = np.unique(np.concatenate([context[order], word[order]]), return_inverse=True)
+    where = where.astype(np.int32)
+    return [keys, where[: len(at)], where[len(at) :], at[order], n[order], np.ones(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.float32)]
+
+
+def _seat(sweep: int, buckets: int, totals: Totals, once: int) -> Callable:
+    """Takes the root's replies, samples the tables of pairs, and sends sums of those added; sweep -1 only begins."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stirling = log_stirling(totals.discount)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n, t, here, customers, tables, own = _columns(b, "n", "t", "here", "customers", "tables", "own")
-            t = sample_tables(n, np.maximum(here - t, 0), totals.root(customers, tables), STRENGTH, totals.discount, stirling, _rng(sweep, b, "context", "word"))
-            if sweep >= BURN_IN:
-                own = own + np.maximum(n - totals.discount * t, 0.0) / SAMPLES
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("context", "word", "bucket", "at", "n")], pa.array(t), pa.array(own)], ["context", "word", "bucket", "at", "n", "t", "own"])
+        for bucket, rows in _grouped(batches):
+            root = _load(rows[ROOT][0][1]) if ROOT in rows else None
+            seats, now = _load(rows[SEATS][0][1]) if SEATS in rows else (_seated([x for _, x in rows.get(PIECE, [])]), totals)
+            keys, of_context, of_word, at, n, t, own = seats
+            if sweep >= 0:
+                parts = [_load(x) for _, x in rows[REPLY]]  # in order of the root's buckets, as keys are
+                customers, tables, here = (np.concatenate([p[k] for p in parts]) for k in range(3))
+                now = replace(now, customers=once + sum(p[3] for p in parts), tables=once + sum(p[4] for p in parts))
+                c, kept = customers[of_word] - t, np.minimum(tables[of_word], customers[of_word] - t)
+                parent = root_probability(c, kept, now.customers - t, now.tables - (tables[of_word] - kept), now.vocabulary, now.root_discount)
+                t = sample_tables(n, np.maximum(here[of_context] - t, 0), parent, STRENGTH, now.discount, stirling, np.random.default_rng([SEED, sweep, bucket]))
+                if sweep >= BURN_IN:
+                    own = own + (np.maximum(n - now.discount * t, 0.0) / SAMPLES).astype(np.float32)
+                    if root:
+                        root[6].append((now.root(root[3], root[4]).astype(np.float32), root[5].astype(np.float32)))
+            out = [(bucket, SEATS, 0, _dump([keys, of_context, of_word, at, n, t, own], now))]
+            if root:
+                out.append((bucket, ROOT, 0, _dump(*root)))
+            dish, context = (np.bincount(x, weights=t - 1, minlength=len(keys)).astype(np.int64) for x in (of_word, of_context))
+            cut_at = edges(keys >> np.uint64(17), buckets)
+            out += [(i, TABLES, bucket, _dump(*[x[cut_at[i] : cut_at[i + 1]] for x in (keys, dish, context)])) for i in np.flatnonzero(np.diff(cut_at)).tolist()]
+            yield _stated(out)
 
     return run
 
 
-def _sample_root(totals: Totals, sweep: int) -> Callable:
+def _sample_root(sweep: int, buckets: int, totals: Totals) -> Callable:
+    """Adds up the tables of all pairs, samples those of the root and replies to every bucket."""
+    base = 1.0 / (totals.vocabulary + 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stirling = log_stirling(totals.root_discount)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            customers, tables = _columns(b, "customers", "tables")
-            base = np.full(len(customers), 1.0 / (totals.vocabulary + 1))
-            tables = sample_tables(customers, np.maximum(totals.tables - tables, 0), base, ROOT_STRENGTH, totals.root_discount, stirling, _rng(sweep, b, "word"))
-            yield pa.RecordBatch.from_arrays([b.column(c) if c != "tables" else pa.array(tables) for c in b.schema.names], b.schema.names)
+        for bucket, rows in _grouped(batches):
+            none = np.empty(0, dtype=np.int64)
+            word, as_context, as_dish, _, tables, _, facts = _load(rows[ROOT][0][1]) if ROOT in rows else (none.astype(np.uint64), none, none, none, none, none, [])
+            _, now = _load(rows[SEATS][0][1]) if SEATS in rows else (None, totals)
+            customers, here, asked = as_dish.copy(), as_context.copy(), {}
+            for src, x in rows.get(TABLES, []):
+                keys, dish, context = _load(x)
+                at = asked[src] = np.searchsorted(word, keys)
+                customers[at] += dish
+                here[at] += context
+            tables = sample_tables(customers, np.maximum(now.tables - tables, 0), np.full(len(word), base), ROOT_STRENGTH, now.root_discount, stirling, np.random.default_rng([SEED, sweep, bucket, 1]))
+            out = [(bucket, ROOT, 0, _dump(word, as_context, as_dish, customers, tables, here, facts))]
+            out += [(bucket, SEATS, 0, x) for _, x in rows.get(SEATS, [])]
+            sums = int(customers.sum()), int(tables.sum())
+            out += [(i, REPLY, bucket, _dump(*[x[asked.get(i, none)] for x in (customers, tables, here)], *sums)) for i in range(buckets)]
+            yield _stated(out)
 
     return run
 
 
-def _to_buckets(buckets: int | None, key: str, *names: str) -> Callable:
-    """Rows as pieces (pack -2) of the buckets that they belong to: by hash, or as the column bucket says."""
+def _sampled(kind: int) -> Callable:
+    """What the replies need of the last state, as rows of pack -2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            columns = _columns(b, *names)
-            if buckets:
-                value = columns[0].view(np.uint64)
-                order = np.argsort(value)
-                yield _sent([(-2, i, x) for i, x in _parts(value[order], buckets, tuple(c[order] for c in columns))])
-            else:
-                of = b.column(key).to_numpy()
-                order = np.argsort(of, kind="stable")
-                ends = np.flatnonzero(np.diff(of[order], append=-1)) + 1
-                yield _sent([(-2, int(of[own[0]]), _blob(*[c[own] for c in columns])) for own in np.split(order, ends[:-1])])
+            for bucket, x in zip(b.column("bucket").to_pylist(), b.column("data")):
+                if kind == SEATS:
+                    (_, _, _, at, _, _, own), _ = _load(x.as_py())
+                    yield _sent([(-2, bucket, _blob(at, own))])
+                else:
+                    word, *_, facts = _load(x.as_py())
+                    yield _sent([(-2, bucket, _blob(word, *[c for f in facts for c in f]))])
 
     return run
 
@@ -372,28 +428,32 @@ def _reply_pairs(discount: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, held, blobs in by_bucket(batches, "data"):
             sampled = held.count(-2)
-            _, (at, value) = _joined(blobs[:sampled], np.int64, np.float64)
-            own = np.maximum(_read(unzipped(blobs[sampled]), np.int64)[0] - discount, 0.0)
+            if sampled == len(held):
+                continue  # nothing was asked here
+            _, (at, value) = _joined(blobs[:sampled], np.int64, np.float32)
+            own = np.maximum(_read(unzipped(blobs[sampled]), np.int64)[0] - discount, 0.0).astype(np.float32)
             own[at] = value
-            yield _sent([(pack, -1 - bucket, _blob(own[np.cumsum(_read(unzipped(x), np.int32)[0], dtype=np.int64)].astype(np.float32))) for pack, x in zip(held[sampled + 1 :], blobs[sampled + 1 :])])
+            yield _sent([(pack, -1 - bucket, _blob(own[np.cumsum(_read(unzipped(x), np.int32)[0], dtype=np.int64)])) for pack, x in zip(held[sampled + 1 :], blobs[sampled + 1 :])])
 
     return run
 
 
 def _reply_words(samples: list[Totals]) -> Callable:
     """For each pack and bucket, the counts of its words, and in each sample their root probability and their tables as contexts."""
-    kinds = [np.uint64, *[np.int64] * (3 * len(samples))]
+    kinds = [np.uint64, *[np.float32] * (2 * len(samples))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, held, blobs in by_bucket(batches, "data"):
             sampled = held.count(-2)
+            if sampled == len(held):
+                continue  # nothing was asked here
             _, (word, *drawn) = _joined(blobs[:sampled], *kinds)
             value, count, as_context, as_dish = _read(unzipped(blobs[sampled]), np.uint64, np.int64, np.int64, np.int64)
             at, facts = np.searchsorted(value, word), []
-            for k, totals in enumerate(samples):
-                customers, tables, here = as_dish.copy(), np.minimum(as_dish, 1), as_context.copy()
-                customers[at], tables[at], here[at] = drawn[3 * k : 3 * k + 3]
-                facts += [totals.root(customers, tables).astype(np.float32), here.astype(np.float32)]
+            for k, totals in enumerate(samples):  # words that were not sampled have one table in the root and one in each pair
+                p, here = totals.root(as_dish, np.minimum(as_dish, 1)).astype(np.float32), as_context.astype(np.float32)
+                p[at], here[at] = drawn[2 * k : 2 * k + 2]
+                facts += [p, here]
             for pack, x in zip(held[sampled + 1 :], blobs[sampled + 1 :]):
                 w = np.cumsum(_read(unzipped(x), np.int32)[0], dtype=np.int64)
                 yield _sent([(pack, bucket, _blob(count[w], *[f[w] for f in facts]))])
@@ -431,15 +491,6 @@ def _answered(texts: DataFrame, answers: DataFrame) -> DataFrame:
     return texts.join(answers.groupBy("pack").agg(F.collect_list(F.struct("bucket", "data")).alias("answers")), "pack", "left").select("pack", "texts", "answers")
 
 
-def _with_sums(words: DataFrame, live: DataFrame) -> DataFrame:
-    """words with the root's customers of each and its tables as a context, given the tables of pairs."""
-    more = F.sum(F.col("t") - 1)
-    sums = live.groupBy("word").agg(more.alias("more")).join(live.groupBy(F.col("context").alias("word")).agg(more.alias("more_here")), "word", "full")
-    joined = words.join(sums, "word", "left")
-    kept = [c for c in words.columns if c not in ("customers", "here")]
-    return joined.select(*kept, (F.col("as_dish") + F.coalesce("more", F.lit(0))).alias("customers"), (F.col("as_context") + F.coalesce("more_here", F.lit(0))).alias("here"))
-
-
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     texts = packed(docs)
@@ -452,26 +503,22 @@ def score(docs: DataFrame) -> DataFrame:
     tokens, vocabulary, once = all_words[:3]
 
     # Words found once stay at one customer and one table of the root; the others, and pairs found twice, are sampled.
-    live = cut(asked.where("bucket < 0").mapInArrow(_live, "context long, word long, bucket int, at long, n long").withColumn("t", F.lit(1).cast("long")).withColumn("own", F.lit(0.0)))
-    several = vocab.where("pack = -1").mapInArrow(_several, "word long, as_context long, as_dish long").select("*", F.least("as_dish", F.lit(1)).alias("tables"))
-    now = cut(_with_sums(several, live))
-    drawn, samples = [], []
-    totals = lambda: Totals(vocabulary, discount, root_discount, *(float(x or 0) + once for x in now.agg(F.sum("customers"), F.sum("tables")).first()))
-    last = totals()
+    of_root = _counted(vocab.where("pack = -1"), 3)
+    begun = Totals(vocabulary, discount, root_discount, float(of_root[0]), float(of_root[1]))
+    by_state = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "src")
+    state = vocab.where("pack = -1").mapInArrow(_beginnings, _STATE).unionAll(asked.where("bucket < 0").mapInArrow(_pieces, _STATE))
+    state = by_state(state).mapInArrow(_seat(-1, buckets, begun, once), _STATE)
+    samples = []
     for sweep in range(BURN_IN + SAMPLES):
-        seated = live.join(now.select("word", "customers", "tables"), "word").join(now.select(F.col("word").alias("context"), "here"), "context").sortWithinPartitions("context", "word")
-        live = cut(seated.mapInArrow(_sample_pairs(last, sweep), live.schema))
-        sums = _with_sums(now, live).sortWithinPartitions("word")
-        now = cut(sums.mapInArrow(_sample_root(last, sweep), sums.schema))
-        last = totals()
+        state = by_state(state).mapInArrow(_sample_root(sweep, buckets, begun), _STATE)
+        state = by_state(state).mapInArrow(_seat(sweep, buckets, begun, once), _STATE)
         if sweep >= BURN_IN:
-            k = len(samples)
-            samples.append(last)
-            drawn += [f"customers{k}", f"tables{k}", f"here{k}"]
-            now = now.select("*", F.col("customers").alias(f"customers{k}"), F.col("tables").alias(f"tables{k}"), F.col("here").alias(f"here{k}"))
-
-    of_pairs = dealt(pairs.unionAll(live.mapInArrow(_to_buckets(None, "bucket", "at", "own"), _ROW)), buckets).mapInArrow(_reply_pairs(discount), _ROW)
-    of_words = dealt(vocab.unionAll(now.mapInArrow(_to_buckets(buckets, "word", "word", *drawn), _ROW)), buckets).mapInArrow(_reply_words(samples), _ROW)
+            state = cut(state)
+            row = state.where(f"kind = {SEATS}").select("data").first()
+            samples.append(_load(bytes(row["data"]))[1] if row else begun)
+    last = {k: state.where(f"kind = {k}").mapInArrow(_sampled(k), _ROW) for k in (SEATS, ROOT)}
+    of_pairs = dealt(pairs.unionAll(last[SEATS]), buckets).mapInArrow(_reply_pairs(discount), _ROW)
+    of_words = dealt(vocab.unionAll(last[ROOT]), buckets).mapInArrow(_reply_words(samples), _ROW)
     return _answered(texts, of_pairs.unionAll(of_words)).mapInArrow(_score(tokens, vocabulary, discount), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
