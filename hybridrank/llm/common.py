@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import spread
+
 #: Characters that separate words, as in the pattern [^\x20\x09-\x0D]+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 BLOCK_BYTES = 2 << 20
@@ -41,7 +43,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt over all cores where its files have fewer splits than that."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

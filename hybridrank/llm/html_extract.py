@@ -32,6 +32,7 @@ STOP_WORDS = frozenset(
 LENGTH_LOW = 70
 LENGTH_HIGH = 200
 STOP_LOW = 0.10
+STOP_LEAST = 0.03
 STOP_HIGH = 0.20
 MOST_LINKS = 0.33
 
@@ -50,7 +51,11 @@ _HINT = re.compile(
     re.I,
 )
 _ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
+#: A slash that ends an attribute without quotes, as in <a href=/to/>.
+_BARE_SLASH = re.compile(r"=[^\s\"'>]*/>\Z")
+#: Parts of an article that are named like parts of a page.
+_OWN = re.compile(r"(?:entry|post|article|story|content|section)[_-]+(?:header|heading|title|head)", re.I)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WHITE = re.compile(r"\s+")
@@ -110,7 +115,7 @@ def _split(page: str) -> list[_Block]:
         name = _NAME.match(token)
         if name is None:
             if token.startswith("<![CDATA["):
-                add(token[9:-3])
+                add(token[9:-3] if token.endswith("]]>") else token[9:])
             continue
         tag = name.group(1).lower()
         if token[1] == "/":
@@ -131,7 +136,7 @@ def _split(page: str) -> list[_Block]:
                 close("p")
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
                 stack.pop()
-        if tag in _VOID or token.endswith("/>"):
+        if tag in _VOID or (token.endswith("/>") and not _BARE_SLASH.search(token)):
             continue
         bad, inside, link = state()
         traits = {}
@@ -139,7 +144,7 @@ def _split(page: str) -> list[_Block]:
             for a in _ATTR.finditer(token, len(tag) + 1):
                 traits.setdefault(a.group(1).lower(), a.group(2) or a.group(3) or a.group(4) or "")
         role = traits.get("role", "").lower()
-        named = tag not in ("html", "body", "article", "main") and _HINT.search(traits.get("class", "") + " " + traits.get("id", ""))
+        named = tag not in ("html", "body", "article", "main") and _HINT.search(_OWN.sub("", traits.get("class", "") + " " + traits.get("id", "")))
         in_article = inside and tag == "header"
         unseen = "hidden" in traits or traits.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", traits.get("style", ""))
         bad = bad or tag in _SKIP or (tag in _PLACE and not in_article) or role in _ROLE or bool(named) or bool(unseen)
@@ -158,11 +163,17 @@ def extract(page: str | None) -> str:
         if b.text:
             kept.append(b)
     marked = any(b.inside and not b.bad for b in kept)
+    counts = []
     for b in kept:
+        terms = _WORD.findall(b.text.lower())
+        counts.append((sum(t in STOP_WORDS for t in terms), len(terms)))
+    own = [c for b, c in zip(kept, counts) if not b.bad]
+    # Where hardly any function word is known, the language is another one, and length decides alone.
+    spoken = sum(c[0] for c in own) >= STOP_LEAST * sum(c[1] for c in own)
+    for b, (hits, n) in zip(kept, counts):
         size = len(b.text)
         links = b.link_chars / size
-        terms = _WORD.findall(b.text.lower())
-        stops = sum(t in STOP_WORDS for t in terms) / len(terms) if terms else 0.0
+        stops = hits / n if n else 0.0
         if b.bad or (marked and not b.inside):
             b.label = "bad"
         elif links > MOST_LINKS:
@@ -173,13 +184,15 @@ def extract(page: str | None) -> str:
             b.label = "good"
         elif stops >= STOP_LOW:
             b.label = "good" if size > LENGTH_HIGH or marked else "ambiguous"
+        elif not spoken and size > LENGTH_HIGH:
+            b.label = "good"
         else:
-            b.label = "ambiguous" if marked else "bad"
+            b.label = "ambiguous"
     out = []
     last, near = None, [None] * len(kept)
     for i in range(len(kept) - 1, -1, -1):  # the next decided block, by text where the place decides nothing
         near[i] = last
-        if kept[i].label != "ambiguous" and not (marked and kept[i].label == "bad"):
+        if kept[i].label != "ambiguous" and not (kept[i].bad or (marked and kept[i].label == "bad")):
             last = kept[i].label
     before = None
     for i, b in enumerate(kept):
@@ -191,8 +204,8 @@ def extract(page: str | None) -> str:
             elif b.head:
                 label = "good" if after == "good" else "bad"
             else:
-                label = "good" if before == "good" and after == "good" else "bad"
-        elif not (marked and label == "bad"):
+                label = "good" if "good" in (before, after) and "bad" not in (before, after) else "bad"
+        elif not (b.bad or (marked and label == "bad")):
             before = label
         if label == "good":
             out.append(b.text)

@@ -16,11 +16,15 @@ SALTS = 8
 MOST_HELD = 8
 
 
+#: Code points with an entry of their own; there are no letters from the last one on.
+POINTS = 0x33000
+
+
 @lru_cache(maxsize=2)
 def folded_alphabet() -> np.ndarray:
     """Symbols below 31: 0 white space, 1-26 Latin base letters, 27 other letters, 28 digits, 29 punctuation, 30 the rest. 31 parts texts."""
-    out = np.full(0x10000, 30, dtype=np.uint8)
-    for c in range(0x10000):
+    out = np.full(POINTS, 30, dtype=np.uint8)
+    for c in range(POINTS):
         x = chr(c)
         kind = unicodedata.category(x)
         base = unicodedata.normalize("NFD", x)[0].lower()
@@ -41,8 +45,8 @@ def folded_alphabet() -> np.ndarray:
 @lru_cache(maxsize=2)
 def letter_alphabet() -> np.ndarray:
     """Symbols below 63: 0 anything but letters, 1-26 a-z, 27-62 other lower-case letters by code point. 63 parts texts."""
-    out = np.zeros(0x10000, dtype=np.uint8)
-    for c in range(0x10000):
+    out = np.zeros(POINTS, dtype=np.uint8)
+    for c in range(POINTS):
         x = chr(c)
         if x.isalpha():
             low = ord(x.lower()[0])
@@ -56,7 +60,7 @@ def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     part = table[0]
     joined = "\0" + "\0".join(x.replace("\0", " ") for x in texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = table[np.where(points > 0xFFFF, 0xFFFF, points)] if points.max(initial=0) > 0xFFFF else table[points]
+    out = table[np.minimum(points, POINTS - 1)] if points.max(initial=0) >= POINTS else table[points]
     keep = out != 0
     keep[1:] |= out[:-1] != 0
     out = out[keep]

@@ -1,6 +1,7 @@
 """Secret scans: candidate strings, and a random forest that removes the false positives.
 
-A candidate is a run of at least LEAST_LENGTH characters of [A-Za-z0-9+/_-] with a digit or a known prefix. Its features
+A candidate is a run of at least LEAST_LENGTH characters of [A-Za-z0-9+/_-] with a digit or a known prefix, or any
+of at least LEAST_KEYED after a word such as password and = or :. Its features
 are length, shares of character classes, transitions between classes, distinct characters, coverage by
 dictionary words, traces of a path or address, and words next to it. The forest is trained on findings that
 `labelled_findings` makes and labels (keys, tokens and passwords in their usual places against ids, checksums,
@@ -24,12 +25,15 @@ from pyspark.sql import functions as F
 from .common import table
 
 LEAST_LENGTH = 12
+#: After a word such as password and a sign of assignment, shorter values and values without a digit are candidates too.
+LEAST_KEYED = 8
 TREES, DEPTH, SEED = 24, 7, 11
 #: Labelled findings that the forest is fitted on.
 TRAINING_ROWS = 6000
 MARK = "[SECRET]"
-_RUN = rf"[A-Za-z0-9+/_\\-]{{{LEAST_LENGTH},}}={{0,2}}"
-_HAS = rf"(?<![A-Za-z0-9+/_\\-])(?=[A-Za-z+/_\\-]*[0-9])[A-Za-z0-9+/_\\-]{{{LEAST_LENGTH},}}|(?:AKIA|ASIA|gh[pousr]_|sk_|xox[bp]-|AIza|glpat-|npm_|hf_)[A-Za-z0-9_\\-]{{8,}}"
+_RUN = rf"[A-Za-z0-9+/_\\-]{{{LEAST_KEYED},}}={{0,2}}"
+_KEYED = r"(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)s?[a-z_]{0,12}[\"]?[ ]*[=:]+[ ]*[\"]?"
+_HAS = rf"(?<![A-Za-z0-9+/_\\-])(?=[A-Za-z+/_\\-]*[0-9])[A-Za-z0-9+/_\\-]{{{LEAST_LENGTH},}}|(?:AKIA|ASIA|gh[pousr]_|sk_|xox[bp]-|AIza|glpat-|npm_|hf_)[A-Za-z0-9_\\-]{{8,}}|(?i){_KEYED}[A-Za-z0-9+/_\\-]{{{LEAST_KEYED},}}"
 _PREFIX = "AKIA|ASIA|gh[pousr]_|sk_|xox[bp]-|AIza|glpat-|npm_|hf_"
 _KEYWORDS = r"(pass|pwd|secret|token|api|key|auth|credential|private|bearer|access|client)"
 _HARMLESS = r"(example|sample|placeholder|dummy|uuid|guid|sha|md5|commit|checksum|digest|etag|isbn|phone|tel|order|invoice|card|version|build|file|path|id$|id[ =:\"]|ref|hash|revision)"
@@ -57,10 +61,11 @@ _FEATURES = f"""array(
   IF(lower(c.value) rlike 'example|sample|placeholder|your|changeme|xxxx|0000|1234567|abcdef', 1d, 0d))"""
 
 _CANDIDATES = rf"""IF(_text rlike '{_HAS}',
-  flatten(transform(filter(transform(_words, (w, i) -> named_struct('w', w, 'i', i)), x -> x.w rlike '{_RUN}'),
-    x -> transform(filter(regexp_extract_all(x.w, '{_RUN}', 0), v -> v rlike '[0-9]|^({_PREFIX})'),
+  filter(flatten(transform(filter(transform(_words, (w, i) -> named_struct('w', w, 'i', i)), x -> x.w rlike '{_RUN}'),
+    x -> transform(regexp_extract_all(x.w, '{_RUN}', 0),
       v -> named_struct('value', v, 'word', x.w, 'place', x.i, 'near',
         lower(concat_ws(' ', IF(x.i > 1, get(_words, x.i - 2), ''), IF(x.i > 0, get(_words, x.i - 1), ''), substring_index(x.w, v, 1))))))),
+    c -> (length(c.value) >= {LEAST_LENGTH} AND c.value rlike '[0-9]|^({_PREFIX})') OR c.near rlike '{_KEYED}$'),
   cast(array() AS array<struct<value:string,word:string,place:int,near:string>>))"""
 
 
@@ -93,6 +98,8 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS, seed: int
         (1, f"concat({name}, {assign}, substr({h}, 1, 18))"),
         (1, f"concat({name}, {assign}, substr({h}, 1, 40))"),
         (1, f"concat('Bearer eyJ', substr({b64}, 1, 50))"),
+        (1, f"concat({name}, {assign}, translate(substr({h}, 1, {size}), '0123456789', 'ghkmnpqrtw'))"),
+        (1, f"concat({name}, {assign}, substr({b64}, 1, 9))"),
         (0, f"concat({harmless}, {assign}, substr({h}, 1, {size}))"),
         (0, f"concat({word}, ' id=', substr({h}, 1, 8), '-', substr({h}, 9, 4), '-', substr({h}, 13, 4), '-', substr({h}, 17, 4), '-', substr({h}, 21, 12))"),
         (0, f"substr({digits}, 1, {size})"),
@@ -107,6 +114,8 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS, seed: int
         (0, f"concat({word}, {noun}, {noun}, substr({digits}, 1, 2), {word})"),
         (0, f"concat('2024-', substr({digits}, 1, 2), '-', substr({digits}, 3, 2), 'T', substr({digits}, 5, 6))"),
         (0, f"concat('tel:+', substr({digits}, 1, 13))"),
+        (0, f"concat({name}, {assign}, {noun}, {word})"),
+        (0, f"concat({name}, ' ', {word}, ': ', {noun}, '_', {name})"),
     ]
     cases = " ".join(f"WHEN {k} THEN named_struct('label', {float(label)}d, 'finding', {text})" for k, (label, text) in enumerate(kinds))
     made = spark.range(rows).select(F.expr(f"CASE id % {len(kinds)} {cases} END").alias("made"), F.expr(word).alias("before"), F.expr(f"reverse({word})").alias("after"))

@@ -412,3 +412,48 @@ def test_media(spark):
     assert len(got) == len(rows) and got[40].class_id == 3 and found[40] == found[3]
     assert sum(found[i] == {i} for i in range(10)) >= 9 and not any(found[i] for i in [*range(10, 30), 41, 42, 43, 44])
     assert media.copies(own.limit(0), asked.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>a <b title=\"x>bold d</article>", "a bold d"),
+        ("<article><p>See <a href=/foo/>here</a> and go on</p></article>", "See here and go on"),
+        ("<article><![CDATA[abc]]></article>", "abc"),
+        ("<article><![CDATA[abcdef", "abcdef"),
+        ("<body><nav>Menu</nav><div class='entry-header'><h1>Title</h1></div><p>" + "Это статья на русском языке о жизни города и людях. " * 6 + "</p><footer>Foot</footer>", "Title\n\n" + ("Это статья на русском языке о жизни города и людях. " * 6).strip()),
+        ("<body><nav>Menu</nav><p>Short start.</p><p>" + "This is the text of the page and it is long enough for it to be read. " * 5 + "</p><p>x = y(1)</p><footer>Foot</footer>", "Short start.\n\n" + ("This is the text of the page and it is long enough for it to be read. " * 5).strip() + "\n\nx = y(1)"),
+    ],
+)
+def test_html_unmarked_and_broken(page, text):
+    assert html_extract.extract(page) == text
+
+
+def test_language_beyond_the_first_plane():
+    from hybridrank.llm.ngrams import letter_alphabet, symbols
+
+    seq, _ = symbols(["\U00020000\U00020001", "\U0001f600"], letter_alphabet())
+    assert (seq != 0).sum() == 4  # two letters and two parting marks
+
+
+def test_secrets_after_a_key(spark):
+    rows = [(1, "password=qkzvhwtrbnmxpl"), (2, "api_key: GqTbXvRwPlMnZkHsJdFyCuAiOeKqWzXc"), (3, "the password is needed, see documentation"), (4, "a plain sentence of ordinary wordsofgreatlength")]
+    found = by_id(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [found[i]["_candidates"] for i in (1, 2, 3, 4)] == [1, 1, 0, 0]
+    assert len(found[1]["_secrets"]) == 1 and len(found[2]["_secrets"]) == 1
+
+
+def test_pipeline_edge_cases(spark, docs, nothing):
+    import corpus_pipeline as P
+
+    odd = docs.withColumnRenamed("size", "score").withColumnRenamed("rank", "lang_pred").withColumnRenamed("component", "a.b")
+    for frame in (odd, odd.limit(0), odd.withColumn("lang", F.lit(None).cast("string"))):
+        kept = P.language(spark, frame, "")
+        assert kept.columns == odd.columns
+        assert P.near_dedup(spark, kept, "").columns == odd.columns
+        assert P.secret_scan(spark, kept, "").columns == odd.columns
+        assert P.mixture(spark, kept, "").columns == odd.columns
+        assert P.tokens(spark, kept, "").count() == kept.count()
+    assert P.language(spark, odd.withColumn("lang", F.lit(None).cast("string")), "").count() == len(ROWS)
+    left = {r.doc_id for r in P.near_dedup(spark, docs, "").collect()}
+    assert 2 not in left and {1, 4, 5, 6, 7, 9, 12} <= left
