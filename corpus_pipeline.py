@@ -22,18 +22,33 @@ from hybridrank.llm.secrets import redact
 LEAST_SCORE = 0.25
 
 
+def _named(docs: DataFrame) -> list:
+    """Columns of docs, whatever is in their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; lang becomes the predicted one, null where nothing is labelled."""
+    """Documents with a language, which becomes lang; where nothing is labelled, all documents as they are.
+
+    A text that is null, without a letter or unlike every learned language goes. Other columns may have any name.
+    """
     names = docs.columns
-    judged = predict(docs, train(docs), names)
+    safe = docs.select(*[F.col(f"`{c}`").alias(c if c in ("text", "lang") else f"keep_{i}") for i, c in enumerate(names)])
+    filters = train(safe)
+    if not filters.languages:
+        return docs
+    judged = predict(safe, filters, safe.columns)
     kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in names])
+    return kept.select(*[F.col("lang_pred" if c == "lang" else c if c == "text" else f"keep_{i}").alias(c) for i, c in enumerate(names)])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of least doc_id: five words, similarity 0.8."""
+    """One document of each group of near copies, that of least doc_id: five words, similarity 0.8.
+
+    Documents without words or without doc_id are no copies and stay; rows that repeat a doc_id share its fate.
+    """
     gone = near_duplicates(docs, k=5).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*_named(docs))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
