@@ -66,7 +66,17 @@ def _tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(mix(context ^ np.uint64(0x5851F42D4C957F2D)) + word)
+    """Hashes of 56 bits, in the upper bytes."""
+    return mix(mix(context ^ np.uint64(0x5851F42D4C957F2D)) + word) & ~np.uint64(0xFF)
+
+
+def _packed_hashes(sorted_: np.ndarray) -> np.ndarray:
+    """Differences of sorted hashes byte by byte, all first bytes first: the upper and the empty bytes cost nothing once zipped."""
+    return np.ascontiguousarray(np.diff(sorted_, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).reshape(-1).view(np.uint64)
+
+
+def _unpacked_hashes(packed_: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(packed_.view(np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
 class _Pack:
@@ -101,10 +111,11 @@ def _sent(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _parts(value: np.ndarray, buckets: int, columns: tuple[np.ndarray, ...]) -> Iterator[tuple[int, bytes]]:
-    """Each bucket's share of columns beside sorted hashes."""
+    """Each bucket's share of sorted hashes and of columns beside them."""
     cut_at = edges(value >> np.uint64(17), buckets)
     for i in np.flatnonzero(np.diff(cut_at)).tolist():
-        yield i, _blob(*[c[cut_at[i] : cut_at[i + 1]] for c in columns])
+        own = slice(cut_at[i], cut_at[i + 1])
+        yield i, _blob(_packed_hashes(value[own]), *[c[own] for c in columns])
 
 
 def _blob(*columns: np.ndarray) -> bytes:
@@ -119,9 +130,11 @@ def _read(raw: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def _joined(blobs: list[bytes], *kinds) -> tuple[list[int], list[np.ndarray]]:
-    """Lengths and joined columns of blobs."""
+def _joined(blobs: list[bytes], *kinds, hashed: bool = False) -> tuple[list[int], list[np.ndarray]]:
+    """Lengths and joined columns of blobs; hashed: the first column is packed hashes."""
     parts = [_read(unzipped(x), *kinds) for x in blobs]
+    if hashed:
+        parts = [[_unpacked_hashes(p[0]), *p[1:]] for p in parts]
     return [len(p[0]) for p in parts], [np.concatenate([p[k] for p in parts]) if parts else np.empty(0, dtype=kind) for k, kind in enumerate(kinds)]
 
 
@@ -130,7 +143,7 @@ def _ask_pairs(buckets: int) -> Callable:
         for b in batches:
             for pack, blob in zip(b.column("pack").to_pylist(), b.column("texts")):
                 p = _Pack(blob.as_py())
-                yield _sent([(pack, i, x) for i, x in _parts(p.pair_value, buckets, (p.pair_value, p.pair_count.astype(np.int32)))])
+                yield _sent([(pack, i, x) for i, x in _parts(p.pair_value, buckets, (p.pair_count.astype(np.int32),))])
 
     return run
 
@@ -138,7 +151,7 @@ def _ask_pairs(buckets: int) -> Callable:
 def _merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each bucket a row (pack -1) with its counts, then for each pack where its pairs are among them, and the count of those it is first to train."""
     for bucket, held, blobs in by_bucket(batches, "data"):
-        lengths, (value, own) = _joined(blobs, np.uint64, np.int32)
+        lengths, (value, own) = _joined(blobs, np.uint64, np.int32, hashed=True)
         unique, where = np.unique(value, return_inverse=True)
         count = np.bincount(where, weights=own, minlength=len(unique)).astype(np.int64)
         trained = np.flatnonzero(own)
@@ -167,7 +180,7 @@ def _ask_words(buckets: int) -> Callable:
                 at, told = np.concatenate([np.cumsum(q[0], dtype=np.int64) for q in parts]), np.concatenate([q[1] for q in parts])
                 n, first = len(p.words), np.flatnonzero(told)
                 as_context, as_dish = (np.bincount(x[first], minlength=n) for x in (p.pair_context, p.pair_word))
-                yield _sent([(pack, i, x) for i, x in _parts(p.words, buckets, (p.words, p.count, as_context, as_dish))])
+                yield _sent([(pack, i, x) for i, x in _parts(p.words, buckets, (p.count, as_context, as_dish))])
                 live = np.flatnonzero(told > 1)  # in order of bucket
                 ends = np.flatnonzero(np.diff(of[live], append=-1)) + 1
                 yield _sent([(pack, -1 - int(of[own[0]]), _blob(p.words[p.pair_context[own]], p.words[p.pair_word[own]], at[own], told[own])) for own in np.split(live, ends[:-1]) if len(own)])
@@ -178,7 +191,7 @@ def _ask_words(buckets: int) -> Callable:
 def _merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each bucket a row (pack -1) with its words, then for each pack where its words are among them."""
     for bucket, held, blobs in by_bucket(batches, "data"):
-        lengths, (value, *own) = _joined(blobs, np.uint64, np.int64, np.int64, np.int64)
+        lengths, (value, *own) = _joined(blobs, np.uint64, np.int64, np.int64, np.int64, hashed=True)
         unique, where = np.unique(value, return_inverse=True)
         yield _sent([(-1, bucket, _blob(unique, *[np.bincount(where, weights=x, minlength=len(unique)).astype(np.int64) for x in own]))])
         at = np.concatenate([[0], np.cumsum(lengths)])
@@ -331,7 +344,7 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, x in zip(b.column("bucket").to_pylist(), b.column("data")):
             word, count, as_context, as_dish = _read(unzipped(x.as_py()), np.uint64, np.int64, np.int64, np.int64)
             own = (count > 1) | (word == BEGIN)
-            yield _stated([(bucket, ROOT, 0, _dump(word[own], as_context[own], as_dish[own], as_dish[own], np.minimum(as_dish[own], 1), as_context[own], []))])
+            yield _stated([(bucket, ROOT, 0, _dump(word[own], as_context[own], as_dish[own], as_dish[own], np.minimum(as_dish[own], 1), as_context[own], [], {}))])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,12 +382,16 @@ def _seat(sweep: int, buckets: int, totals: Totals, once: int) -> Callable:
                     own = own + (np.maximum(n - now.discount * t, 0.0) / SAMPLES).astype(np.float32)
                     if root:
                         root[6].append((now.root(root[3], root[4]).astype(np.float32), root[5].astype(np.float32)))
-            out = [(bucket, SEATS, 0, _dump([keys, of_context, of_word, at, n, t, own], now))]
+            size = int(max(of_context.max(initial=-1), of_word.max(initial=-1))) + 1
+            # Words are named once; later on the root knows them by their order, and only their shares are kept here.
+            cut_at = edges(keys >> np.uint64(17), buckets) if sweep < 0 else keys
+            out = [(bucket, SEATS, 0, _dump([cut_at, of_context, of_word, at, n, t, own], now))]
             if root:
                 out.append((bucket, ROOT, 0, _dump(*root)))
-            dish, context = (np.bincount(x, weights=t - 1, minlength=len(keys)).astype(np.int64) for x in (of_word, of_context))
-            cut_at = edges(keys >> np.uint64(17), buckets)
-            out += [(i, TABLES, bucket, _dump(*[x[cut_at[i] : cut_at[i + 1]] for x in (keys, dish, context)])) for i in np.flatnonzero(np.diff(cut_at)).tolist()]
+            dish, context = (np.bincount(x, weights=t - 1, minlength=size).astype(np.int64) for x in (of_word, of_context))
+            for i in np.flatnonzero(np.diff(cut_at)).tolist():
+                part = slice(cut_at[i], cut_at[i + 1])
+                out.append((i, TABLES, bucket, _dump(_packed_hashes(keys[part]) if sweep < 0 else None, dish[part], context[part])))
             yield _stated(out)
 
     return run
@@ -388,16 +405,18 @@ def _sample_root(sweep: int, buckets: int, totals: Totals) -> Callable:
         stirling = log_stirling(totals.root_discount)
         for bucket, rows in _grouped(batches):
             none = np.empty(0, dtype=np.int64)
-            word, as_context, as_dish, _, tables, _, facts = _load(rows[ROOT][0][1]) if ROOT in rows else (none.astype(np.uint64), none, none, none, none, none, [])
+            word, as_context, as_dish, _, tables, _, facts, places = _load(rows[ROOT][0][1]) if ROOT in rows else (none.astype(np.uint64), none, none, none, none, none, [], {})
             _, now = _load(rows[SEATS][0][1]) if SEATS in rows else (None, totals)
             customers, here, asked = as_dish.copy(), as_context.copy(), {}
             for src, x in rows.get(TABLES, []):
                 keys, dish, context = _load(x)
-                at = asked[src] = np.searchsorted(word, keys)
+                if keys is not None:
+                    places[src] = np.diff(np.searchsorted(word, _unpacked_hashes(keys)), prepend=0).astype(np.int32)
+                at = asked[src] = np.cumsum(places[src], dtype=np.int64)
                 customers[at] += dish
                 here[at] += context
             tables = sample_tables(customers, np.maximum(now.tables - tables, 0), np.full(len(word), base), ROOT_STRENGTH, now.root_discount, stirling, np.random.default_rng([SEED, sweep, bucket, 1]))
-            out = [(bucket, ROOT, 0, _dump(word, as_context, as_dish, customers, tables, here, facts))]
+            out = [(bucket, ROOT, 0, _dump(word, as_context, as_dish, customers, tables, here, facts, places))]
             out += [(bucket, SEATS, 0, x) for _, x in rows.get(SEATS, [])]
             sums = int(customers.sum()), int(tables.sum())
             out += [(i, REPLY, bucket, _dump(*[x[asked.get(i, none)] for x in (customers, tables, here)], *sums)) for i in range(buckets)]
@@ -416,7 +435,7 @@ def _sampled(kind: int) -> Callable:
                     (_, _, _, at, _, _, own), _ = _load(x.as_py())
                     yield _sent([(-2, bucket, _blob(at, own))])
                 else:
-                    word, *_, facts = _load(x.as_py())
+                    word, *_, facts, _ = _load(x.as_py())
                     yield _sent([(-2, bucket, _blob(word, *[c for f in facts for c in f]))])
 
     return run
