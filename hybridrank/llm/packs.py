@@ -42,7 +42,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = known.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
         is_null = np.asarray(known.is_null().to_numpy(zero_copy_only=False), dtype=np.uint8)
         head = np.array([len(ids)], dtype=np.int64).tobytes() + ids.astype(np.int64).tobytes() + is_null.tobytes() + offsets.astype(np.int64).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([task << 32 | number]), pa.array([zipped(head + data.tobytes())], pa.binary())], ["pack", "texts"])
+        yield pa.RecordBatch.from_arrays([pa.array([task << 32 | number]), pa.array([zipped(head + data.tobytes())], pa.binary()), pa.array([len(data)], pa.int64())], ["pack", "texts", "size"])
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,8 +80,8 @@ def by_bucket(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Rows (pack, texts), checkpointed in the shared folder, so that Spark cleans them up as it does other checkpoints."""
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack, "pack long, texts binary"))
+    """Rows (pack, texts, size), size in bytes of text, checkpointed in the shared folder, so that Spark cleans them up as it does other checkpoints."""
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack, "pack long, texts binary, size long"))
 
 
 def bucket_count(table: DataFrame) -> int:
@@ -89,6 +89,14 @@ def bucket_count(table: DataFrame) -> int:
     return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), table.count() * PACK_BYTES // BUCKET_BYTES)
 
 
+def text_buckets(table: DataFrame, least: int = 8) -> int:
+    """A bucket for each BUCKET_BYTES of text, into however many partitions and packs it is cut.
+
+    For exchanges in which each bucket sends a row to each other one.
+    """
+    return max(least, -(-int(table.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES))
+
+
 def dealt(asked: DataFrame, buckets: int) -> DataFrame:
     """Each bucket's rows together, in order of pack."""
     return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "pack")

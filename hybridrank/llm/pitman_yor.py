@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, lower_ascii, mix, span_hash, table, words
-from .packs import bucket_count, by_bucket, dealt, edges, packed, unpack, unzipped, zipped
+from .packs import by_bucket, dealt, edges, packed, text_buckets, unpack, unzipped, zipped
 
 #: Contexts of the in-memory _Bucket; the query has no such bound.
 HEADS = 255
@@ -513,7 +513,7 @@ def _answered(texts: DataFrame, answers: DataFrame) -> DataFrame:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     texts = packed(docs)
-    buckets = bucket_count(texts)
+    buckets = text_buckets(texts)
     pairs = cut(dealt(texts.mapInArrow(_ask_pairs(buckets), _ROW), buckets).mapInArrow(_merge_pairs, _ROW))
     asked = cut(_answered(texts, pairs.where("pack >= 0")).mapInArrow(_ask_words(buckets), _ROW))
     vocab = cut(dealt(asked.where("bucket >= 0"), buckets).mapInArrow(_merge_words, _ROW))
