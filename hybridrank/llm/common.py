@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver notice which shuffles and checkpoints nothing refers to any more, so that Spark's cleaner takes their files.
+
+    Else they stay until the driver's heap happens to be collected.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table, dealt over all cores where its files have fewer splits than that."""
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

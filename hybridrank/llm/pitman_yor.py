@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, mix, span_hash, table, words
+from .common import cut, lower_ascii, mix, release, span_hash, table, words
 from .packs import by_bucket, dealt, edges, packed, text_buckets, unpack, unzipped, zipped
 
 #: Contexts of the in-memory _Bucket; the query has no such bound.
@@ -354,12 +354,12 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _seated(pieces: list[bytes]) -> list:
-    """Pairs in order of their place, with one table each, and the distinct words that they name, in order of hash."""
+    """Pairs in order of their place, which is kept as the distance from the one before, with one table each, and the distinct words that they name, in order of hash."""
     _, (context, word, at, n) = _joined(pieces, np.uint64, np.uint64, np.int64, np.int64)
     order = np.argsort(at)
     keys, where = np.unique(np.concatenate([context[order], word[order]]), return_inverse=True)
     where = where.astype(np.int32)
-    return [keys, where[: len(at)], where[len(at) :], at[order], n[order], np.ones(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.float32)]
+    return [keys, where[: len(at)], where[len(at) :], np.diff(at[order], prepend=0), n[order], np.ones(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.float32)]
 
 
 def _seat(sweep: int, buckets: int, totals: Totals, once: int) -> Callable:
@@ -433,7 +433,7 @@ def _sampled(kind: int) -> Callable:
             for bucket, x in zip(b.column("bucket").to_pylist(), b.column("data")):
                 if kind == SEATS:
                     (_, _, _, at, _, _, own), _ = _load(x.as_py())
-                    yield _sent([(-2, bucket, _blob(at, own))])
+                    yield _sent([(-2, bucket, _blob(np.cumsum(at), own))])
                 else:
                     word, *_, facts, _ = _load(x.as_py())
                     yield _sent([(-2, bucket, _blob(word, *[c for f in facts for c in f]))])
@@ -512,10 +512,13 @@ def _answered(texts: DataFrame, answers: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    spark = docs.sparkSession
     texts = packed(docs)
     buckets = text_buckets(texts)
     pairs = cut(dealt(texts.mapInArrow(_ask_pairs(buckets), _ROW), buckets).mapInArrow(_merge_pairs, _ROW))
+    release(spark)
     asked = cut(_answered(texts, pairs.where("pack >= 0")).mapInArrow(_ask_words(buckets), _ROW))
+    release(spark)
     vocab = cut(dealt(asked.where("bucket >= 0"), buckets).mapInArrow(_merge_words, _ROW))
     all_pairs, all_words = _counted(pairs.where("pack = -1"), 0), _counted(vocab.where("pack = -1"), 1)
     discount, root_discount = (min(0.95, max(0.05, (x[2] + 1) / (x[2] + 2 * x[3] + 2))) for x in (all_pairs, all_words))
@@ -526,19 +529,25 @@ def score(docs: DataFrame) -> DataFrame:
     begun = Totals(vocabulary, discount, root_discount, float(of_root[0]), float(of_root[1]))
     by_state = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "src")
     state = vocab.where("pack = -1").mapInArrow(_beginnings, _STATE).unionAll(asked.where("bucket < 0").mapInArrow(_pieces, _STATE))
-    state = by_state(state).mapInArrow(_seat(-1, buckets, begun, once), _STATE)
+    state = cut(by_state(state).mapInArrow(_seat(-1, buckets, begun, once), _STATE))
+    del asked
+    release(spark)
     samples = []
     for sweep in range(BURN_IN + SAMPLES):
         state = by_state(state).mapInArrow(_sample_root(sweep, buckets, begun), _STATE)
         state = by_state(state).mapInArrow(_seat(sweep, buckets, begun, once), _STATE)
         if sweep >= BURN_IN:
             state = cut(state)
+            release(spark)
             row = state.where(f"kind = {SEATS}").select("data").first()
             samples.append(_load(bytes(row["data"]))[1] if row else begun)
     last = {k: state.where(f"kind = {k}").mapInArrow(_sampled(k), _ROW) for k in (SEATS, ROOT)}
     of_pairs = dealt(pairs.unionAll(last[SEATS]), buckets).mapInArrow(_reply_pairs(discount), _ROW)
     of_words = dealt(vocab.unionAll(last[ROOT]), buckets).mapInArrow(_reply_words(samples), _ROW)
-    return _answered(texts, of_pairs.unionAll(of_words)).mapInArrow(_score(tokens, vocabulary, discount), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    answers = cut(of_pairs.unionAll(of_words))
+    del pairs, vocab, state, last, of_pairs, of_words
+    release(spark)
+    return _answered(texts, answers).mapInArrow(_score(tokens, vocabulary, discount), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
