@@ -48,8 +48,9 @@ def release(spark: SparkSession) -> None:
 
     Else they stay until the driver's heap happens to be collected.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of reaches the JVM with a later call
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
