@@ -536,9 +536,9 @@ def score(docs: DataFrame) -> DataFrame:
     for sweep in range(BURN_IN + SAMPLES):
         state = by_state(state).mapInArrow(_sample_root(sweep, buckets, begun), _STATE)
         state = by_state(state).mapInArrow(_seat(sweep, buckets, begun, once), _STATE)
+        state = cut(state)
+        release(spark)
         if sweep >= BURN_IN:
-            state = cut(state)
-            release(spark)
             row = state.where(f"kind = {SEATS}").select("data").first()
             samples.append(_load(bytes(row["data"]))[1] if row else begun)
     last = {k: state.where(f"kind = {k}").mapInArrow(_sampled(k), _ROW) for k in (SEATS, ROOT)}
