@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,9 +49,10 @@ def release(spark: SparkSession) -> None:
 
     Else they stay until the driver's heap happens to be collected.
     """
-    for _ in range(2):  # what Python lets go of reaches the JVM with a later call
+    for _ in range(3):  # what Python lets go of reaches the JVM some moments later, and the cleaner works beside it
         gc.collect()
         spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
