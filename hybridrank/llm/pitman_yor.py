@@ -85,22 +85,18 @@ class _Pack:
     def __init__(self, blob: bytes) -> None:
         self.ids, self.is_null, offsets, data = unpack(blob)
         tokens, self.owner = _tokens(offsets, data)
-        before = np.full(len(tokens), BEGIN, dtype=np.uint64)
-        before[1:] = np.where(self.owner[1:] == self.owner[:-1], tokens[:-1], BEGIN)
         self.held_out = is_held_out(self.ids, self.is_null)
-        self.words, at = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-        self.word, context = at[: len(tokens)], at[len(tokens) :]
+        self.words, at = np.unique(np.append(tokens, BEGIN), return_inverse=True)
+        self.word, begin = at[:-1], at[-1]
+        context = np.full(len(tokens), begin)
+        context[1:] = np.where(self.owner[1:] == self.owner[:-1], self.word[:-1], begin)
         trained = ~self.held_out[self.owner]
         self.count = np.bincount(self.word[trained], minlength=len(self.words))
         # Distinct pairs in order of their hash.
-        pairs, pair = np.unique(self.word * len(self.words) + context, return_inverse=True)
-        own = np.bincount(pair[trained], minlength=len(pairs))
-        word, context = np.divmod(pairs, len(self.words))
-        value = _pair_hash(self.words[context], self.words[word])
-        order = np.argsort(value, kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        self.pair, self.pair_value, self.pair_count, self.pair_word, self.pair_context = rank[pair], value[order], own[order], word[order], context[order]
+        self.pair_value, self.pair = np.unique(_pair_hash(self.words[context], tokens), return_inverse=True)
+        self.pair_count = np.bincount(self.pair[trained], minlength=len(self.pair_value))
+        self.pair_word, self.pair_context = np.empty((2, len(self.pair_value)), dtype=np.int64)
+        self.pair_word[self.pair], self.pair_context[self.pair] = self.word, context
 
 
 _ROW = "pack long, bucket int, data binary"
