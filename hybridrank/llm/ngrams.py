@@ -1,4 +1,4 @@
-"""Character n-grams over small alphabets, and their counts per key, summed without one hot task."""
+"""Character n-grams over small alphabets, and their counts per key, summed without one hot task; n-grams of code points as they are."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix
+
 CHUNKS = 16
 SALTS = 8
 MOST_HELD = 8
@@ -21,25 +23,15 @@ POINTS = 0x33000
 
 
 @lru_cache(maxsize=2)
-def folded_alphabet() -> np.ndarray:
-    """Symbols below 31: 0 white space, 1-26 Latin base letters, 27 other letters, 28 digits, 29 punctuation, 30 the rest. 31 parts texts."""
-    out = np.full(POINTS, 30, dtype=np.uint8)
+def letter_scripts() -> tuple[np.ndarray, list[str]]:
+    """For each code point the number of its letter's script, 0 for what is no letter, and the scripts' names, the first empty."""
+    names = {"": 0}
+    out = np.zeros(POINTS, dtype=np.uint16)
     for c in range(POINTS):
         x = chr(c)
-        kind = unicodedata.category(x)
-        base = unicodedata.normalize("NFD", x)[0].lower()
-        if x.isspace():
-            out[c] = 0
-        elif "a" <= base <= "z":
-            out[c] = ord(base) - 96
-        elif kind[0] in "LM":
-            out[c] = 27
-        elif kind[0] == "N":
-            out[c] = 28
-        elif kind[0] == "P":
-            out[c] = 29
-    out[0] = 31
-    return out
+        if x.isalpha():
+            out[c] = names.setdefault(unicodedata.name(x, "").split(" ")[0], len(names))
+    return out, list(names)
 
 
 @lru_cache(maxsize=2)
@@ -81,6 +73,47 @@ def codes(seq: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarra
     return out, at
 
 
+#: Stands before a text; all code points are below it. Symbols take POINT_BITS bits.
+BEFORE = 0x110000
+POINT_BITS = 21
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def gram_hash(grams: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of n-grams, whose symbols are given place by place."""
+    out = np.full(len(grams[0]) if grams else 0, len(grams), dtype=np.uint64)
+    for x in grams:
+        out = (out + x.astype(np.uint64) + np.uint64(1)) * _STEP
+    return mix(out)
+
+
+def text_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts joined, as they are, and each text's number of them."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+
+
+def point_grams(points: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
+    """The symbols of the n-gram that ends at each code point, place by place; what is before a text counts as BEFORE."""
+    starts = np.cumsum(lengths) - lengths
+    out = [points]
+    for k in range(1, order):
+        back = np.full(len(points), BEFORE, dtype=np.uint32)
+        back[k:] = points[: len(points) - k]
+        for j in range(k):
+            back[(starts + j)[lengths > j]] = BEFORE
+        out.insert(0, back)
+    return out
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, the place of each of them in hashes, and for each hash the number of its distinct one."""
+    coded = pa.array(hashes).dictionary_encode()
+    number = coded.indices.to_numpy(zero_copy_only=False)
+    first = np.empty(len(coded.dictionary), dtype=np.int64)
+    first[number[::-1]] = np.arange(len(hashes) - 1, -1, -1)
+    return coded.dictionary.to_numpy(zero_copy_only=False), first, number
+
+
 def _emit(held: dict[str, np.ndarray], salt: int) -> Iterator[pa.RecordBatch]:
     for key, counts in held.items():
         step = max(1, len(counts) // CHUNKS)

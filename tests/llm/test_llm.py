@@ -401,6 +401,31 @@ def test_quality_rejects_junk_of_its_own_lang(spark, n, lang):
     assert not any(kept[i] for i in kept if i >= 900) and sum(kept[i] for i in range(300)) >= 297
 
 
+@pytest.mark.parametrize("first, letters, size, lang", [(0x430, 32, 3, "ru"), (0x430, 32, 3, None), (0x1E922, 34, 3, "ff"), (0x4E00, 3000, 2, "zh"), (0x4E00, 3000, 2, "xx")])
+def test_quality_in_any_script(spark, first, letters, size, lang):
+    """Random letters are told from words in the same script, whose share is small, and no script is rejected for having many letters."""
+    rng = np.random.default_rng(5)
+    parts = "the ing ent er an on re st al ion to ar in it".split()
+    own = ["".join(chr(first + x) for x in rng.integers(0, letters, size)) for _ in range(60 if letters < 100 else 400)]
+    rows = [(i, " ".join("".join(rng.choice(parts, 3)) for _ in range(80)), "en") for i in range(300)]
+    rows += [(1000 + i, " ".join("".join(rng.choice(own, 3)) for _ in range(80)), lang and {"xx": "zh"}.get(lang, lang)) for i in range(120)]
+    rows += [(2000 + i, " ".join("".join(chr(first + x) for x in rng.integers(0, letters, 3 * size)) for _ in range(80)), lang) for i in range(3)]
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(kept[i] for i in kept if i >= 2000)
+    assert sum(kept[i] for i in kept if i < 1000) >= 295 and sum(kept[i] for i in kept if 1000 <= i < 2000) >= (117 if lang else 0)
+
+
+def test_quality_grams_are_code_points():
+    from hybridrank.llm.ngrams import BEFORE, distinct, gram_hash, point_grams, text_points
+
+    texts = ["aБ\0  漢\U0001f600\udc80", "", "x", "  x"]
+    grams = point_grams(*text_points(texts), 4)
+    want = [tuple([BEFORE] * 4 + [ord(c) for c in t])[k + 1 : k + 5] for t in texts for k in range(len(t))]
+    assert list(zip(*(g.tolist() for g in grams))) == want
+    found, first, number = distinct(gram_hash(grams))
+    assert len(found) == len(set(want)) and [want[k] for k in first[number]] == want
+
+
 def test_media(spark):
     rng = np.random.default_rng(0)
     images = [media.drawn(rng.normal(size=64)) for _ in range(30)]
