@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -88,26 +88,48 @@ class Vocabulary:
         for t, r in self.ranks.items():
             by_id[r] = t
         self.bytes, self.byte_offsets = _joined(by_id)
-        self.memo: dict[bytes, tuple[int, ...]] = {}
-        self.older: dict[bytes, tuple[int, ...]] = {}
+        # Merged tokens: sorted hashes, where their ids begin and how many they are; and the ids.
+        self.memo = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+        self.memo_ids = np.empty(0, dtype=np.uint32)
 
-    def merge(self, token: bytes) -> tuple[int, ...]:
-        """Tier two: repeatedly join the adjacent pair of least rank, leftmost first.
+    def merged(self, keys: np.ndarray, lengths: np.ndarray, token: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the distinct tokens with these hashes and lengths, joined, and how many each has.
 
-        The parts are linked by their ends and predecessors; a heap entry packs rank, start and end of a pair.
+        Tokens of up to 64 bytes are remembered in arrays, which take a tenth of the memory of a dictionary; when
+        there are more than MEMO_ENTRIES, only those of this call stay.
         """
-        known = self.memo.get(token)
-        if known is None:
-            known = self.older.get(token)
-            if known is None:
-                known = self._merge(token)
-            if len(token) <= 64:
-                if len(self.memo) >= MEMO_ENTRIES:
-                    self.older, self.memo = self.memo, {}
-                self.memo[token] = known
-        return known
+        hashes, first, size = self.memo
+        at = np.searchsorted(hashes, keys)
+        known = hashes[np.minimum(at, len(hashes) - 1)] == keys if len(hashes) else np.zeros(len(keys), dtype=bool)
+        firsts, sizes = np.empty(len(keys), dtype=np.int64), np.empty(len(keys), dtype=np.int64)
+        firsts[known], sizes[known] = first[at[known]], size[at[known]]
+        new, ids = np.flatnonzero(~known), self.memo_ids
+        if len(new):
+            fresh = [self._merge(token(i)) for i in new.tolist()]
+            sizes[new] = [len(x) for x in fresh]
+            firsts[new] = len(ids) + np.cumsum(sizes[new]) - sizes[new]
+            ids = np.concatenate([ids, np.fromiter((x for m in fresh for x in m), dtype=np.uint32, count=int(sizes[new].sum()))])
+        out = ids[expand(firsts, sizes)]
+        short = np.flatnonzero(lengths[new] <= 64)
+        if len(short) and len(hashes) + len(short) <= MEMO_ENTRIES:
+            add = new[short]
+            moved = len(self.memo_ids) + np.cumsum(sizes[add]) - sizes[add]
+            ids = np.concatenate([self.memo_ids, ids[expand(firsts[add], sizes[add])]])
+            self._remember(np.concatenate([hashes, keys[add]]), np.concatenate([first, moved]), np.concatenate([size, sizes[add]]), ids)
+        elif len(short):
+            add = np.flatnonzero(lengths <= 64)[:MEMO_ENTRIES]
+            self._remember(keys[add], np.cumsum(sizes[add]) - sizes[add], sizes[add], ids[expand(firsts[add], sizes[add])])
+        return out, sizes
+
+    def _remember(self, hashes: np.ndarray, first: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        order = np.argsort(hashes, kind="stable")
+        self.memo, self.memo_ids = (hashes[order], first[order], size[order]), ids
 
     def _merge(self, token: bytes) -> tuple[int, ...]:
+        """Tier two: repeatedly join the adjacent pair of least rank, leftmost first.
+
+        The parts are linked by their ends and predecessors; a heap entry packs rank, start and end of a pair.
+        """
         get, n = self.ranks.get, len(token)
         bits = n.bit_length()
         mask = (1 << bits) - 1
@@ -179,18 +201,18 @@ class Vocabulary:
         offsets = np.frombuffer(unique.buffers()[1], dtype=np.int64)[: len(unique) + 1]
         raw = unique.buffers()[2]
         data = np.frombuffer(raw, dtype=np.uint8)
-        at = self.perfect.find(span_hash(data, offsets[:-1], offsets[1:]))
+        keys = span_hash(data, offsets[:-1], offsets[1:])
+        at = self.perfect.find(keys)
         parts = self.rank_of[np.maximum(at, 0)]
         size = np.ones(len(unique), dtype=np.int64)
         missed = np.flatnonzero(at < 0)
-        merged = [self.merge(bytes(raw[offsets[i] : offsets[i + 1]])) for i in missed.tolist()]
-        size[missed] = [len(m) for m in merged]
+        merged, size[missed] = self.merged(keys[missed], np.diff(offsets)[missed], lambda k: bytes(raw[offsets[missed[k]] : offsets[missed[k] + 1]]))
         first = np.cumsum(size) - size
         flat = np.empty(int(size.sum()), dtype=np.uint32)
         hit = at >= 0
         flat[first[hit]] = parts[hit]
         if len(missed):
-            flat[expand(first[missed], size[missed])] = np.fromiter((x for m in merged for x in m), dtype=np.uint32)
+            flat[expand(first[missed], size[missed])] = merged
         index = coded.indices.to_numpy(zero_copy_only=False)
         return flat[expand(first[index], size[index])], size[index]
 

@@ -18,6 +18,8 @@ from ..sources import spread
 #: Characters that separate words, as in the pattern [^\x20\x09-\x0D]+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 BLOCK_BYTES = 2 << 20
+#: Bytes that span_hash sums up at once, unless a span is longer: its sums take 24 bytes for each and stay in the cache.
+HASH_BYTES = 1 << 17
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -87,9 +89,10 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     i = 0
     while i < len(starts):
         base = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, base + BLOCK_BYTES, side="right")))
+        j = max(i + 1, int(np.searchsorted(ends, base + HASH_BYTES, side="right")))
         size = int(ends[j - 1] - base)
-        up, down = _powers(1 << max(12, (size + 1).bit_length()))
+        # Powers for longer spans are not kept, as they would stay in a worker for all that it runs later.
+        up, down = _powers(HASH_BYTES) if size <= HASH_BYTES else _powers.__wrapped__(size)
         prefix = np.zeros(size + 1, dtype=np.uint64)
         np.cumsum(_byte_table(seed)[data[base : base + size]] * up[:size], out=prefix[1:])
         s, e = starts[i:j] - base, ends[i:j] - base

@@ -155,6 +155,38 @@ def test_bpe_odd_texts(reference_bpe):
     assert (perfect.find(keys + np.uint64(1))[~np.isin(keys + np.uint64(1), keys)] == -1).all()
 
 
+def test_bpe_memory(reference_bpe, monkeypatch):
+    """What a worker keeps is small: remembered tokens in arrays, no powers of hashes for whole blocks."""
+    import tracemalloc
+
+    from hybridrank.llm import common
+
+    rng = np.random.default_rng(6)
+    words = ["".join(chr(97 + x) for x in rng.integers(0, 26, 9)) for _ in range(30000)]
+    path, pattern = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    vocab = bpe.Vocabulary(path, pattern)
+    vocab.encode(["warm up"])
+    tracemalloc.start()
+    ids, _ = vocab.encode([" ".join(words)])
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert ids.tolist() == reference_bpe.encode_ordinary(" ".join(words)) and kept - ids.nbytes < 100 * len(words)
+    common._powers.cache_clear()
+    data = np.zeros(3 << 20, dtype=np.uint8)
+    starts = np.arange(0, len(data), 8)
+    tracemalloc.start()
+    found = common.span_hash(data, starts, starts + 8)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(set(found.tolist())) == 1 and kept - found.nbytes < 8 << 20
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 500)
+    small = bpe.Vocabulary(path, pattern)
+    for k in range(0, 3000, 300):  # overflows, and comes back to known tokens
+        text = " ".join(words[k : k + 400] + words[:50] + ["y" * 99 + "zq"])
+        assert small.encode([text])[0].tolist() == reference_bpe.encode_ordinary(text) and len(small.memo[0]) <= 500
+
+
+
 @pytest.mark.parametrize("k", [4, 5])
 def test_minhash(docs, nothing, k):
     sets = {i: {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if (w := WORD.findall(low(t or ""))) else set() for i, t, *_ in ROWS}
