@@ -29,32 +29,71 @@ def macro(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("recall", "precision", "rr", "ndcg")], F.avg(F.when(F.col("recall") > 0, 1.0).otherwise(0.0)).alias("hit_rate"))
 
 
-def _draw(seed: int, *parts: Column) -> Column:
+#: Values in one block of a resampled vector, and resamples that one task draws from it.
+BLOCK, CHUNK = 1 << 15, 250
+
+
+def _draw(seed: int, *parts: str) -> str:
     """A number of 32 bits from a hash that every SQL engine has."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
+    return f"CAST(conv(substring(md5(concat_ws(':', '{seed}', {', '.join(parts)})), 1, 8), 16, 10) AS bigint)"
 
 
-def bootstrap_ci(values: DataFrame, resamples: int = 1000, confidence: float = 0.95, seed: int = SEED) -> DataFrame:
-    """Percentile interval of the mean of values (i, value), i from 0: estimate, lower, upper, n. No rows give none."""
-    size = values.agg(F.count("*").alias("n"), F.avg("value").alias("estimate"))
-    spark = values.sparkSession
-    draws = spark.range(resamples).select(F.col("id").alias("b")).crossJoin(F.broadcast(size)).select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    picked = draws.select("b", (_draw(seed, F.col("b"), F.col("j")) % F.col("n")).alias("i")).join(values, "i")
-    means = picked.groupBy("b").agg(F.round(F.avg("value"), 12).alias("m"))
-    tail = (1 - confidence) / 2
-    return means.agg(F.percentile("m", F.lit(tail)).alias("lower"), F.percentile("m", F.lit(1 - tail)).alias("upper")).crossJoin(size).select("estimate", "lower", "upper", "n")
+def _blocks(rows: DataFrame, by: list[str], *values: Column) -> DataFrame:
+    """(by, lo, n, <values>) of rows (by, i, ...): arrays (i, <values>) of at most BLOCK places from lo on, of n rows in all."""
+    held = F.sort_array(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), *values)))
+    blocks = rows.groupBy(*by, F.floor(F.col("i") / BLOCK).cast("long").alias("block")).agg(held.alias("held"))
+    return blocks.withColumn("lo", F.col("block") * BLOCK).withColumn("n", F.sum(F.size("held")).over(Window.partitionBy(*by)))
+
+
+def _resampled(blocks: DataFrame, by: list[str], resamples: int, places: str | None = None) -> DataFrame:
+    """Each block once for every resample b, and for each range of places from j on where those are asked for.
 
+    A block travels once for CHUNK resamples; what it is copied for stays in the task that adds it up.
+    """
+    wide = blocks.withColumn("j", F.explode(F.expr(places))) if places else blocks.withColumn("j", F.lit(0).cast("long"))
+    wide = wide.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"), F.lit(CHUNK).cast("long"))))
+    dealt = wide.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "lo", "j", "c")
+    return dealt.withColumn("b", F.explode(F.expr(f"sequence(c, least(c + {CHUNK}, {resamples}) - 1)")))
 
-def permutation_test(pairs: DataFrame, resamples: int = 1000, seed: int = SEED) -> DataFrame:
-    """Two-sided paired sign-flip test of pairs (i, a, b): mean_a, mean_b, diff, p, d, n."""
-    d = pairs.select("i", (F.col("a") - F.col("b")).alias("d"))
-    observed = pairs.agg(F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg(F.col("a") - F.col("b")).alias("diff"), F.stddev_samp(F.col("a") - F.col("b")).alias("sd"), F.count("*").alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("most"))
-    flips = d.crossJoin(F.broadcast(pairs.sparkSession.range(resamples).select(F.col("id").alias("b"))))
-    means = flips.groupBy("b").agg(F.avg(F.col("d") * (1 - 2 * (_draw(seed, F.col("b"), F.col("i")) % 2))).alias("m"))
-    extreme = means.crossJoin(F.broadcast(observed.select("diff"))).agg(F.sum(F.when(F.round(F.abs("m"), 12) >= F.round(F.abs("diff"), 12), 1).otherwise(0)).alias("extreme"))
+
+def bootstrap_ci(values: DataFrame, resamples: int = 1000, confidence: float = 0.95, seed: int = SEED, by: list[str] | None = None) -> DataFrame:
+    """Percentile interval of the mean of values (by, i, value), i from 0 in each group: by, estimate, lower, upper, n. No rows give none.
+
+    Each task adds up what its block of values gives to its resamples, so one number for each block and
+    resample is exchanged, however many draws a resample takes.
+    """
+    by = by or []
+    blocks = _blocks(values, by, F.col("value").cast("double").alias("value")).withColumn("v", F.expr("transform(held, x -> x.value)")).drop("held")
+    sums = F.sum(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))).over(Window.partitionBy(*by))
+    blocks = blocks.withColumn("estimate", sums / F.col("n"))
+    drawn = f"CAST({_draw(seed, 'b', 'p')} % n - lo AS int)"
+    part = F.expr(f"aggregate(sequence(j, least(j + {BLOCK}, n) - 1), 0D, (s, p) -> s + coalesce(get(v, {drawn}), 0D))")
+    parts = _resampled(blocks, by, resamples, f"sequence(0L, n - 1, {BLOCK}L)").select(*by, "estimate", "n", "b", part.alias("part"))
+    means = parts.groupBy(*by, "estimate", "n", "b").agg(F.round(F.sum("part") / F.first("n"), 12).alias("m"))
+    tail = (1 - confidence) / 2
+    return means.groupBy(*by, "estimate", "n").agg(F.percentile("m", F.lit(tail)).alias("lower"), F.percentile("m", F.lit(1 - tail)).alias("upper")).select(*by, "estimate", "lower", "upper", "n")
+
+
+def permutation_test(pairs: DataFrame, resamples: int = 1000, seed: int = SEED, by: list[str] | None = None) -> DataFrame:
+    """Two-sided paired sign-flip test of pairs (by, i, a, b), each with its own i: by, mean_a, mean_b, diff, p, d, n.
+
+    As in bootstrap_ci a task adds the flipped differences of its block, and one number for each block and resample leaves it.
+    """
+    by = by or []
+    every = Window.partitionBy(*by)
+    blocks = _blocks(pairs, by, F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
+    sums = lambda x: F.sum(F.expr(f"aggregate(held, 0D, (s, x) -> s + ({x}))")).over(every)
+    blocks = blocks.withColumn("mean_a", sums("x.a") / F.col("n")).withColumn("mean_b", sums("x.b") / F.col("n")).withColumn("v", F.expr("transform(held, x -> struct(x.i AS i, x.a - x.b AS d))")).withColumn("diff", sums("x.a - x.b") / F.col("n"))
+    spread = F.sum(F.expr("aggregate(v, 0D, (s, x) -> s + (x.d - diff) * (x.d - diff))")).over(every)
+    blocks = blocks.withColumn("sd", F.when(F.col("n") > 1, F.sqrt(spread / (F.col("n") - 1)))).withColumn("most", F.max(F.expr("array_max(transform(v, x -> abs(x.d)))")).over(every)).drop("held")
+    kept = [*by, "mean_a", "mean_b", "diff", "sd", "most", "n"]
+    flip = f"aggregate(v, 0D, (s, x) -> s + x.d * (1 - 2 * ({_draw(seed, 'b', 'x.i')} % 2)))"
+    parts = _resampled(blocks, by, resamples).select(*kept, "b", F.expr(flip).alias("part"))
+    means = parts.groupBy(*kept, "b").agg((F.sum("part") / F.first("n")).alias("m"))
+    extreme = F.count_if(F.round(F.abs("m"), 12) >= F.round(F.abs("diff"), 12))
     p = F.when(F.col("most") <= 1e-8, F.lit(1.0)).otherwise((F.col("extreme") + 1) / F.lit(float(resamples + 1)))
     effect = F.when(F.coalesce("sd", F.lit(0.0)) > 0, F.col("diff") / F.col("sd")).otherwise(F.lit(0.0))
-    return observed.crossJoin(extreme).select("mean_a", "mean_b", "diff", p.alias("p"), effect.alias("d"), "n")
+    return means.groupBy(*kept).agg(extreme.alias("extreme")).select(*by, "mean_a", "mean_b", "diff", p.alias("p"), effect.alias("d"), "n")
 
 
 def permutation_exact(pairs: DataFrame) -> DataFrame:
@@ -67,11 +106,63 @@ def permutation_exact(pairs: DataFrame) -> DataFrame:
     return means.groupBy("test", "diff").agg(F.avg(F.when(F.round(F.abs("m"), 12) >= F.round(F.abs("diff"), 12), 1.0).otherwise(0.0)).alias("p"))
 
 
-def holm(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """tests (name, p) with reject: step-down, stops at the first failure; equal p go by name."""
-    every, order = Window.partitionBy(), Window.orderBy("p", "name")
-    ok = F.col("p") <= F.lit(alpha) / (F.count("*").over(every) - F.row_number().over(order) + 1)
-    return tests.withColumn("_ok", F.when(ok, 1).otherwise(0)).withColumn("reject", F.min("_ok").over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1).drop("_ok")
+#: Rows in one range of a running sum, and the most ranges there are.
+RANGE_ROWS, RANGES = 1 << 20, 1024
+
+
+def running(rows: DataFrame, key: str, sums: dict[str, Column], ties: tuple[str, ...] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
+    """rows with <name>_before and <name>_all for each of sums, over the order of key (a number), then ties; next_key is the row after.
+
+    Ranges of the key are cut at approximate quantiles, which are asked for first; each range's sums are
+    local, and its beginning is the sum of the ranges below, of which there are RANGES at most. Rows of
+    one key stay together, so the key should be nearly unique.
+    """
+    coarse = 32
+    facts = rows.agg(F.count("*").alias("n"), F.percentile_approx(F.col(key).cast("double"), [i / RANGES for i in range(1, RANGES)], 10_000).alias("q")).first()
+    step = max(1, RANGES // max(1, -(-facts["n"] // range_rows)))
+    edges = sorted(set((facts["q"] or [])[step - 1 :: step]))
+    if edges:
+        # The edges below a key are counted by blocks of edges first, then inside of the one that holds the key.
+        blocks = [edges[i : i + coarse] for i in range(0, len(edges), coarse)]
+        lists = F.array(*[F.array(*[F.lit(float(x)) for x in b]) for b in blocks])
+        value = F.col(key).cast("double")
+        before = F.size(F.filter(F.array(*[F.lit(float(b[-1])) for b in blocks]), lambda e: e < value))
+        within = F.size(F.filter(F.coalesce(F.get(lists, before), F.array().cast("array<double>")), lambda e: e < value))
+        part = F.when(value.isNull(), F.lit(-1)).otherwise(before * coarse + within)
+    else:
+        part = F.lit(0)
+    placed = rows.withColumn("_part", part.cast("int"))
+    for name, c in sums.items():
+        placed = placed.withColumn(f"_{name}", c)
+    below = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_part").agg(F.min(key).alias("_least"), *[F.sum(f"_{x}").alias(f"_{x}_sum") for x in sums])
+    # A row for each range: RANGES and one for nulls at most.
+    totals = totals.select("_part", F.lead("_least").over(Window.orderBy("_part")).alias("_after"), *[F.coalesce(F.sum(f"_{x}_sum").over(below), F.lit(0)).alias(f"_{x}_low") for x in sums], *[F.sum(f"_{x}_sum").over(Window.partitionBy()).alias(f"{x}_all") for x in sums])
+    local = Window.partitionBy("_part").orderBy(key, *ties)
+    joined = placed.join(F.broadcast(totals), "_part")
+    upto = local.rowsBetween(Window.unboundedPreceding, -1)
+    out = joined.select(*rows.columns, F.coalesce(F.lead(key).over(local), "_after").alias("next_key"), *[(F.col(f"_{x}_low") + F.coalesce(F.sum(f"_{x}").over(upto), F.lit(0))).alias(f"{x}_before") for x in sums], *[f"{x}_all" for x in sums])
+    return out
+
+
+def numbered(rows: DataFrame, key: str, ties: tuple[str, ...] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
+    """rows with i, their place from 0 in the order of key, then ties."""
+    return running(rows, key, {"i": F.lit(1).cast("long")}, ties, range_rows).withColumnRenamed("i_before", "i").drop("next_key", "i_all")
+
+
+def holm(tests: DataFrame, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
+    """tests (by, name, p) with reject: step-down in each family, stops at the first failure; equal p go by name."""
+    if by:
+        family, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("p", "name")
+        ranked = tests.withColumn("_r", F.row_number().over(order)).withColumn("_m", F.count("*").over(family))
+        ok = F.col("p") <= F.lit(alpha) / (F.col("_m") - F.col("_r") + 1)
+        failed = F.min(F.when(~ok, F.col("_r"))).over(family)
+    else:
+        ranked = running(tests, "p", {"_r": F.lit(1).cast("long")}, ("name",)).drop("next_key").withColumnsRenamed({"_r_before": "_r", "_r_all": "_m"})
+        ok = F.col("p") <= F.lit(alpha) / (F.col("_m") - F.col("_r"))
+        first = ranked.agg(F.min(F.when(~ok, F.col("_r"))).alias("_failed"))
+        ranked, failed = ranked.crossJoin(F.broadcast(first)), F.col("_failed")
+    return ranked.withColumn("reject", F.coalesce(F.col("_r") < failed, F.lit(True))).select(*tests.columns, "reject")
 
 
 def required_sample_size(d: float, power: float = 0.8, alpha: float = 0.05) -> int:
@@ -85,22 +176,25 @@ def effect_label(d: Column) -> Column:
     return F.when(F.abs(d) < 0.2, "negligible").when(F.abs(d) < 0.5, "small").when(F.abs(d) < 0.8, "medium").otherwise("large")
 
 
-def auc(scored: DataFrame) -> DataFrame:
+def _score_counts(scored: DataFrame) -> DataFrame:
+    """Distinct scores with their numbers of positive and negative labels: ties are one row, however many they are."""
+    return scored.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.sum(1 - F.col("label").cast("long")).alias("neg"))
+
+
+def auc(scored: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Mann-Whitney area of (score, label), ties half: one row; null with one class only. Ranks come from counts of distinct scores."""
-    counts = scored.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.sum(1 - F.col("label").cast("long")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("won", F.col("pos") * (below + F.col("neg") / 2.0)).agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    counts = running(_score_counts(scored), "score", {"below": F.col("neg")}, range_rows=range_rows)
+    return counts.withColumn("won", F.col("pos") * (F.col("below_before") + F.col("neg") / 2.0)).agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
-def threshold_sweep(scored: DataFrame) -> DataFrame:
+def threshold_sweep(scored: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Confusion counts and rates at each midpoint of distinct scores and beyond both ends: answer where score >= threshold."""
-    counts = scored.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.sum(1 - F.col("label").cast("long")).alias("neg"))
-    order = Window.orderBy("score")
-    upto, every = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    cum = counts.select("score", F.lead("score").over(order).alias("next"), F.sum("pos").over(upto).alias("fn"), F.sum("neg").over(upto).alias("tn"), F.sum("pos").over(every).alias("p"), F.sum("neg").over(every).alias("n"), F.row_number().over(order).alias("r"))
-    above = cum.select(F.coalesce((F.col("score") + F.col("next")) / 2, F.col("score") + 1e-6).alias("threshold"), "fn", "tn", "p", "n")
-    first = cum.where("r = 1").select((F.col("score") - 1e-6).alias("threshold"), F.lit(0).cast("long").alias("fn"), F.lit(0).cast("long").alias("tn"), "p", "n")
-    out = first.unionByName(above).select("threshold", (F.col("p") - F.col("fn")).alias("tp"), (F.col("n") - F.col("tn")).alias("fp"), "fn", "tn")
+    cum = running(_score_counts(scored), "score", {"p": F.col("pos"), "n": F.col("neg")}, range_rows=range_rows)
+    above = F.struct(F.coalesce((F.col("score") + F.col("next_key")) / 2, F.col("score") + 1e-6).alias("threshold"), (F.col("p_before") + F.col("pos")).alias("fn"), (F.col("n_before") + F.col("neg")).alias("tn"))
+    # The least score has a threshold below it too.
+    first = F.when((F.col("p_before") == 0) & (F.col("n_before") == 0), F.struct((F.col("score") - 1e-6).alias("threshold"), F.lit(0).cast("long").alias("fn"), F.lit(0).cast("long").alias("tn")))
+    out = cum.select(F.col("p_all").alias("p"), F.col("n_all").alias("n"), F.explode(F.array_compact(F.array(first, above))).alias("x")).select("x.*", "p", "n")
+    out = out.select("threshold", (F.col("p") - F.col("fn")).alias("tp"), (F.col("n") - F.col("tn")).alias("fp"), "fn", "tn")
     rate = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     precision, recall = rate(F.col("tp"), F.col("tp") + F.col("fp")), rate(F.col("tp"), F.col("tp") + F.col("fn"))
     out = out.withColumn("precision", precision).withColumn("recall", recall).withColumn("accuracy", rate(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")))
@@ -112,11 +206,11 @@ def best_threshold(scored: DataFrame, objective: str = "f1") -> DataFrame:
     return threshold_sweep(scored).orderBy(F.round(objective, 12).desc(), "threshold").limit(1)
 
 
-def safety_threshold(scored: DataFrame, least_recall: float = 0.9) -> DataFrame:
+def safety_threshold(scored: DataFrame, least_recall: float = 0.9, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The highest observed score that, as threshold, keeps the recall."""
-    counts = scored.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("pos"))
-    kept = F.sum("pos").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("recall", kept / F.sum("pos").over(Window.partitionBy())).where(F.col("recall") >= least_recall).agg(F.max("score").alias("threshold"))
+    cum = running(_score_counts(scored), "score", {"p": F.col("pos")}, range_rows=range_rows)
+    recall = (F.col("p_all") - F.col("p_before")) / F.col("p_all")
+    return cum.where(recall >= least_recall).agg(F.max("score").alias("threshold"))
 
 
 def calibration_bins(scored: DataFrame, bins: int = 10) -> DataFrame:

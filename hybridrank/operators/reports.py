@@ -62,12 +62,13 @@ def compare_by_gold(a: DataFrame, b: DataFrame, resamples: int = 1000) -> DataFr
 
 def compare_many(runs: dict[str, DataFrame], baseline: DataFrame, alpha: float = 0.05, resamples: int = 1000) -> DataFrame:
     """Each run against the baseline (name, mean_a, mean_b, diff, p, d, n) with Holm's correction over all of them as reject."""
-    tests = None
+    pairs = None
     for name, run in runs.items():
-        row = compare(baseline, run, resamples).select(F.lit(name).alias("name"), "*")
-        tests = row if tests is None else tests.unionByName(row)
-    if tests is None:
+        own = _paired(baseline, run, "question", "a paired comparison needs the same questions in the same order").withColumn("name", F.lit(name))
+        pairs = own if pairs is None else pairs.unionByName(own)
+    if pairs is None:
         raise ValueError("no run to compare")
+    tests = E.permutation_test(pairs, resamples, by=["name"])
     return E.holm(tests, alpha)
 
 

@@ -9,9 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dot, l2_normalize, lexical_tokens
+from ..functions.text import fold, l2_normalize, lexical_tokens
+from .postings import blocked, bm25_scores, idf, list_scores, postings, span_count, terms_of, weight  # noqa: F401
+from .vectors import products
 
-K1, B = 1.2, 0.75
+def kept(df: DataFrame) -> DataFrame:
+    """df, made once: in the shared checkpoint folder where there is one, else held by the executors."""
+    sc = df.sparkSession.sparkContext
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if shared and not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared)
+    return df.checkpoint() if sc._jsc.sc().getCheckpointDir().isDefined() else df.persist()
 
 
 def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
@@ -20,43 +28,39 @@ def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
     return out.where(F.col("rank") <= k) if k else out
 
 
-def postings(passages: DataFrame, stemmed: bool = True, truncate: int | None = None) -> DataFrame:
-    """(term, doc_id, tf, len) of passages (doc_id, text); a passage's length travels with its terms."""
-    tokens = passages.select("doc_id", lexical_tokens(F.col("text"), stemmed, truncate).alias("tokens"))
-    terms = tokens.select("doc_id", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term"))
-    return terms.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-
-
-def corpus_size(passages: DataFrame, stemmed: bool = True, truncate: int | None = None) -> DataFrame:
-    """One row: n and avgdl, passages without tokens included."""
-    size = F.size(lexical_tokens(F.col("text"), stemmed, truncate))
+def corpus_size(passages: DataFrame) -> DataFrame:
+    """One row: n and avgdl in tokens, passages without tokens included. Stemming leaves their number as it is."""
+    size = F.regexp_count(fold(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"))
     return passages.select(size.alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
 
 
 def bm25(queries: DataFrame, passages: DataFrame, k: int = 30, stemmed: bool = True, truncate: int | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The k best passages of each query (query_id, text). A repeated query term counts each time.
 
-    index: postings (term, doc_id, tf, len) and one row (n, avgdl) that a snapshot keeps; without it they are
-    made from passages. Posting lists are cut to the terms that queries have before anything is shuffled by
-    passage: the terms join is a semi-join that Spark broadcasts while they are few. Document frequencies are
-    counted over the same columns as scores, so that both read one exchange.
+    index: postings (term, doc_id, tf, len) and one row (n, avgdl); without it they are made from passages.
+    Posting lists are cut to the terms that queries have, a stated set that is counted first, before anything is
+    exchanged. Document frequencies and scores read one exchange. For an index in blocks see blocked_bm25.
     """
-    wanted = queries.select("query_id", F.explode(lexical_tokens(F.col("text"), stemmed, truncate)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    # A passage's number of tokens is the same before stemming.
-    every, size = index or (postings(passages, stemmed, truncate), corpus_size(passages, False, None))
-    lists = every.join(wanted.select("term").distinct(), "term", "left_semi")
+    wanted = terms_of(queries, stemmed, truncate)
+    asked = wanted.agg(F.count("*"), F.countDistinct("query_id")).first()
+    every, size = index or (postings(passages, stemmed, truncate), corpus_size(passages))
+    lists = every.join(wanted.select("term").distinct(), "term", "left_semi").repartition("doc_id")
+    # The same columns as below, so that it is the same exchange.
     df = lists.groupBy("term").agg(F.count(F.when((F.col("tf") > 0) & (F.col("len") > 0) & F.col("doc_id").isNotNull(), 1)).alias("df"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    norm = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avgdl")))
-    weight = wanted.join(df, "term").crossJoin(F.broadcast(size)).select("query_id", "term", "avgdl", (F.col("qtf") * idf).alias("weight"))
-    scores = lists.join(weight, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * norm).alias("score"))
+    weights = wanted.join(df, "term").crossJoin(F.broadcast(size.select("n"))).select("query_id", "term", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("weight"))
+    weighed = lists.crossJoin(F.broadcast(size.select("avgdl"))).select("doc_id", "term", weight(F.col("tf"), F.col("len"), F.col("avgdl")).alias("w"))
+    scores = list_scores(weighed.sortWithinPartitions("doc_id"), weights, k, asked[0], asked[1])
     return ranked(scores, k).select("query_id", "doc_id", "score", "rank")
 
 
+def blocked_bm25(queries: DataFrame, blocks: DataFrame, size: DataFrame, k: int = 30, stemmed: bool = True, truncate: int | None = None) -> DataFrame:
+    """bm25 over an index in blocks (postings.blocked) and its one row (n, avgdl): equal hits, without reading the spans that have none."""
+    return ranked(bm25_scores(queries, blocks, size, k, stemmed, truncate), k).select("query_id", "doc_id", "score", "rank")
+
+
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 30) -> DataFrame:
-    """Exact k nearest by cosine of unit vectors: queries (query_id, vector), vectors (doc_id, vector)."""
-    pairs = vectors.join(queries.select("query_id", F.col("vector").alias("query_vector")))
-    return ranked(pairs.select("query_id", "doc_id", dot(F.col("query_vector"), F.col("vector")).alias("score")), k)
+    """Exact k nearest by cosine of unit vectors: queries (query_id, vector), vectors (doc_id, vector), in blocks."""
+    return ranked(products(queries, vectors, k), k)
 
 
 def _both(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -163,8 +167,9 @@ def explain() -> Column:
 
 
 def cosine_matrix(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id, cosine) of a stated set of vectors (id, vector) against another."""
-    return left.select(F.col("id").alias("left_id"), F.col("vector").alias("_l")).crossJoin(right.select(F.col("id").alias("right_id"), F.col("vector").alias("_r"))).select("left_id", "right_id", dot(F.col("_l"), F.col("_r")).alias("cosine"))
+    """(left_id, right_id, cosine) of a stated set of vectors (id, vector) against another, in blocks."""
+    rows = products(left.select(F.col("id").alias("query_id"), "vector"), right.select(F.col("id").alias("doc_id"), "vector"))
+    return rows.select(F.col("query_id").alias("left_id"), F.col("doc_id").alias("right_id"), F.col("score").alias("cosine"))
 
 
 def hashed_vectors(texts: DataFrame, dim: int = 64) -> DataFrame:

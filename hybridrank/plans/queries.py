@@ -292,6 +292,16 @@ _bm25_query("bm25_nostem", False, None)
 _bm25_query("bm25_truncate6", True, 6)
 
 
+@query(f"WITH {bm25_sql(5)} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM lex")
+def bm25_blocked(spark, d):
+    """The hits of bm25_topk from lists in blocks, most of which long questions leave unread."""
+    docs = texts(spark, d).select("doc_id", "text")
+    items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    size = R.corpus_size(docs)
+    blocks = R.kept(R.blocked(R.postings(docs), size, R.span_count(docs.count())))
+    return R.blocked_bm25(items, blocks, size, 5).select("query_id", "doc_id", "rank", six("score").alias("score"))
+
+
 @query(f"WITH {bm25_sql(5)} SELECT term, df, round(ln(n / CAST(df AS DOUBLE)), 6) AS idf FROM df, sz")
 def term_idf(spark, d):
     docs = read(spark, d, "documents")
@@ -500,9 +510,7 @@ _VALUES = "va AS MATERIALIZED (SELECT row_number() OVER (ORDER BY item_id) - 1 A
 
 
 def _values(spark, d):
-    from pyspark.sql import Window
-
-    return read(spark, d, "benchmark").select((F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("i"), (F.length("text") % 17).cast("double").alias("a"), (F.length("text") % 11).cast("double").alias("b"))
+    return E.numbered(read(spark, d, "benchmark").select("item_id", "text"), "item_id").select("i", (F.length("text") % 17).cast("double").alias("a"), (F.length("text") % 11).cast("double").alias("b"))
 
 
 @query(f"""WITH {_VALUES}, sz AS (SELECT count(*) AS n, avg(a) AS estimate FROM va), dr AS (SELECT b, {_DRAW.format("concat_ws(':', '20260801', b, j)")} % n AS i FROM range(300) x(b), sz, range((SELECT n FROM sz)) y(j)),
