@@ -150,6 +150,11 @@ def numbered(rows: DataFrame, key: str, ties: tuple[str, ...] = (), range_rows:
     return running(rows, key, {"i": F.lit(1).cast("long")}, ties, range_rows).withColumnRenamed("i_before", "i").drop("next_key", "i_all")
 
 
+def numbered_groups(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows with i, their place from 0 in their group; groups are sets of questions, which one task can sort."""
+    return rows.withColumn("i", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+
+
 def holm(tests: DataFrame, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
     """tests (by, name, p) with reject: step-down in each family, stops at the first failure; equal p go by name."""
     if by:
@@ -176,6 +181,27 @@ def effect_label(d: Column) -> Column:
     return F.when(F.abs(d) < 0.2, "negligible").when(F.abs(d) < 0.5, "small").when(F.abs(d) < 0.8, "medium").otherwise("large")
 
 
+def verdict(p: Column, reject: Column, significant: Column | None = None, alpha: float = 0.05) -> Column:
+    """Whether a corrected test is significant, would have been alone, or is not."""
+    return F.when(reject, F.lit("significant") if significant is None else significant).when(p < alpha, "lost to the correction").otherwise("not significant")
+
+
+def interpretation(diff: Column, p: Column, d: Column, n: Column, alpha: float = 0.05) -> Column:
+    """A test in words; a positive difference is for the one that is judged."""
+    none = F.format_string("no significant difference (diff=%+.4f, p=%.4f, n=%d)", diff, p, n)
+    some = F.format_string("%s (diff=%+.4f, p=%.4f, d=%.2f %s, n=%d)", F.when(diff > 0, "better").otherwise("worse"), diff, p, d, effect_label(d), n)
+    return F.when(p >= alpha, none).otherwise(some)
+
+
+def half_width(lower: Column, upper: Column) -> Column:
+    return (upper - lower) / 2
+
+
+def intervals_overlap(lower_a: Column, upper_a: Column, lower_b: Column, upper_b: Column) -> Column:
+    """Whether two intervals meet, which is no test: those that meet may still differ significantly."""
+    return ~((upper_a < lower_b) | (upper_b < lower_a))
+
+
 def _score_counts(scored: DataFrame) -> DataFrame:
     """Distinct scores with their numbers of positive and negative labels: ties are one row, however many they are."""
     return scored.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.sum(1 - F.col("label").cast("long")).alias("neg"))

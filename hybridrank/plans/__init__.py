@@ -227,14 +227,15 @@ class Engine:
         kept = counted.join(picked, ["query_id", "doc_id"], "left").where((F.col("n") <= c.top_k) | F.col("step").isNotNull())
         return kept.select(*[F.coalesce("step", "rank").alias("rank") if x == "rank" else x for x in hits.columns])
 
-    def ask(self, questions: DataFrame, generate=None) -> DataFrame:
-        """(query_id, abstained, answer, cited, invalid, grounded, language).
+    def ask(self, questions: DataFrame, generate=None, hits: DataFrame | None = None) -> DataFrame:
+        """(query_id, abstained, answer, cited, invalid, grounded, language) and what else generate tells of an answer.
 
-        generate maps (query_id, prompt, question, context) to (query_id, answer); abstained rows never reach it.
+        generate maps (query_id, prompt, question, context) to (query_id, answer, ...); abstained rows never reach it.
+        hits are those of retrieve, where they are at hand.
         """
         c = self.config
         told = [x for x in ("doc_id", "text", "source", "window_text") if x in self.passages.columns]
-        hits = self.retrieve(questions).join(self.passages.select(*told), "doc_id")
+        hits = (self.retrieve(questions) if hits is None else hits).join(self.passages.select(*told), "doc_id")
         decided = retrieval.abstention(questions, hits, c.threshold, c.abstain, c.signal)
         optional = lambda name: F.col(name) if name in told else F.lit(None).cast("string")
         label = citation_label(optional("source"), F.col("doc_id"), F.col("text"))
@@ -256,4 +257,5 @@ class Engine:
         out = decided.select("query_id", "abstains").join(cited, "query_id", "left")
         refused = is_refusal(F.col("answer")) & (F.size("cited") == 0)
         grounded = F.coalesce((F.size("cited") > 0) & (F.size("invalid") == 0), F.lit(False))
-        return out.select("query_id", (F.col("abstains") | F.coalesce(refused, F.lit(True))).alias("abstained"), "answer", "cited", "invalid", grounded.alias("grounded"), "language")
+        more = [x for x in replies.columns if x not in ("query_id", "answer", "abstained", "cited", "invalid", "grounded", "language")]
+        return out.select("query_id", (F.col("abstains") | F.coalesce(refused, F.lit(True))).alias("abstained"), "answer", "cited", "invalid", grounded.alias("grounded"), "language", *more)

@@ -345,7 +345,23 @@ _fuse_query("fuse_dense_only", "dense_only")
 _fuse_query("fuse_lexical_only", "lexical_only")
 
 
-@query()
+def mmr_sql(pool: str, k: int = 5, trade: float = 0.7) -> str:
+    """mm: (query_id, doc_id, step) picked from pool (query_id, doc_id, rank, rel, v), one step after the other; v may be null."""
+    dot = "list_inner_product(p.v, s.v)"
+    steps = [f"m1 AS MATERIALIZED (SELECT query_id, doc_id, v, 1 AS step FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round({trade}e0 * rel, 9) DESC, rank) AS r FROM {pool} WHERE v IS NOT NULL) WHERE r = 1)"]
+    for i in range(2, k + 1):
+        steps.append(f"""m{i} AS MATERIALIZED (SELECT * FROM m{i - 1} UNION ALL SELECT query_id, doc_id, v, {i} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, rank) AS r FROM (
+    SELECT p.query_id, p.doc_id, p.rank, any_value(p.v) AS v, round({trade}e0 * any_value(p.rel) - (1 - {trade}e0) * max({dot}), 9) AS value FROM {pool} p JOIN m{i - 1} s USING (query_id)
+    WHERE p.v IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m{i - 1} t WHERE t.query_id = p.query_id AND t.doc_id = p.doc_id) GROUP BY p.query_id, p.doc_id, p.rank)) WHERE r = 1)""")
+    last = f"""mm AS (SELECT query_id, doc_id, step FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY late, place) AS step FROM (
+    SELECT query_id, doc_id, 0 AS late, step AS place FROM m{k} UNION ALL SELECT query_id, doc_id, 1, rank FROM {pool} WHERE v IS NULL)) WHERE step <= {k})"""
+    return ", ".join([*steps, last])
+
+
+_VECTOR = "list_transform({}.embedding, lambda x: CAST(x AS DOUBLE))"
+
+
+@query(f"WITH {dense_sql(15)}, pool AS MATERIALIZED (SELECT query_id, doc_id, rank, score AS rel, {_VECTOR.format('e')} AS v FROM den JOIN embeddings e ON e.vec_id = doc_id), {mmr_sql('pool')} SELECT query_id, doc_id, step FROM mm")
 def mmr_top5(spark, d):
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     pool = _dense(spark, d, 15).join(v, "doc_id").withColumnRenamed("score", "relevance")
@@ -672,3 +688,147 @@ def prompt_ablation(spark, d):
 @query("SELECT bool_and(confidence BETWEEN 0 AND 1) AS bounded FROM (SELECT least(n_chars / 4000e0, 1.0) AS confidence FROM documents JOIN labels USING (doc_id))")
 def bounded_scores(spark, d):
     return E.is_bounded(_confidence(spark, d).withColumnRenamed("confidence", "score"))
+
+
+# -- sweep --------------------------------------------------------------------------------------------------------
+RESAMPLES = 200
+
+
+def _sweep(spark, d):
+    """All configurations over the items as they are and over the last halves of them; an item's vector is that of its id, a half's of the next one."""
+    from ..functions.text import lexical_tokens
+    from .sweep import Sweep, overlap_order
+
+    items = read(spark, d, "benchmark").select("item_id", "text")
+    gold = _gold(spark, d).withColumnRenamed("query_id", "item_id")
+    words = F.split("text", " ")
+    half = F.array_join(F.slice(words, F.floor(F.size(words) / 2).cast("int") + 1, F.size(words)), " ")
+    wordings = F.explode(F.array(F.struct(F.lit(0).alias("w"), F.lit("generated").alias("variant"), F.col("text").alias("asked")), F.struct(F.lit(1).alias("w"), F.lit("paraphrased").alias("variant"), half.alias("asked"))))
+    rows = items.select("item_id", wordings.alias("x")).select((F.col("item_id") * 2 + F.col("x.w")).alias("query_id"), (F.col("item_id") + F.col("x.w")).alias("vec_id"), F.col("x.asked").alias("text"), "x.variant", F.col("item_id").alias("position"))
+    v = read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    golds = gold.select(F.explode(F.array(F.col("item_id") * 2, F.col("item_id") * 2 + 1)).alias("query_id"), "doc_id")
+    passages = texts(spark, d).select("doc_id", "text").join(v.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
+    return Sweep(rows.join(v, "vec_id", "left").drop("vec_id"), golds, passages, reorder=lambda heads: overlap_order(heads, lexical_tokens), resamples=RESAMPLES)
+
+
+def _sweep_sql() -> str:
+    """me: (variant, config, position, recall, precision, rr, ndcg) of every configuration."""
+    from . import sweep_configs
+
+    configs = sweep_configs()
+    stems = sorted({(c.stemmed, c.truncate) for c in configs if c.fusion != "dense_only"}, key=str)
+    of = {x: i for i, x in enumerate(stems)}
+    lex = []
+    for (stemmed, truncate), i in of.items():
+        lex.append(f"""dt{i} AS (SELECT doc_id, {tokens_sql('text', stemmed, truncate)} AS t FROM documents), qf{i} AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens_sql('text', stemmed, truncate)}) AS term FROM qs) GROUP BY query_id, term),
+po{i} AS (SELECT doc_id, term, count(*) AS tf, any_value(l) AS l FROM (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM dt{i}) GROUP BY doc_id, term), df{i} AS (SELECT term, count(*) AS df FROM po{i} GROUP BY term), sz{i} AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM dt{i}),
+lx{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, sum(qtf * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * l / avgdl)))) AS score FROM qf{i} JOIN po{i} USING (term) JOIN df{i} USING (term), sz{i} GROUP BY query_id, doc_id)) WHERE rank <= 30)""")
+    alpha = {"dense_only": 1.0, "lexical_only": 0.0}
+    table = ", ".join(f"('{c.name}', {c.fusion == 'rrf'}, {c.rrf_k}, {float(alpha.get(c.fusion, c.alpha))}e0, {c.fusion != 'lexical_only'}, {of[(c.stemmed, c.truncate)] if c.fusion != 'dense_only' else 'NULL'}, {c.use_mmr}, {c.rerank})" for c in configs)
+    every = " UNION ALL ".join(f"SELECT {i} AS arm, * FROM lx{i}" for i in of.values())
+    return f"""{_GOLD}, qs AS MATERIALIZED (SELECT item_id * 2 + w AS query_id, item_id + w AS vec_id, item_id AS position, CASE w WHEN 0 THEN 'generated' ELSE 'paraphrased' END AS variant,
+  CASE w WHEN 0 THEN text ELSE array_to_string(string_split(text, ' ')[len(string_split(text, ' ')) // 2 + 1:], ' ') END AS text FROM benchmark, (VALUES (0), (1)) t(w) WHERE item_id IN (SELECT query_id FROM gold)),
+gd AS (SELECT qs.query_id, doc_id FROM qs JOIN gold ON gold.query_id = qs.position), em AS MATERIALIZED (SELECT vec_id, {_VECTOR.format('embeddings')} AS v FROM embeddings),
+dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT q.query_id, e.vec_id AS doc_id, list_inner_product(a.v, e.v) AS score FROM qs q JOIN em a ON a.vec_id = q.vec_id, em e WHERE e.vec_id IN (SELECT doc_id FROM documents))) WHERE rank <= 30),
+{", ".join(lex)}, lx AS ({every}), cf(config, rrf, rrf_k, alpha, dense, arm, mmr, rerank) AS (VALUES {table}),
+hi AS MATERIALIZED (SELECT config, rrf, rrf_k, alpha, mmr, rerank, 'd' AS side, query_id, doc_id, score, rank FROM cf, dn WHERE dense UNION ALL SELECT config, rrf, rrf_k, alpha, mmr, rerank, 'l', query_id, doc_id, score, rank FROM cf JOIN lx USING (arm)),
+sc AS (SELECT *, CASE WHEN hi - lo < 1e-12 THEN 1.0 ELSE (score - lo) / (hi - lo) END AS s FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM hi WINDOW w AS (PARTITION BY config, side, query_id))),
+bo AS (SELECT config, rrf, rrf_k, alpha, mmr, rerank, query_id AS q, doc_id, max(rank) FILTER (side = 'd') AS dr, max(rank) FILTER (side = 'l') AS lr, max(s) FILTER (side = 'd') AS ds, max(s) FILTER (side = 'l') AS ls FROM sc GROUP BY ALL),
+fu AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY config, q ORDER BY round(score, 9) DESC, dr NULLS LAST, lr NULLS LAST, doc_id) AS rank, count(*) OVER (PARTITION BY config, q) AS n FROM (
+  SELECT *, CASE WHEN rrf THEN coalesce(1e0 / (rrf_k + dr), 0) + coalesce(1e0 / (rrf_k + lr), 0) ELSE alpha * coalesce(ds, 0) + (1 - alpha) * coalesce(ls, 0) END AS score FROM bo)),
+ov AS (SELECT f.config, f.q, f.doc_id, f.rank, len(list_intersect(a, b)) / CAST(greatest(len(a), 1) AS DOUBLE) AS share FROM (
+  SELECT f.config, f.q, f.doc_id, f.rank, list_distinct({tokens_sql('qs.text')}) AS a, list_distinct({tokens_sql('d.text')}) AS b FROM fu f JOIN qs ON qs.query_id = f.q JOIN documents d ON d.doc_id = f.doc_id WHERE f.rerank AND f.rank <= 12 AND f.n > 1) f),
+re AS (SELECT config, q, doc_id, row_number() OVER (PARTITION BY config, q ORDER BY round(share, 9) DESC, rank) AS new FROM ov),
+pool AS MATERIALIZED (SELECT f.q AS query_id, f.doc_id, f.rank, e.v, list_inner_product(a.v, e.v) AS rel FROM fu f JOIN qs ON qs.query_id = f.q LEFT JOIN em a ON a.vec_id = qs.vec_id LEFT JOIN em e ON e.vec_id = f.doc_id WHERE mmr AND n > 5 AND rank <= 15), {mmr_sql('pool')},
+ht AS (SELECT config, q, doc_id, CASE WHEN rerank THEN coalesce(new, rank) WHEN mmr AND n > 5 THEN step ELSE rank END AS rank FROM fu LEFT JOIN re USING (config, q, doc_id) LEFT JOIN mm ON mm.query_id = fu.q AND mm.doc_id = fu.doc_id),
+pe AS (SELECT config, q, count(*) AS n, count(gd.doc_id) AS h, min(CASE WHEN gd.doc_id IS NOT NULL THEN rank END) AS first_rank, sum(CASE WHEN gd.doc_id IS NOT NULL THEN 1 / log2(rank + 1) ELSE 0.0 END) AS dcg FROM ht LEFT JOIN gd ON gd.query_id = ht.q AND gd.doc_id = ht.doc_id WHERE rank <= 5 GROUP BY config, q),
+ng AS (SELECT query_id, count(*) AS ng FROM gd GROUP BY query_id),
+me AS MATERIALIZED (SELECT variant, cf.config, position, coalesce(h, 0) / CAST(least(ng, 5) AS DOUBLE) AS recall, CASE WHEN n > 0 THEN h / CAST(n AS DOUBLE) ELSE 0.0 END AS precision, coalesce(1.0 / first_rank, 0.0) AS rr,
+  coalesce(dcg, 0) / list_sum(list_transform(range(1, least(ng, 5) + 1), lambda i: 1 / log2(i + 1))) AS ndcg FROM cf CROSS JOIN qs JOIN ng ON ng.query_id = qs.query_id LEFT JOIN pe ON pe.config = cf.config AND pe.q = qs.query_id)"""
+
+
+_SWEPT = _sweep_sql()
+
+
+@query(f"""WITH {_SWEPT}, nu AS (SELECT *, row_number() OVER (PARTITION BY variant, config ORDER BY position) - 1 AS i, count(*) OVER (PARTITION BY variant, config) AS n FROM me),
+mn AS (SELECT s.variant, s.config, b, round(avg(ndcg), 12) AS m FROM (SELECT DISTINCT variant, config, n FROM nu) s, range({RESAMPLES}) x(b), range((SELECT max(n) FROM nu)) y(j), nu WHERE j < s.n AND nu.variant = s.variant AND nu.config = s.config AND nu.i = {_DRAW.format("concat_ws(':', '20260801', b, j)")} % s.n GROUP BY ALL)
+SELECT variant, config, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(rr), 6) AS rr, round(avg(ndcg), 6) AS ndcg, round(avg(CASE WHEN recall > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate,
+  round(any_value(lo), 6) AS ndcg_lower, round(any_value(hi), 6) AS ndcg_upper FROM me JOIN (SELECT variant, config, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM mn GROUP BY variant, config) USING (variant, config) GROUP BY variant, config""")
+def sweep_metrics(spark, d):
+    rows = _sweep(spark, d).summary()
+    return rows.select("variant", "config", "n", *[six(c).alias(c) for c in ("recall", "precision", "rr", "ndcg", "hit_rate", "ndcg_lower", "ndcg_upper")])
+
+
+def _tests_sql(pairs: str, by: str) -> str:
+    """te: (by..., mean, other, diff, p, d, n) of the pairs (by..., i, a, b)."""
+    return f"""pr AS MATERIALIZED ({pairs}), ob AS (SELECT {by}, avg(a) AS mean, avg(b) AS other, avg(a - b) AS diff, max(abs(a - b)) AS most, stddev_samp(a - b) AS sd, count(*) AS n FROM pr GROUP BY {by}),
+fl AS (SELECT {by}, r, avg((a - b) * (1 - 2 * ({_DRAW.format("concat_ws(':', '20260801', r, i)")} % 2))) AS m FROM pr, range({RESAMPLES}) x(r) GROUP BY {by}, r),
+te AS (SELECT {by}, mean, other, diff, CASE WHEN most <= 1e-8 THEN 1.0 ELSE (extreme + 1) / {RESAMPLES + 1}e0 END AS p, CASE WHEN coalesce(sd, 0) > 0 THEN diff / sd ELSE 0e0 END AS d, n FROM ob JOIN (
+  SELECT {by}, count(*) FILTER (round(abs(m), 12) >= round(abs(diff), 12)) AS extreme FROM fl JOIN ob USING ({by}) GROUP BY {by}) USING ({by}))"""
+
+
+_HOLM = "min(CASE WHEN p <= 0.05e0 / (m - r + 1) THEN 1 ELSE 0 END) OVER (PARTITION BY {0} ORDER BY r) = 1 AS reject FROM (SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY p, config) AS r, count(*) OVER (PARTITION BY {0}) AS m FROM te)"
+
+
+@query(f"""WITH {_SWEPT}, {_tests_sql("SELECT x.variant, x.config, x.position AS i, x.ndcg AS a, y.ndcg AS b FROM me x JOIN me y USING (variant, position) WHERE y.config = 'baseline-dense' AND x.config <> y.config", "variant, config")}
+SELECT variant, config, round(mean, 6) AS mean, round(other, 6) AS baseline, round(diff, 6) AS diff, round(p, 6) AS p, round(d, 6) AS d, n, reject, CASE WHEN reject THEN 'significant' WHEN p < 0.05 THEN 'lost to the correction' ELSE 'not significant' END AS verdict
+FROM (SELECT *, {_HOLM.format('variant')})""")
+def sweep_comparisons(spark, d):
+    rows = _sweep(spark, d).comparisons()
+    return rows.select("variant", "config", *[six(c).alias(c) for c in ("mean", "baseline", "diff", "p", "d")], "n", "reject", "verdict")
+
+
+@query(f"""WITH {_SWEPT}, {_tests_sql("SELECT y.config, y.position AS i, y.ndcg AS a, x.ndcg AS b FROM me x JOIN me y USING (config, position) WHERE x.variant = 'generated' AND y.variant = 'paraphrased'", "config")}
+SELECT config, round(other, 6) AS mean_first, round(mean, 6) AS mean_second, round(diff, 6) AS diff, round(p, 6) AS p, reject, CASE WHEN reject THEN CASE WHEN diff < 0 THEN 'significant drop' ELSE 'significant gain' END WHEN p < 0.05 THEN 'lost to the correction' ELSE 'not significant' END AS verdict
+FROM (SELECT *, {_HOLM.format('1')})""")
+def wording_gap(spark, d):
+    rows = _sweep(spark, d).wording_gap()
+    return rows.select("config", *[six(c).alias(c) for c in ("mean_first", "mean_second", "diff", "p")], "reject", "verdict")
+
+
+@query(f"""WITH {_SWEPT}, {_tests_sql("SELECT x.variant, x.config, y.config AS other_config, x.position AS i, x.ndcg AS a, y.ndcg AS b FROM me x JOIN me y USING (variant, position) WHERE (x.config, y.config) IN (('lexical-only', 'lexical-nostem'), ('rrf', 'baseline-dense'), ('weighted-rerank', 'weighted-0.5'))", "variant, config, other_config")}
+SELECT variant, config, other_config AS other, round(mean, 6) AS mean, round(other, 6) AS other_mean, round(diff, 6) AS diff, round(p, 6) AS p, round(d, 6) AS d, n FROM te""")
+def planned_comparisons(spark, d):
+    rows = _sweep(spark, d).planned()
+    return rows.select("variant", "config", "other", *[six(c).alias(c) for c in ("mean", "other_mean", "diff", "p", "d")], "n")
+
+
+@query("""WITH q AS (SELECT count(*) AS n FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text)))
+SELECT variant, n, effect, d, CAST(needed AS BIGINT) AS needed, n >= needed AS sufficient FROM q, (VALUES ('generated'), ('paraphrased')) v(variant), (VALUES ('small', 0.2e0, 197), ('medium', 0.5e0, 32), ('large', 0.8e0, 13)) e(effect, d, needed) WHERE n > 0""")
+def sweep_power(spark, d):
+    return _sweep(spark, d).power()
+
+
+# -- end to end ---------------------------------------------------------------------------------------------------
+def _end_to_end(spark, d):
+    from .end_to_end import evaluate
+
+    engine, asked = _engine(spark, d, threshold=20.0)
+    gold = _gold(spark, d)
+    known = asked.join(gold.select("query_id").distinct().withColumn("answerable", F.lit(True)), "query_id", "left").fillna(False, ["answerable"])
+    return evaluate(engine, known, gold)
+
+
+# The offline generator cites the first passage.
+_ENDED = f"""{_METRICS}, en AS (SELECT item_id AS query_id, ng IS NOT NULL AS answerable, coalesce(score, 0) < 20 AS abstained, gold.doc_id IS NOT NULL AS right_first, me.* EXCLUDE (query_id) FROM benchmark
+  JOIN me ON me.query_id = item_id LEFT JOIN ng ON ng.query_id = item_id LEFT JOIN lex ON lex.query_id = item_id AND rank = 1 LEFT JOIN gold ON gold.query_id = item_id AND gold.doc_id = lex.doc_id)"""
+
+
+@query(f"""WITH {_ENDED} SELECT query_id, answerable, abstained, abstained <> answerable AS abstention_correct, NOT abstained AS has_citations, false AS has_invalid, CASE WHEN NOT abstained AND right_first THEN 1e0 ELSE 0e0 END AS citation_precision,
+  CASE WHEN answerable THEN round(recall, 6) END AS recall, CASE WHEN answerable THEN round(rr, 6) END AS rr, CASE WHEN answerable THEN round(ndcg, 6) END AS ndcg FROM en""")
+def end_to_end(spark, d):
+    rows = _end_to_end(spark, d)
+    return rows.select("query_id", "answerable", "abstained", "abstention_correct", "has_citations", "has_invalid", *[six(c).alias(c) for c in ("citation_precision", "recall", "rr", "ndcg")])
+
+
+@query(f"""WITH {_ENDED}, nu AS (SELECT ndcg, row_number() OVER (ORDER BY query_id) - 1 AS i FROM en WHERE answerable), dr AS (SELECT b, avg(ndcg) AS m FROM range({RESAMPLES}) x(b), range((SELECT count(*) FROM nu)) y(j), nu WHERE i = {_DRAW.format("concat_ws(':', '20260801', b, j)")} % (SELECT count(*) FROM nu) GROUP BY b)
+SELECT count(*) AS n, count(*) FILTER (answerable) AS n_answerable, round(avg(CASE WHEN abstained <> answerable THEN 1.0 ELSE 0 END), 6) AS abstention_accuracy, round(avg(CASE WHEN abstained THEN 0 ELSE 1.0 END), 6) AS citation_rate,
+  round(avg(CASE WHEN abstained THEN 1.0 ELSE 0 END) FILTER (NOT answerable), 6) AS refusal_recall, round(avg(CASE WHEN abstained THEN 0 ELSE 1.0 END) FILTER (answerable), 6) AS answer_rate,
+  round(avg(CASE WHEN NOT abstained AND right_first THEN 1.0 ELSE 0.0 END) FILTER (answerable), 6) AS citation_precision, round(avg(recall) FILTER (answerable), 6) AS recall, round(avg(ndcg) FILTER (answerable), 6) AS ndcg,
+  (SELECT round(quantile_cont(m, 0.025), 6) FROM dr) AS ndcg_lower, (SELECT round(quantile_cont(m, 0.975), 6) FROM dr) AS ndcg_upper FROM en""")
+def end_to_end_summary(spark, d):
+    from .end_to_end import summarize
+
+    row = summarize(_end_to_end(spark, d), RESAMPLES)
+    return row.select("n", "n_answerable", *[six(c).alias(c) for c in ("abstention_accuracy", "citation_rate", "refusal_recall", "answer_rate", "citation_precision", "recall", "ndcg", "ndcg_lower", "ndcg_upper")])
