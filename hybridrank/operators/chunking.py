@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, dot
+from .retrieval import kept
 
 CHUNK_SIZE, OVERLAP, LEAST_CHARS, WINDOW, PERCENTILE = 900, 150, 120, 2, 90.0
 # Separators from the strongest to the weakest.
@@ -165,15 +166,25 @@ def semantic_chunks(sentences_: DataFrame, percentile: float = PERCENTILE) -> Da
 CHUNK_COLUMNS = ["doc_id", "ordinal", "char_start", "char_end", "text", "window_text", "strategy"]
 
 
-def chunk(docs: DataFrame, strategy: str = "recursive", size: int = CHUNK_SIZE, overlap: int = OVERLAP, least: int = LEAST_CHARS, width: int = WINDOW, percentile: float = PERCENTILE) -> DataFrame:
+def embedded_sentences(texts: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, ordinal, text, vector) of the sentences of texts (doc_id, text); embed maps (doc_id, text) to (doc_id, vector), and here doc_id is a sentence."""
+    rows = texts.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("ordinal", "text")).withColumn("sentence", F.struct("doc_id", "ordinal"))
+    made = embed(rows.select(F.col("sentence").alias("doc_id"), "text"))
+    return rows.select("sentence", "text").join(made.select(F.col("doc_id").alias("sentence"), "vector"), "sentence").select("sentence.doc_id", F.col("sentence.ordinal").cast("long").alias("ordinal"), "text", "vector")
+
+
+def chunk(docs: DataFrame, strategy: str = "recursive", size: int = CHUNK_SIZE, overlap: int = OVERLAP, least: int = LEAST_CHARS, width: int = WINDOW, percentile: float = PERCENTILE, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """CHUNK_COLUMNS of docs (doc_id, text), cleaned first; each strategy takes the knobs that it has.
 
-    semantic takes sentences (doc_id, ordinal, text, vector) instead, as they need vectors.
+    semantic needs vectors of sentences: embed makes them, (doc_id, text) to (doc_id, vector); without it docs are
+    sentences (doc_id, ordinal, text, vector).
     """
     if strategy not in ("fixed", "recursive", "sentence_window", "semantic"):
         raise ValueError(f"unknown chunk strategy: {strategy}")
     if strategy == "semantic":
-        if "vector" not in docs.columns:
+        if embed:
+            docs = kept(embedded_sentences(docs.select("doc_id", clean_text(F.col("text")).alias("text")), embed))  # a model is asked once
+        elif "vector" not in docs.columns:
             raise ValueError("semantic chunks need sentence vectors")
         out = semantic_chunks(docs, percentile)
     else:

@@ -6,6 +6,11 @@ so that equal scores have one order.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,6 +187,37 @@ def hashed_vectors(texts: DataFrame, dim: int = 64) -> DataFrame:
     return maps.select("doc_id", l2_normalize(F.transform(place, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))).alias("vector"))
 
 
+def embedder(model: Callable[[list[str]], Sequence], batch: int = 16, attempts: int = 3, wait: float = 1.0, eps: float = 1e-12) -> Callable[[DataFrame], DataFrame]:
+    """(doc_id, text) to (doc_id, vector) by a model that is asked for batch texts at a time, in the tasks that hold them.
+
+    The model answers with a vector for each text, or with (index, vector) pairs in any order. A failed call is
+    repeated after wait * 1.5**n seconds, attempts times in all. Vectors get unit length; null texts are empty ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            rows: list[np.ndarray] = []
+            for at in range(0, len(texts), batch):
+                own = texts[at : at + batch]
+                for attempt in range(attempts):
+                    try:
+                        got = list(model(own))
+                        break
+                    except Exception:
+                        if attempt == attempts - 1:
+                            raise
+                        time.sleep(wait * 1.5**attempt)
+                pairs = sorted(got, key=lambda x: x[0]) if got and isinstance(got[0], tuple) else list(enumerate(got))
+                if [i for i, _ in pairs] != list(range(len(own))):
+                    raise ValueError(f"{len(own)} texts got {len(pairs)} vectors")
+                rows += [np.asarray(v, dtype=np.float64) for _, v in pairs]
+            unit = [(v / max(float(np.sqrt(v @ v)), eps)).tolist() for v in rows]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(unit, pa.list_(pa.float64()))], ["doc_id", "vector"])
+
+    return lambda df: df.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, vector array<double>")
+
+
 def strategies(left: DataFrame, right: DataFrame, k: int = 3) -> DataFrame:
     """The k first hits of each fusion strategy side by side."""
     names = ("dense_only", "lexical_only", "rrf", "weighted")

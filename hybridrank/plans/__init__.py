@@ -8,11 +8,11 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import REFUSAL_TEXT, citation_label, citations, dot, is_refusal, lexical_tokens, prompt_language, read_text, strip_page_markers, with_instruction
-from ..operators import chunking, retrieval
+from ..functions.text import REFUSAL_TEXT, citation_label, citations, dot, is_refusal, prompt_language, read_text, strip_page_markers, with_instruction
+from ..operators import retrieval
 
 
 @dataclass(frozen=True)
@@ -89,83 +89,6 @@ PROMPTS = {
 INSTRUCTION = "Instruct: find passages that answer the question\nQuery: {query}"
 
 
-class Snapshot:
-    """Parquet tables of an index below a folder of its fingerprint.
-
-    A build writes a folder of its own, and the manifest that names it comes last; until then readers keep
-    the version before.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, config: Config) -> None:
-        self.spark, self.config = spark, config
-        self.path = f"{root.rstrip('/')}/index-{config.index_fingerprint()}"
-
-    def table(self, name: str) -> DataFrame:
-        found = self.manifest()
-        if not found:
-            raise ValueError(f"no index at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{found['version']}/{name}")
-
-    def manifest(self) -> dict[str, Any] | None:
-        try:
-            rows = self.spark.read.json(f"{self.path}/manifests").collect()  # one small row for each build
-        except Exception as e:  # no manifest: no snapshot
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
-        return max((r.asDict(recursive=True) for r in rows), key=lambda r: r["version"], default=None)
-
-    def needs_rebuild(self) -> bool:
-        found = self.manifest()
-        return not found or found["fingerprint"] != self.config.index_fingerprint() or not found["n_chunks"]
-
-    def build(self, docs: DataFrame, force: bool = False) -> dict[str, Any]:
-        """Chunks, postings and lengths of docs (doc_id, text, ...); an equal snapshot is used again."""
-        if not force and not self.needs_rebuild():
-            return self.manifest() or {}
-        c = self.config
-        version = f"v{int((self.manifest() or {'version': 'v0'})['version'][1:]) + 1:08d}"
-        at = lambda name: f"{self.path}/{version}/{name}"
-        docs.write.mode("overwrite").parquet(at("documents"))
-        known = self.spark.read.parquet(at("documents"))
-        needed = [x for x in ("doc_id", "ordinal", "text", "vector") if x in known.columns]
-        chunks = chunking.chunk(known.select(*needed), **c.chunk)
-        chunks.select(F.concat_ws("::", F.col("doc_id").cast("string"), "ordinal").alias("chunk_id"), "*").write.mode("overwrite").parquet(at("chunks"))
-        chunks = self.spark.read.parquet(at("chunks"))
-        passages = chunks.select(F.col("chunk_id").alias("doc_id"), "text")
-        # Ranges of (term, passage) split a frequent term's list over files.
-        retrieval.postings(passages, c.stemmed, c.truncate).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(at("postings"))
-        facts = chunks.agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_documents"), F.avg(F.size(lexical_tokens(F.col("text"), False))).alias("avgdl"))
-        facts.select("*", F.lit(c.index_fingerprint()).alias("fingerprint"), F.lit(version).alias("version"), F.lit(c.to_json()).alias("config")).coalesce(1).write.mode("append").json(f"{self.path}/manifests")
-        return self.manifest() or {}
-
-    def chunk(self, chunk_id: str) -> DataFrame:
-        return self.table("chunks").where(F.col("chunk_id") == chunk_id)
-
-    def chunk_ids(self) -> DataFrame:
-        return self.table("chunks").orderBy("doc_id", "ordinal").select("chunk_id")
-
-    def add_vectors(self, vectors: DataFrame, dim: int) -> None:
-        """Stores (doc_id, vector) of chunks; a vector of another length fails the write."""
-        found = self.manifest()
-        if not found:
-            raise ValueError(f"no index at {self.path}")
-        checked = vectors.where(F.assert_true(F.size("vector") == dim, F.lit(f"a vector must have {dim} values")).isNull())
-        checked.write.mode("overwrite").parquet(f"{self.path}/{found['version']}/vectors")
-
-    def vectors(self, ids: DataFrame) -> DataFrame:
-        return self.table("vectors").join(ids.select("doc_id"), "doc_id", "left_semi")
-
-    def engine(self, reorder: Callable[[DataFrame], DataFrame] | None = None, with_vectors: bool = False) -> Engine:
-        """An engine that reads the postings instead of the texts."""
-        passages = self.table("chunks").select(F.col("chunk_id").alias("doc_id"), "text", F.col("doc_id").cast("string").alias("source"), "window_text")
-        if with_vectors:
-            passages = passages.join(self.table("vectors"), "doc_id", "left")
-        facts = self.manifest() or {}
-        size = self.spark.createDataFrame([(facts["n_chunks"], float(facts["avgdl"] or 0.0))], "n long, avgdl double")
-        return Engine(passages, self.config, reorder, (self.table("postings"), size))
-
-
 class Engine:
     """Whole batches of questions (query_id, text[, vector]) against passages (doc_id, text[, vector]).
 
@@ -259,3 +182,6 @@ class Engine:
         grounded = F.coalesce((F.size("cited") > 0) & (F.size("invalid") == 0), F.lit(False))
         more = [x for x in replies.columns if x not in ("query_id", "answer", "abstained", "cited", "invalid", "grounded", "language")]
         return out.select("query_id", (F.col("abstains") | F.coalesce(refused, F.lit(True))).alias("abstained"), "answer", "cited", "invalid", grounded.alias("grounded"), "language", *more)
+
+
+from .snapshot import Snapshot  # noqa: E402, F401

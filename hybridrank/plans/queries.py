@@ -253,6 +253,28 @@ def semantic_breaks(spark, d):
     return C.semantic_segments(v).select("doc_id", "ordinal", "segment")
 
 
+_KEPT = "trim(regexp_replace(t, ' +', ' ', 'g'))"
+for _ in range(2):  # neighbours share the character between them
+    _KEPT = rf"regexp_replace({_KEPT}, '(^|[^A-Za-z0-9])([0-9]+|[A-Z]|(?i:{'|'.join(C.ABBREVIATIONS)}))\.( |$)', '\1\2~\3', 'g')"
+
+
+@query(rf"""WITH tx AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([0-9])\.', '\1', 'g'), '[^A-Za-z0-9 .?!]', ' ', 'g') AS t FROM documents),
+se AS (SELECT doc_id, pos, s FROM (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({_KEPT}, '([.?!]) ', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(replace(x, '~', '.'))), lambda x: x <> '') AS p FROM tx))),
+tk AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS term FROM se), hs AS (SELECT doc_id, pos, CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) AS h FROM tk),
+pl AS (SELECT doc_id, pos, h % 64 AS place, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END) AS w FROM hs GROUP BY doc_id, pos, place), nm AS (SELECT doc_id, pos, greatest(sqrt(sum(w * w)), 1e-12) AS nm FROM pl GROUP BY doc_id, pos),
+dp AS (SELECT a.doc_id, a.pos, sum(a.w * b.w) AS d FROM pl a JOIN pl b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 AND a.place = b.place GROUP BY a.doc_id, a.pos),
+ds AS (SELECT se.doc_id, se.pos, se.s AS s, CASE WHEN nx.pos IS NOT NULL THEN 1 - coalesce(d, 0) / (coalesce(n1.nm, 1e-12) * coalesce(n2.nm, 1e-12)) END AS distance FROM se LEFT JOIN se nx ON nx.doc_id = se.doc_id AND nx.pos = se.pos + 1
+  LEFT JOIN dp ON dp.doc_id = se.doc_id AND dp.pos = se.pos LEFT JOIN nm n1 ON n1.doc_id = se.doc_id AND n1.pos = se.pos LEFT JOIN nm n2 ON n2.doc_id = se.doc_id AND n2.pos = se.pos + 1),
+lim AS (SELECT doc_id, quantile_cont(distance, 0.9) AS lim, count(*) AS n FROM ds GROUP BY doc_id), ct AS (SELECT ds.*, CASE WHEN n >= 3 AND round(distance, 9) > round(lim, 9) THEN 1 ELSE 0 END AS cut FROM ds JOIN lim USING (doc_id)),
+sg AS (SELECT doc_id, pos, s, CAST(coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS segment FROM ct)
+SELECT doc_id, segment AS ordinal, md5(string_agg(s, ' ' ORDER BY pos)) AS chunk FROM sg GROUP BY doc_id, segment""")
+def semantic_chunks(spark, d):
+    """Chunks of texts, whose sentences get the offline vectors. Texts are brought to letters, digits and marks first, so that both engines see the same sentences."""
+    plain = F.regexp_replace(F.regexp_replace("text", r"([0-9])\.", "$1"), r"[^A-Za-z0-9 .?!]", " ")
+    docs = texts(spark, d).select("doc_id", plain.alias("text"))
+    return C.chunk(docs, "semantic", embed=R.hashed_vectors).select("doc_id", "ordinal", F.md5("text").alias("chunk"))
+
+
 # -- retrieval ----------------------------------------------------------------------------------------------------
 def bm25_sql(k: int, stemmed: bool = True, truncate: int | None = None) -> str:
     return f"""
