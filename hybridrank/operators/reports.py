@@ -5,16 +5,22 @@ A run is (position, question, answerable, gold, value): one row for each questio
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_question, is_refusal, is_usable_question, jaccard, leaked, lexical_tokens, overlap, repetition
+from ..functions.text import clean_question, is_refusal, is_usable_question, jaccard, leaked, lexical_tokens, overlap, repetition, strip_page_markers
 from . import evaluation as E
+from . import retrieval as R
 
 VARIANTS = ("generated", "paraphrased")
 ECHO = 0.8
-#: Words that point at a text which the reader of a question does not have.
-REFERENTIAL = ["yukarıda", "aşağıda", "bu metin", "bu pasaj", "metne göre", "pasaja göre", "the text", "the passage"]
+# Phrases that point at a text which the reader of a question does not have.
+REFERENTIAL = ["bu maddede", "bu bölümde", "yukarıda", "aşağıda", "metinde"]
+#: More of them, for questions in other wordings or in English.
+MORE_REFERENTIAL = [*REFERENTIAL, "bu metin", "bu pasaj", "metne göre", "pasaja göre", "the text", "the passage"]
+SEED = 20260801
 
 
 def answer_metrics(answers: DataFrame) -> DataFrame:
@@ -94,6 +100,50 @@ def paraphrases(items: DataFrame, attempts: DataFrame, echo: float = ECHO, refer
     return out.select("item_id", chosen.alias("text"), F.col("question").alias("original"), F.col("first").isNull().alias("echo"), overlap(lexical_tokens(chosen), lexical_tokens(F.col("gold_text"))).alias("gold_overlap")).withColumnRenamed("text", "question")
 
 
+def drawn(passages: DataFrame, n: int, least: int = 300, seed: int = SEED, factor: float = 2.5) -> DataFrame:
+    """(doc_id, source, text, attempt) of the passages (doc_id, text[, source]) that may be tried: the first min(pool, factor * n) in the order of a seeded hash, from 1.
+
+    The order does not depend on which attempts succeed. It is a top-k, so no task holds the pool.
+    """
+    most = int(n * factor)
+    source = F.col("source") if "source" in passages.columns else F.col("doc_id").cast("string")
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")))
+    pool = passages.where(F.length("text") >= least).select(draw.alias("draw"), "doc_id", source.alias("source"), "text").orderBy("draw", "doc_id").limit(most)
+    # At most factor * n rows are left.
+    return pool.withColumn("attempt", F.row_number().over(Window.orderBy("draw", "doc_id")).cast("long")).drop("draw")
+
+
+def generated_questions(passages: DataFrame, generate: Callable[[DataFrame], DataFrame], n: int = 40, least: int = 300, seed: int = SEED, factor: float = 2.5, referential: list[str] | None = None, passage_chars: int = 1500, answer_chars: int = 400) -> DataFrame:
+    """n questions of drawn passages, or as many as min(pool, factor * n) attempts give: (position, attempt, question, gold, source_doc, gold_answer, gold_overlap, variant, answerable).
+
+    generate maps (doc_id, attempt, passage) to (doc_id, raw), at most one row each; a missing or null reply is a failed attempt. A
+    reply counts when it is usable and no earlier attempt had the same tokens. Attempts run in rounds of n, and the
+    draw stops after the round that reaches n; the last question is the n-th usable one in draw order, whatever ran beyond it.
+    """
+    pool = R.kept(drawn(passages, n, least, seed, factor))
+    tried, found = 0, None
+    most = pool.count()
+    while tried < most and n > 0:
+        part = pool.where((F.col("attempt") > tried) & (F.col("attempt") <= tried + n)).withColumn("passage", F.substring(F.trim(strip_page_markers(F.col("text"))), 1, passage_chars))
+        replies = generate(part.select("doc_id", "attempt", "passage")).select("doc_id", clean_question(F.col("raw")).alias("question"))
+        usable = R.kept(part.drop("text").join(replies, "doc_id").where(is_usable_question(F.col("question"), REFERENTIAL if referential is None else referential)))
+        found = usable if found is None else found.unionByName(usable)
+        tried += n
+        if found.select(_question_key()).distinct().count() >= n:
+            break
+    if found is None:
+        raise ValueError("no passage is long enough for a question")
+    first = found.groupBy(_question_key()).agg(F.min_by(F.struct(*found.columns), "attempt").alias("x")).select("x.*")
+    position = F.row_number().over(Window.orderBy("attempt")) - 1  # of at most factor * n rows
+    rows = first.withColumn("position", position.cast("long")).where(F.col("position") < n)
+    share = F.round(overlap(lexical_tokens(F.col("question")), lexical_tokens(F.col("passage"))), 4)
+    return rows.select("position", "attempt", "question", F.array("doc_id").alias("gold"), F.col("source").alias("source_doc"), F.substring("passage", 1, answer_chars).alias("gold_answer"), share.alias("gold_overlap"), F.lit(VARIANTS[0]).alias("variant"), F.lit(True).alias("answerable"))
+
+
+def _question_key() -> Column:
+    return F.array_join(lexical_tokens(F.col("question")), " ").alias("key")
+
+
 def unanswerable(spark: SparkSession, questions: list[str], n: int | None = None) -> DataFrame:
     """Eval rows of questions that no passage answers, the first n of the list."""
     rows = [(i, q, False, "unanswerable") for i, q in enumerate(questions if n is None else questions[:n])]

@@ -193,10 +193,29 @@ def vocabulary(spark, d):
     return S.vocabulary(texts(spark, d))
 
 
-@query()
+# Texts in ASCII, as a word ends elsewhere in the other engine next to other letters, with words broken before their last letters.
+_BROKEN = "regexp_replace(regexp_replace(text, '[^ -~\n]', ' ', 'g'), '([a-z])(ion|s|en|er) ', '\\1 \\2 ', 'g')"
+_BREAK = r"(?i)\b([a-z]{3,})\s([a-z]{1,3})\b"
+_BREAKS = f"""vo AS MATERIALIZED {_VOCABULARY}, tx AS (SELECT doc_id, {_BROKEN} AS t FROM documents), pa AS (SELECT doc_id, unnest(m) AS pair, generate_subscripts(m, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{_BREAK}') AS m FROM tx)),
+fx AS (SELECT pair, head, tail FROM (SELECT DISTINCT pair, regexp_extract(pair, '{_BREAK}', 1) AS head, regexp_extract(pair, '{_BREAK}', 2) AS tail FROM pa) WHERE {LOWER.format('concat(head, tail)')} IN (SELECT term FROM vo) AND {LOWER.format('tail')} NOT IN (SELECT term FROM vo))"""
+
+
+def _broken(spark, d):
+    text = F.regexp_replace(F.regexp_replace("text", "[^ -~\n]", " "), "([a-z])(ion|s|en|er) ", "$1 $2 ")
+    return read(spark, d, "documents").select("doc_id", text.alias("text"))
+
+
+@query(f"WITH {_BREAKS} SELECT head, tail, count(*) AS n FROM pa JOIN fx USING (pair) GROUP BY head, tail")
 def word_breaks(spark, d):
-    docs = read(spark, d, "documents").withColumn("text", F.regexp_replace("text", "ion ", " ion "))
-    return S.word_breaks(docs, S.vocabulary(read(spark, d, "documents")))
+    return S.word_breaks(_broken(spark, d), S.vocabulary(read(spark, d, "documents")))
+
+
+@query(f"""WITH {_BREAKS}, bt AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(t, '{_BREAK}') AS p FROM tx))
+SELECT doc_id, count(fx.pair) AS repairs, md5(string_agg(concat(x, coalesce(head || tail, pa.pair, '')), '' ORDER BY i)) AS text FROM bt LEFT JOIN pa USING (doc_id, i) LEFT JOIN fx ON fx.pair = pa.pair GROUP BY doc_id""")
+def repair_corpus(spark, d):
+    broken = _broken(spark, d).withColumn("before", F.col("text"))
+    fixed = S.repair_word_breaks(broken, S.vocabulary(read(spark, d, "documents")))
+    return fixed.select("doc_id", big(T.repair_count(F.col("before"), F.col("text"))).alias("repairs"), F.md5("text").alias("text"))
 
 
 @query("SELECT doc_id, source, lang, n_chars FROM documents WHERE length(text) >= 300")
@@ -236,9 +255,15 @@ def recursive_chunks(spark, d):
     return C.recursive_chunks(texts(spark, d)).select("doc_id", "ordinal", "char_start", "char_end", F.md5("text").alias("chunk"))
 
 
-@query()
+_HELD = "text"
+for _ in range(2):  # neighbours share the character between them
+    _HELD = rf"regexp_replace({_HELD}, '(^|[^\p{{L}}\p{{N}}_’''])(\p{{N}}+|\p{{Lu}}|(?i:{'|'.join(C.ABBREVIATIONS)}))\.(\s|$)', '\1\2' || chr(57344) || '\3', 'g')"
+
+
+@query(rf"""WITH se AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({_HELD}, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(replace(x, chr(57344), '.'))), lambda x: x <> '') AS p FROM documents),
+un AS (SELECT doc_id, p, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM se) SELECT doc_id, i - 1 AS ordinal, md5(s) AS sentence, md5(array_to_string(p[greatest(1, i - 2):i + 2], ' ')) AS around FROM un""")
 def sentence_windows(spark, d):
-    return C.sentence_windows(read(spark, d, "documents")).select("doc_id", "ordinal", F.md5("text").alias("sentence"), F.md5("window_text").alias("around"))
+    return C.sentence_windows(read(spark, d, "documents")).select("doc_id", big("ordinal").alias("ordinal"), F.md5("text").alias("sentence"), F.md5("window_text").alias("around"))
 
 
 _SEM = "SELECT label AS doc_id, vec_id AS ordinal, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings"
@@ -603,6 +628,47 @@ def sample_questions(spark, d):
     return drawn.select("doc_id", F.row_number().over(Window.orderBy("draw", "doc_id")).cast("long").alias("attempt"))
 
 
+_ASKED = "concat(substr(text, 1, doc_id % 60), CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 7 = 0 THEN ' metinde nedir?' ELSE ' is what?' END)"
+
+
+@query(rf"""WITH pool AS (SELECT doc_id, source, trim(text) AS passage, row_number() OVER (ORDER BY md5(concat('20260801:', doc_id)), doc_id) AS attempt FROM documents WHERE length(text) >= 300 QUALIFY attempt <= 100),
+rp AS (SELECT doc_id, source, attempt, substr(passage, 1, 1500) AS passage, trim(string_split(trim({_ASKED.replace('text', 'passage')}), chr(10))[1]) AS q FROM pool),
+cl AS (SELECT *, trim(regexp_replace(trim(regexp_replace(regexp_replace(q, '^(?:\d+[.)]|[-*•])\s*', ''), '^["''“”]+|["''“”]+$', '', 'g')), '(?i)^(?:soru|question)\s*:\s*', '')) AS question FROM rp),
+us AS (SELECT *, {tokens_sql('question')} AS t FROM cl WHERE length(question) BETWEEN 15 AND 250 AND contains(question, '?') AND NOT ({' OR '.join(f"contains({LOWER.format('question')}, '{p}')" for p in X.REFERENTIAL)})),
+fi AS (SELECT * FROM us QUALIFY row_number() OVER (PARTITION BY array_to_string(t, ' ') ORDER BY attempt) = 1), nu AS (SELECT *, row_number() OVER (ORDER BY attempt) - 1 AS position FROM fi)
+SELECT position, attempt, doc_id, source AS source_doc, md5(question) AS question, md5(substr(passage, 1, 400)) AS gold_answer, round(len(list_intersect(list_distinct(t), list_distinct({tokens_sql('passage')}))) / CAST(greatest(len(list_distinct(t)), 1) AS DOUBLE), 4) AS gold_overlap FROM nu WHERE position < 40""")
+def generated_questions(spark, d):
+    """Questions by a rule in place of a model: the beginning of the passage, with a fault in some."""
+    def generate(rows):
+        i = F.col("doc_id")
+        tail = F.when(i % 5 == 0, "").when(i % 7 == 0, " metinde nedir?").otherwise(" is what?")
+        return rows.select("doc_id", F.concat(F.expr("substring(passage, 1, cast(doc_id % 60 AS int))"), tail).alias("raw"))
+
+    rows = X.generated_questions(read(spark, d, "documents").select("doc_id", "source", "text"), generate, 40)
+    return rows.select("position", "attempt", F.col("gold")[0].alias("doc_id"), "source_doc", F.md5("question").alias("question"), F.md5("gold_answer").alias("gold_answer"), "gold_overlap")
+
+
+_CANDIDATES = "concat(CASE a WHEN 0 THEN text WHEN 1 THEN array_to_string(list_reverse(string_split(text, ' '))[1:5], ' ') ELSE array_to_string(string_split(text, ' ')[3:9], ' ') END, CASE WHEN (item_id + a) % 4 = 0 THEN '' ELSE '?' END)"
+
+
+@query(rf"""WITH ca AS (SELECT item_id, a, {_CANDIDATES} AS raw FROM benchmark, (VALUES (0), (1), (2)) t(a)),
+cl AS (SELECT item_id, a, trim(regexp_replace(trim(regexp_replace(regexp_replace(trim(string_split(trim(raw), chr(10))[1]), '^(?:\d+[.)]|[-*•])\s*', ''), '^["''“”]+|["''“”]+$', '', 'g')), '(?i)^(?:soru|question)\s*:\s*', '')) AS q FROM ca),
+us AS (SELECT c.item_id, a, q, list_distinct({tokens_sql('q')}) AS x, list_distinct({tokens_sql('b.text')}) AS y FROM cl c JOIN benchmark b USING (item_id) WHERE length(q) BETWEEN 15 AND 250 AND contains(q, '?') AND NOT ({' OR '.join(f"contains({LOWER.format('q')}, '{p}')" for p in X.REFERENTIAL)})),
+sm AS (SELECT item_id, a, q, CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE) END AS sim FROM us),
+be AS (SELECT item_id, arg_min(q, a) FILTER (sim <= 0.8) AS first, arg_max(q, a) AS last FROM sm GROUP BY item_id)
+SELECT b.item_id, md5(coalesce(first, last, text)) AS question, first IS NULL AS echo, round(CASE WHEN len(tk) = 0 THEN 0.0 ELSE len(list_intersect(tk, list_distinct({tokens_sql('text')}))) / CAST(len(tk) AS DOUBLE) END, 6) AS gold_overlap
+FROM (SELECT b.item_id, b.text, be.first, be.last, list_distinct({tokens_sql('coalesce(be.first, be.last, b.text)')}) AS tk FROM benchmark b LEFT JOIN be USING (item_id)) b""")
+def paraphrases(spark, d):
+    """The items reworded by three candidates each: themselves, some words turned round, some words from the middle."""
+    items = read(spark, d, "benchmark")
+    words = F.split("text", " ")
+    tries = F.array(F.col("text"), F.array_join(F.slice(F.reverse(words), 1, 5), " "), F.array_join(F.slice(words, 3, 7), " "))
+    rows = items.select("item_id", F.posexplode(tries).alias("attempt", "own"))
+    raw = rows.select("item_id", "attempt", F.concat("own", F.when((F.col("item_id") + F.col("attempt")) % 4 == 0, "").otherwise("?")).alias("raw"))
+    out = X.paraphrases(items.select("item_id", F.col("text").alias("question"), F.col("text").alias("gold_text")), raw)
+    return out.select("item_id", F.md5("question").alias("question"), "echo", six("gold_overlap").alias("gold_overlap"))
+
+
 @query("SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total, min(n_chars) AS least, max(n_chars) AS most, list_sort(list(n_chars))[count(*) // 2 + 1] AS median FROM documents GROUP BY lang")
 def corpus_stats(spark, d):
     from pyspark.sql import Window

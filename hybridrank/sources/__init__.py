@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import unicodedata
+from html.parser import HTMLParser
+from collections import Counter
+from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import clean_text, detect_language, repair_count, turkish_lower
 
 DROPPED_TAGS = ("script", "style", "nav", "footer", "header", "title")
+#: Elements whose text a parsed page does not have.
+SKIPPED_ELEMENTS = ("script", "style", "nav", "footer", "header")
+VOID_ELEMENTS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+#: Elements whose text a parsed page does not have.
+SKIPPED_ELEMENTS = ("script", "style", "nav", "footer", "header")
 ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("amp", "&"))
 #: Shorter texts are no documents.
 LEAST_TEXT = 50
@@ -44,6 +52,122 @@ def html_text(c):
     return F.trim(F.regexp_replace(c, r"\s*\n\s*", "\n"))
 
 
+class _Page(HTMLParser):
+    """Texts between tags, without those inside of skipped elements; the title is kept apart as well."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.texts: list[list[str]] = []
+        self.title: list[str] = []
+        self.open: list[str] = []
+        self.count: Counter[str] = Counter()
+        self.titled = False
+        self.between = True
+
+    def handle_comment(self, data: str) -> None:
+        self.between = True
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.between = True
+        if tag not in VOID_ELEMENTS:
+            self.open.append(tag)
+            self.count[tag] += 1
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.between = True
+
+    def handle_endtag(self, tag: str) -> None:
+        self.between = True
+        # What was left open inside of an element ends with it; an end without a beginning ends nothing.
+        while self.count[tag]:
+            last = self.open.pop()
+            self.count[last] -= 1
+            self.titled |= last == "title"
+            if last == tag:
+                break
+
+    def handle_data(self, data: str) -> None:
+        if any(self.count[x] for x in SKIPPED_ELEMENTS):
+            return
+        if self.count["title"] and not self.titled:
+            self.title.append(data)
+        # Text comes in pieces where a mark in it is no tag.
+        if self.between or not self.texts:
+            self.texts.append([data])
+        else:
+            self.texts[-1].append(data)
+        self.between = False
+
+
+def _parsed(raw: str | None) -> tuple[str | None, str | None]:
+    if raw is None:
+        return None, None
+    page = _Page()
+    try:
+        page.feed(raw)
+        page.close()
+    except Exception:  # one broken page stops no corpus
+        return None, None
+    return " ".join("".join(page.title).split()), "\n".join(t for t in ("".join(x).strip() for x in page.texts) if t)
+
+
+@F.pandas_udf(StructType([StructField("title", StringType()), StructField("text", StringType())]))
+def parse_html(pages: pd.Series) -> pd.DataFrame:
+    """Title and text of HTML, by its tags: nested and unclosed ones, comments and all character references; null gives nulls. The title's text is a line of the text."""
+    return pd.DataFrame([_parsed(p) for p in pages], columns=["title", "text"])
+
+
+class _Page(HTMLParser):
+    """Texts between tags, without those inside of dropped elements; the title apart."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.texts: list[str] = []
+        self.title: list[str] = []
+        self.dropped: list[str] = []
+        self.in_title = self.titled = False
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in SKIPPED_ELEMENTS:
+            self.dropped.append(tag)
+        elif tag == "title" and not self.titled:
+            self.in_title = True
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        pass
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.dropped:
+            # What an element left open inside ends with it.
+            del self.dropped[len(self.dropped) - 1 - self.dropped[::-1].index(tag) :]
+        elif tag == "title" and self.in_title:
+            self.in_title, self.titled = False, True
+
+    def handle_data(self, data: str) -> None:
+        if self.in_title:
+            self.title.append(data)
+        elif not self.dropped:
+            self.texts.append(data)
+
+
+def _parsed(raw: str | None) -> tuple[str | None, str | None]:
+    if raw is None:
+        return None, None
+    page = _Page()
+    try:
+        page.feed(raw)
+        page.close()
+    except Exception:  # one broken page stops no corpus
+        return None, None
+    return " ".join("".join(page.title).split()), "\n".join(t for t in (x.strip() for x in page.texts) if t)
+
+
+@F.pandas_udf("title string, text string")
+def parse_html(pages: pd.Series) -> pd.DataFrame:
+    """Title and text of HTML, by its tags: nested and unclosed ones, comments and all character references; null gives nulls."""
+    return pd.DataFrame([_parsed(p) for p in pages], columns=["title", "text"])
+
+
 def markdown_title(c):
     return F.trim(F.regexp_extract(c, r"(?m)^# (.*)$", 1))
 
@@ -54,27 +178,80 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(doc_id, source, text, path, language) of every readable file below path; the id is the relative path without suffix.
+#: Reasons of a file that gives no document.
+UNSUPPORTED, UNREADABLE, TOO_SHORT = "unsupported", "unreadable", "too short"
+
+
+def scanned_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """(doc_id, source, text, path, language, reason) of every file below path, from one scan: reason is null for documents.
 
-    Bytes that are no UTF-8 become replacement characters; a missing folder raises.
+    The id is the relative path without suffix. Bytes that are no UTF-8 become replacement characters; a file whose
+    size is not what was read, or whose parser fails, is unreadable. Empty files are in no scan; a missing folder raises.
     """
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(folder):
         raise FileNotFoundError(path)
     root = system.makeQualified(folder).toUri().getPath().rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", F.expr("make_valid_utf8(cast(content AS string))").alias("raw"))
+    raw = F.when(F.length("content") == F.col("length"), F.expr("make_valid_utf8(cast(content AS string))"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", raw.alias("raw"))
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     # Paths come with percent-encoded bytes and a scheme; the root is cut off as plain text.
     plain = F.expr("try_url_decode(replace(path, '+', '%2B'))")
     base = F.substring_index(F.coalesce(plain, "path"), root, -1)
-    rows = files.withColumn("suffix", suffix).where(F.col("suffix").isin(*SUFFIXES))
-    title = F.when(F.col("suffix").isin(".html", ".htm"), html_title(F.col("raw"))).when(F.col("suffix").isin(".md", ".markdown"), markdown_title(F.col("raw"))).otherwise(F.lit(""))
-    text = F.when(F.col("suffix").isin(".html", ".htm"), html_text(F.col("raw"))).otherwise(F.col("raw"))
-    stem = F.regexp_extract(base, r"([^/]+?)\.[^./]+$", 1)
-    docs = rows.select(F.regexp_replace(base, r"\.[^./]+$", "").alias("doc_id"), F.coalesce(F.nullif(title, F.lit("")), stem).alias("source"), text.alias("text"), "path")
-    return as_documents(docs)
+    rows = files.withColumn("suffix", suffix).withColumn("base", base).withColumn("supported", F.col("suffix").isin(*SUFFIXES))
+    is_html, is_markdown = F.col("suffix").isin(".html", ".htm"), F.col("suffix").isin(".md", ".markdown")
+    rows = rows.withColumn("page", parse_html(F.when(is_html & F.col("supported"), F.col("raw"))))
+    title = F.when(is_html, F.col("page.title")).when(is_markdown, markdown_title(F.col("raw"))).otherwise(F.lit(""))
+    text = F.when(is_html, F.col("page.text")).otherwise(F.col("raw"))
+    stem = F.regexp_extract("base", r"([^/]+?)(?:\.[^./]+)?$", 1)
+    docs = rows.select(F.regexp_replace("base", r"\.[^./]+$", "").alias("doc_id"), F.coalesce(F.nullif(title, F.lit("")), stem).alias("source"), F.when(F.col("supported"), text).alias("text"), "path", "supported")
+    cleaned = normalized(docs).withColumn("text", clean_text(F.col("text")))
+    reason = F.when(~F.col("supported"), UNSUPPORTED).when(F.col("text").isNull(), UNREADABLE).when(F.length("text") < LEAST_TEXT, TOO_SHORT)
+    return cleaned.withColumn("language", detect_language(F.col("text"))).withColumn("reason", reason).drop("supported")
+
+
+#: Reasons of a file that gives no document.
+UNSUPPORTED, UNREADABLE, TOO_SHORT = "unsupported", "unreadable", "too short"
+
+
+def scanned_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """(doc_id, source, text, path, language, reason) of every file below path, from one scan: reason is null for documents.
+
+    The id is the relative path without suffix. Bytes that are no UTF-8 become replacement characters; a file whose
+    size is not what was read, or whose parser fails, is unreadable; a missing folder raises.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        raise FileNotFoundError(path)
+    root = system.makeQualified(folder).toUri().getPath().rstrip("/") + "/"
+    raw = F.when(F.length("content") == F.col("length"), F.expr("make_valid_utf8(cast(content AS string))"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", raw.alias("raw"))
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    # Paths come with percent-encoded bytes and a scheme; the root is cut off as plain text.
+    plain = F.expr("try_url_decode(replace(path, '+', '%2B'))")
+    base = F.substring_index(F.coalesce(plain, "path"), root, -1)
+    rows = files.withColumn("suffix", suffix).withColumn("base", base).withColumn("supported", F.col("suffix").isin(*SUFFIXES))
+    is_html, is_markdown = F.col("suffix").isin(".html", ".htm"), F.col("suffix").isin(".md", ".markdown")
+    rows = rows.withColumn("page", parse_html(F.when(is_html & F.col("supported"), F.col("raw"))))
+    title = F.when(is_html, F.col("page.title")).when(is_markdown, markdown_title(F.col("raw"))).otherwise(F.lit(""))
+    text = F.when(is_html, F.col("page.text")).otherwise(F.col("raw"))
+    stem = F.regexp_extract("base", r"([^/]+?)(?:\.[^./]+)?$", 1)
+    docs = rows.select(F.regexp_replace("base", r"\.[^./]+$", "").alias("doc_id"), F.coalesce(F.nullif(title, F.lit("")), stem).alias("source"), F.when(F.col("supported"), text).alias("text"), "path", "supported")
+    cleaned = normalized(docs).withColumn("text", clean_text(F.col("text")))
+    reason = F.when(~F.col("supported"), UNSUPPORTED).when(F.col("text").isNull(), UNREADABLE).when(F.length("text") < LEAST_TEXT, TOO_SHORT)
+    return cleaned.withColumn("language", detect_language(F.col("text"))).withColumn("reason", reason).drop("supported")
+
+
+def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """(doc_id, source, text, path, language) of every readable file below path that has enough text."""
+    return scanned_files(spark, path, recursive).where("reason IS NULL").drop("reason")
+
+
+def refused(scanned: DataFrame) -> DataFrame:
+    """(path, reason) of the files of scanned_files that give no document."""
+    return scanned.where("reason IS NOT NULL").select("path", "reason")
 
 
 def load_corpus(spark: SparkSession, path: str, recursive: bool = True, repair: bool = True) -> DataFrame:
@@ -124,22 +301,38 @@ def vocabulary(docs: DataFrame, least: int = 2) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-BREAK = r"(?iu)\b([a-zçğıöşü]{3,})\s([a-zçğıöşü]{1,3})\b"
+BREAK = r"(?iuU)\b([a-zçğıöşü]{3,})\s([a-zçğıöşü]{1,3})\b"
+
+
+def _pairs(c: Column) -> Column:
+    """What may be a broken word, from left to right; no two share a letter."""
+    return F.regexp_extract_all(c, F.lit(BREAK), F.lit(0))
 
 
 def word_breaks(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(head, tail, n): pairs to be joined, as the whole is a known word and the tail is none."""
-    pairs = docs.select(F.explode(F.regexp_extract_all("text", F.lit(BREAK), F.lit(0))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
-    parts = pairs.select(F.regexp_extract("pair", BREAK, 1).alias("head"), F.regexp_extract("pair", BREAK, 2).alias("tail"), "n")
+    pairs = docs.select(F.explode(_pairs(F.col("text"))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    return _joinable(pairs, known).groupBy("head", "tail").agg(F.sum("n").alias("n"))
+
+
+def _joinable(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """pairs (pair, ...) that are broken words, with their head and tail."""
+    parts = pairs.withColumn("head", F.regexp_extract("pair", BREAK, 1)).withColumn("tail", F.regexp_extract("pair", BREAK, 2))
     whole = parts.withColumn("term", turkish_lower(F.concat("head", "tail"))).join(known.select("term"), "term", "left_semi")
-    return whole.withColumn("term", turkish_lower(F.col("tail"))).join(known.select("term"), "term", "left_anti").groupBy("head", "tail").agg(F.sum("n").alias("n"))
+    return whole.withColumn("term", turkish_lower(F.col("tail"))).join(known.select("term"), "term", "left_anti").drop("term")
 
 
 def repair_word_breaks(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """docs with those pairs joined. Each document gets its own pairs by a join, so no vocabulary is broadcast."""
-    found = word_breaks(docs, known).select("head", "tail")
-    own = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(BREAK), F.lit(0)))).alias("pair"))
-    own = own.withColumn("head", F.regexp_extract("pair", BREAK, 1)).withColumn("tail", F.regexp_extract("pair", BREAK, 2)).join(found, ["head", "tail"])
-    fixes = own.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pair", F.concat("head", "tail").alias("whole")))).alias("fixes"))
-    text = F.expr(r"aggregate(coalesce(fixes, array()), text, (t, f) -> regexp_replace(t, concat('(?u)(?<![\\p{L}\\p{N}_])', f.pair, '(?![\\p{L}\\p{N}_])'), f.whole))")
-    return docs.join(fixes, "doc_id", "left").withColumn("text", text).drop("fixes")
+    """docs with those pairs joined, in one pass from left to right: a joined pair begins no other.
+
+    Distinct pairs are judged once, by joins with the vocabulary; each text is what lies between its pairs and
+    what becomes of them, so the number of pairs makes no pattern longer. Rows of one doc_id must be one row.
+    """
+    at = docs.select("doc_id", F.posexplode(_pairs(F.col("text"))).alias("place", "pair"))
+    fixes = _joinable(at.select("pair").distinct(), known).select("pair", F.concat("head", "tail").alias("whole"))
+    # Only texts with a broken word are written anew.
+    found = at.join(fixes, "pair").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "whole"))).alias("_fixes"))
+    between = F.split("text", BREAK, -1)
+    told = F.transform(_pairs(F.col("text")), lambda pair, i: F.coalesce(F.try_element_at("_fixes", i), pair))
+    pieces = F.zip_with(between, told, lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
+    return docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col("_fixes").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))).drop("_fixes")
