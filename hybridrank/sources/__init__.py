@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from html.parser import HTMLParser
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -18,8 +17,6 @@ DROPPED_TAGS = ("script", "style", "nav", "footer", "header", "title")
 #: Elements whose text a parsed page does not have.
 SKIPPED_ELEMENTS = ("script", "style", "nav", "footer", "header")
 VOID_ELEMENTS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
-#: Elements whose text a parsed page does not have.
-SKIPPED_ELEMENTS = ("script", "style", "nav", "footer", "header")
 ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("amp", "&"))
 #: Shorter texts are no documents.
 LEAST_TEXT = 50
@@ -117,57 +114,6 @@ def parse_html(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_parsed(p) for p in pages], columns=["title", "text"])
 
 
-class _Page(HTMLParser):
-    """Texts between tags, without those inside of dropped elements; the title apart."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.texts: list[str] = []
-        self.title: list[str] = []
-        self.dropped: list[str] = []
-        self.in_title = self.titled = False
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in SKIPPED_ELEMENTS:
-            self.dropped.append(tag)
-        elif tag == "title" and not self.titled:
-            self.in_title = True
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        pass
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in self.dropped:
-            # What an element left open inside ends with it.
-            del self.dropped[len(self.dropped) - 1 - self.dropped[::-1].index(tag) :]
-        elif tag == "title" and self.in_title:
-            self.in_title, self.titled = False, True
-
-    def handle_data(self, data: str) -> None:
-        if self.in_title:
-            self.title.append(data)
-        elif not self.dropped:
-            self.texts.append(data)
-
-
-def _parsed(raw: str | None) -> tuple[str | None, str | None]:
-    if raw is None:
-        return None, None
-    page = _Page()
-    try:
-        page.feed(raw)
-        page.close()
-    except Exception:  # one broken page stops no corpus
-        return None, None
-    return " ".join("".join(page.title).split()), "\n".join(t for t in (x.strip() for x in page.texts) if t)
-
-
-@F.pandas_udf("title string, text string")
-def parse_html(pages: pd.Series) -> pd.DataFrame:
-    """Title and text of HTML, by its tags: nested and unclosed ones, comments and all character references; null gives nulls."""
-    return pd.DataFrame([_parsed(p) for p in pages], columns=["title", "text"])
-
-
 def markdown_title(c):
     return F.trim(F.regexp_extract(c, r"(?m)^# (.*)$", 1))
 
@@ -211,39 +157,6 @@ def scanned_files(spark: SparkSession, path: str, recursive: bool = True) -> Dat
     return cleaned.withColumn("language", detect_language(F.col("text"))).withColumn("reason", reason).drop("supported")
 
 
-#: Reasons of a file that gives no document.
-UNSUPPORTED, UNREADABLE, TOO_SHORT = "unsupported", "unreadable", "too short"
-
-
-def scanned_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(doc_id, source, text, path, language, reason) of every file below path, from one scan: reason is null for documents.
-
-    The id is the relative path without suffix. Bytes that are no UTF-8 become replacement characters; a file whose
-    size is not what was read, or whose parser fails, is unreadable; a missing folder raises.
-    """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(folder):
-        raise FileNotFoundError(path)
-    root = system.makeQualified(folder).toUri().getPath().rstrip("/") + "/"
-    raw = F.when(F.length("content") == F.col("length"), F.expr("make_valid_utf8(cast(content AS string))"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", raw.alias("raw"))
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    # Paths come with percent-encoded bytes and a scheme; the root is cut off as plain text.
-    plain = F.expr("try_url_decode(replace(path, '+', '%2B'))")
-    base = F.substring_index(F.coalesce(plain, "path"), root, -1)
-    rows = files.withColumn("suffix", suffix).withColumn("base", base).withColumn("supported", F.col("suffix").isin(*SUFFIXES))
-    is_html, is_markdown = F.col("suffix").isin(".html", ".htm"), F.col("suffix").isin(".md", ".markdown")
-    rows = rows.withColumn("page", parse_html(F.when(is_html & F.col("supported"), F.col("raw"))))
-    title = F.when(is_html, F.col("page.title")).when(is_markdown, markdown_title(F.col("raw"))).otherwise(F.lit(""))
-    text = F.when(is_html, F.col("page.text")).otherwise(F.col("raw"))
-    stem = F.regexp_extract("base", r"([^/]+?)(?:\.[^./]+)?$", 1)
-    docs = rows.select(F.regexp_replace("base", r"\.[^./]+$", "").alias("doc_id"), F.coalesce(F.nullif(title, F.lit("")), stem).alias("source"), F.when(F.col("supported"), text).alias("text"), "path", "supported")
-    cleaned = normalized(docs).withColumn("text", clean_text(F.col("text")))
-    reason = F.when(~F.col("supported"), UNSUPPORTED).when(F.col("text").isNull(), UNREADABLE).when(F.length("text") < LEAST_TEXT, TOO_SHORT)
-    return cleaned.withColumn("language", detect_language(F.col("text"))).withColumn("reason", reason).drop("supported")
-
-
 def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """(doc_id, source, text, path, language) of every readable file below path that has enough text."""
     return scanned_files(spark, path, recursive).where("reason IS NULL").drop("reason")
