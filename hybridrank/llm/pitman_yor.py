@@ -13,8 +13,8 @@ Bucket b of the sampler has the pairs of one share of hashes and the root's word
 exchanges of compressed blobs: pairs send what tables they have added by word and by context, and the root
 samples its tables and answers with the customers, tables and totals that each pair needs. A table count is
 drawn from its conditional given all others as they last stood, with the pair's own tables taken out of the
-restaurant and of the root (generalised Stirling numbers times the parent's predictive probability) for up
-to EXACT customers, and by seating growing groups of customers beyond. No sweep passes the driver, and shuffle
+restaurant and of the root: generalised Stirling numbers times the parent's predictive probability, for any
+number of customers. No sweep passes the driver, and shuffle
 files are all that is kept between them. The last SAMPLES sweeps are averaged and sent back to the packs,
 which add the logarithms up by text.
 
@@ -26,6 +26,7 @@ doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
 import pickle
 import zlib
 from collections.abc import Callable, Iterator
@@ -43,7 +44,8 @@ from .packs import by_bucket, dealt, edges, packed, text_buckets, unpack, unzipp
 HEADS = 255
 BURN_IN, SAMPLES = 1, 2
 STRENGTH, ROOT_STRENGTH = 1.0, 10.0
-EXACT = 64
+#: Up to so many customers a table of Stirling numbers is kept; beyond, they come from a sum of TERMS terms at most.
+EXACT, TERMS = 1024, 400
 SEED = 29
 END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0x0F1E2D3C4B5A6978)
 
@@ -259,34 +261,115 @@ def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
     return out
 
 
+_LGAMMA = np.frompyfunc(math.lgamma, 1, 1)
+
+
+def _log_factorials(most: int) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most + 1)))])
+
+
+def _log_tilted(count: int, t: np.ndarray, discount: float) -> np.ndarray:
+    """Saddle point of log P(t sizes add up to count), for sizes with generating function 1 - (1 - z)**discount and t below count."""
+    low, high = np.full(len(t), -700.0), np.zeros(len(t))
+    for _ in range(80):  # the log of 1 - z, by halving
+        mid = (low + high) / 2
+        u = np.exp(mid)
+        more = -np.expm1(mid) * discount * np.exp((discount - 1) * mid) / -np.expm1(discount * mid) > count / t
+        low, high = np.where(more, mid, low), np.where(more, high, mid)
+    f, z = -np.expm1(discount * mid), -np.expm1(mid)
+    first = z * discount * u ** (discount - 1) / f
+    variance = first + z * z * discount * (1 - discount) * u ** (discount - 2) / f - first**2
+    return t * np.log(f) - count * np.log(z) - 0.5 * np.log(2 * np.pi * t * variance)
+
+
+def _log_few_more(count: int, t: np.ndarray, discount: float) -> np.ndarray:
+    """The same where there are few more customers than tables: the power of a series, all of whose terms are positive."""
+    most = int(count - t[0])
+    k = np.arange(1, most + 1)
+    share = np.cumprod((k - discount) / (k + 1))  # of tables of k + 1 customers, against those of one
+    held = np.zeros((most + 1, len(t)))
+    held[0] = 1.0
+    for m in range(1, most + 1):
+        held[m] = ((k[:m, None] * t - (m - k[:m, None])) * share[:m, None] * held[m - k[:m]]).sum(axis=0) / m
+    return np.log(held[count - t, np.arange(len(t))]) + t * math.log(discount)
+
+
+def log_ways(count: int, most: int, discount: float) -> np.ndarray:
+    """log of S(count, t) * t! * discount**t / count! for t from 1 to most: the chance that t table sizes add up to count.
+
+    The number of ways is an alternating sum whose terms fall off quickly while t is small against count**discount; it is
+    taken in extended precision. Where its digits run out, a power of a series tells the rest if customers and
+    tables are nearly as many, else the saddle point follows on from the last good value.
+    """
+    t = np.arange(1, most + 1)
+    j = np.arange(1, min(TERMS, most) + 1)
+    j = j[discount * j < count]
+    fact = _log_factorials(most)
+    shared = (_LGAMMA(1 + discount * j) + _LGAMMA(count - discount * j) - math.lgamma(count + 1) - math.log(math.pi)).astype(float) - fact[j]
+    sign = np.sin(np.pi * discount * j) * np.where(j % 2 == 1, 1.0, -1.0)
+    out = np.full(most, -np.inf)
+    good = 0
+    for s in range(0, most, 256):
+        own = t[s : s + 256, None]
+        few = 40 + int(8 * own[-1, 0] * count**-discount)
+        for n in (few, len(j)):  # few terms are enough nearly always
+            size = np.where(j[:n] <= own, fact[own] - fact[np.maximum(own - j[:n], 0)] + shared[:n], -np.inf)
+            peak = size.max(axis=1, keepdims=True)
+            terms = np.exp((size - peak).astype(np.longdouble)) * sign[:n]
+            total = terms.sum(axis=1)
+            # Terms that were left out, or digits that were lost, end what the sum can tell.
+            fine = (total > 1e-6) & ((np.abs(terms[:, -1]) < 1e-12 * total) | (own[:, 0] <= j[:n][-1]))
+            if fine.all():
+                break
+        stop = len(fine) if fine.all() else int(np.argmin(fine))
+        out[s : s + stop] = (np.log(total[:stop]) + peak[:stop, 0]).astype(float)
+        good = s + stop
+        if stop < len(fine):
+            break
+    last = max(good, 1)
+    if good < most and count - last <= min(last, 256):
+        out[last - 1 :] = _log_few_more(count, t[last - 1 :], discount)
+    elif good < most:
+        rest = t[last - 1 :]
+        tilted = _log_tilted(count, np.minimum(rest, count - 1).astype(float), discount)
+        out[last - 1 :] = tilted + (out[last - 1] - tilted[0] if good else 0.0)
+        if most == count:
+            out[-1] = count * math.log(discount)
+    return out
+
+
+def log_table_weights(count: int, others: float, parent: float, strength: float, discount: float) -> np.ndarray:
+    """log of the unnormalised conditional of 1, 2, ... tables, up to where no weight is left."""
+    before = (strength + discount * others) / discount
+    # Without the ways, tables are negative binomial; these add at most about one, and only shorten the right side.
+    mean = (before * parent + 1) / max(1 - parent, 1e-3)
+    most = int(min(count, mean + 14 * math.sqrt(mean / max(1 - parent, 1e-3)) + 60))
+    t = np.arange(1, most + 1)
+    return np.cumsum(np.log(before + np.arange(most))) + t * math.log(parent) - _log_factorials(most)[1:] + log_ways(count, most, discount)
+
+
 def sample_tables(count: np.ndarray, others: np.ndarray, parent: np.ndarray, strength: float, discount: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Tables that serve count customers of a dish, given the restaurant's other tables and the parent's probability.
 
-    p(t) is proportional to S(c, t) * prod_{k < t} (strength + discount * (others + k)) * parent^t.
+    p(t) is proportional to S(c, t) * prod_{k < t} (strength + discount * (others + k)) * parent^t, for any count: up
+    to what stirling holds the numbers are looked up, beyond they are summed for each dish.
     """
+    most = len(stirling) - 1
     out = np.minimum(count, 1).astype(np.int64)
-    several = np.flatnonzero((count > 1) & (count <= EXACT))
+    several = np.flatnonzero((count > 1) & (count <= most))
     order = several[np.argsort(count[several], kind="stable")]
-    cuts = np.searchsorted(count[order], np.arange(2, EXACT + 2))
-    for c in range(2, EXACT + 1):
-        mine = order[cuts[c - 2] : cuts[c - 1]]
+    values, begins = np.unique(count[order], return_index=True)
+    for c, mine in zip(values.tolist(), np.split(order, begins[1:])):
         for s in range(0, len(mine), 1 + (1 << 20) // c):
             own = mine[s : s + 1 + (1 << 20) // c]
             steps = np.log(strength + discount * (others[own, None] + np.arange(c)[None, :])) + np.log(parent[own])[:, None]
             weight = stirling[c, 1 : c + 1][None, :] + np.cumsum(steps, axis=1)
             weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
             out[own] = 1 + (rng.random(len(own))[:, None] * weight[:, -1:] > weight).sum(axis=1)
-    large = np.flatnonzero(count > EXACT)
-    if len(large):
-        c, t, seated = count[large].astype(float), np.ones(len(large)), 1.0
-        while (live := np.flatnonzero(c > seated)).size:
-            group = max(1.0, np.floor(seated / 16))
-            k = np.minimum(c[live] - seated, group)
-            new = (strength + discount * (others[large[live]] + t[live])) * parent[large[live]]
-            chance = new / (np.maximum(seated - discount * t[live], 0.0) + new)
-            t[live] += rng.binomial(k.astype(np.int64), np.minimum(chance, 1.0))
-            seated += group
-        out[large] = np.minimum(t, c).astype(np.int64)
+    for i in np.flatnonzero(count > most):
+        weight = log_table_weights(int(count[i]), float(others[i]), float(parent[i]), strength, discount)
+        weight = np.cumsum(np.exp(weight - weight.max()))
+        out[i] = 1 + np.searchsorted(weight, rng.random() * weight[-1], side="left")
     return out
 
 

@@ -352,6 +352,31 @@ def test_pitman_yor_sampler():
     assert math.isclose(root[:2].sum() + unseen, 1.0) and math.isclose(root[2], unseen)
 
 
+@pytest.mark.parametrize("count, parent", [(64, 0.001), (65, 0.001), (1000, 0.001), (1025, 0.001), (2000, 0.001), (2000, 0.02), (1500, 0.4)])
+@pytest.mark.parametrize("held", [64, pitman_yor.EXACT])
+def test_pitman_yor_draws_for_any_count(count, parent, held):
+    """Means of draws are those of the conditional, whether Stirling numbers of a count are kept or summed."""
+    discount, others, n = 0.7, 5000, 300
+    t = np.arange(1, count + 1)
+    weight = pitman_yor.log_stirling(discount, count)[count, 1:] + np.cumsum(np.log(1.0 + discount * (others + t - 1)) + math.log(parent))
+    weight = np.exp(weight - weight.max())
+    mean = (weight * t).sum() / weight.sum()
+    spread = math.sqrt((weight * (t - mean) ** 2).sum() / weight.sum())
+    draws = pitman_yor.sample_tables(np.full(n, count), np.full(n, others), np.full(n, parent), 1.0, discount, pitman_yor.log_stirling(discount, held), np.random.default_rng(5))
+    assert abs(draws.mean() - mean) < 4 * spread / math.sqrt(n), (draws.mean(), mean)
+    assert 0.8 < draws.std() / spread < 1.2
+
+
+@pytest.mark.parametrize("discount", [0.2, 0.5, 0.7, 0.95])
+def test_pitman_yor_ways(discount):
+    """The sum and its continuation against the recurrence."""
+    for count in (2, 65, 900):
+        t = np.arange(1, count + 1)
+        want = pitman_yor.log_stirling(discount, count)[count, 1:] - math.lgamma(count + 1) + np.array([math.lgamma(x + 1) for x in t]) + t * math.log(discount)
+        got = pitman_yor.log_ways(count, count, discount)
+        assert np.abs(got - want).max() < 0.1 and np.abs(got - want)[: max(1, int(count**discount))].max() < 1e-6
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
