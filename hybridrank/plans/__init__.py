@@ -52,6 +52,27 @@ class Config:
             raise ValueError(f"unknown settings: {sorted(unknown)}")
         return cls(**values)
 
+    @classmethod
+    def load(cls, path: str) -> Config:
+        """A configuration of a YAML or JSON file on the driver; what it does not name has its default."""
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+
+            return cls.from_dict(yaml.safe_load(text) or {})
+        return cls.from_dict(json.loads(text or "{}"))
+
+    def save(self, path: str) -> None:
+        """All settings as YAML or JSON, by the file's suffix."""
+        with open(path, "w", encoding="utf-8") as f:
+            if path.endswith((".yaml", ".yml")):
+                import yaml
+
+                yaml.safe_dump(asdict(self), f, allow_unicode=True, sort_keys=False)
+            else:
+                json.dump(asdict(self), f, ensure_ascii=False, indent=2)
+
     def fingerprint(self) -> str:
         return _digest({k: v for k, v in asdict(self).items() if k != "name"})
 
@@ -151,7 +172,9 @@ class Engine:
         return kept.select(*[F.coalesce("step", "rank").alias("rank") if x == "rank" else x for x in hits.columns])
 
     def ask(self, questions: DataFrame, generate=None, hits: DataFrame | None = None) -> DataFrame:
-        """(query_id, abstained, answer, cited, invalid, grounded, language) and what else generate tells of an answer.
+        """(query_id, abstained, answer, cited, invalid, grounded, language, sources) and what else generate tells of an answer.
+
+        sources are the labels of the cited passages.
 
         generate maps (query_id, prompt, question, context) to (query_id, answer, ...); abstained rows never reach it.
         hits are those of retrieve, where they are at hand.
@@ -165,23 +188,25 @@ class Engine:
         shown = strip_page_markers(read_text(optional("window_text"), F.col("text")))
         blocks = hits.withColumn("block", F.format_string("[%d] (%s)\n%s", F.col("rank"), label, shown))
         held = retrieval.context(blocks, c.budget).groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("context"))
-        counts = hits.groupBy("query_id").agg(F.count("*").alias("n_hits"))
+        labels = F.transform(F.sort_array(F.collect_list(F.struct("rank", label.alias("label")))), lambda x: x["label"])
+        counts = hits.groupBy("query_id").agg(F.count("*").alias("n_hits"), labels.alias("labels"))
         prompts = decided.where("NOT abstains").join(held, "query_id").join(counts, "query_id").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
         prompts = prompts.withColumn("language", prompt_language(F.col("question"), c.language))
         head = F.when(F.col("language") == "en", PROMPTS["en"].format(refusal=REFUSAL_TEXT["en"])).otherwise(PROMPTS["tr"].format(refusal=REFUSAL_TEXT["tr"]))
-        prompts = prompts.select("query_id", "n_hits", "question", "context", "language", F.concat(head, "context", F.lit("\n\n"), "question").alias("prompt"))
+        prompts = prompts.select("query_id", "n_hits", "labels", "question", "context", "language", F.concat(head, "context", F.lit("\n\n"), "question").alias("prompt"))
         # Without a model the answer is the first sentence of the first passage, or all of it.
         passage = F.regexp_extract("context", r"(?s)^\[1\][^\n]*\n(.*?)(?:\n\n\[2\] \(|$)", 1)
         sentence = F.regexp_extract(passage, r"(?s)^(.*?[.!?])(?:\s|$)", 1)
         replies = generate(prompts.select("query_id", "prompt", "question", "context")) if generate else prompts.select("query_id", F.concat(F.when(sentence == "", passage).otherwise(sentence), F.lit(" [1]")).alias("answer"))
         marks = citations(F.col("answer"))
         within = lambda x: (x >= 1) & (x <= F.col("n_hits"))
-        cited = replies.join(prompts.select("query_id", "n_hits", "language"), "query_id").withColumn("cited", F.filter(marks, within)).withColumn("invalid", F.filter(marks, lambda x: ~within(x)))
+        cited = replies.join(prompts.select("query_id", "n_hits", "labels", "language"), "query_id").withColumn("cited", F.filter(marks, within)).withColumn("invalid", F.filter(marks, lambda x: ~within(x)))
         out = decided.select("query_id", "abstains").join(cited, "query_id", "left")
         refused = is_refusal(F.col("answer")) & (F.size("cited") == 0)
         grounded = F.coalesce((F.size("cited") > 0) & (F.size("invalid") == 0), F.lit(False))
-        more = [x for x in replies.columns if x not in ("query_id", "answer", "abstained", "cited", "invalid", "grounded", "language")]
-        return out.select("query_id", (F.col("abstains") | F.coalesce(refused, F.lit(True))).alias("abstained"), "answer", "cited", "invalid", grounded.alias("grounded"), "language", *more)
+        more = [x for x in replies.columns if x not in ("query_id", "answer", "abstained", "cited", "invalid", "grounded", "language", "sources", "labels", "n_hits")]
+        sources = F.transform("cited", lambda i: F.element_at("labels", i.cast("int")))
+        return out.select("query_id", (F.col("abstains") | F.coalesce(refused, F.lit(True))).alias("abstained"), "answer", "cited", "invalid", grounded.alias("grounded"), "language", sources.alias("sources"), *more)
 
 
 from .snapshot import Snapshot  # noqa: E402, F401

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hybridrank.functions.text import lexical_tokens
 from hybridrank.operators import evaluation as E
+from hybridrank.operators import reports as X
 from hybridrank.operators import retrieval as R
 from hybridrank.plans import Config, Engine, sweep_configs
 from hybridrank.plans.end_to_end import evaluate, summarize, summary_text
@@ -157,3 +158,35 @@ def test_words_for_tests(spark):
     assert got == ["better (diff=+0.1000, p=0.0100, d=0.60 medium, n=20)", "no significant difference (diff=-0.1000, p=0.2000, n=20)"]
     row = spark.range(1).select(E.half_width(F.lit(1.0), F.lit(3.0)).alias("h"), E.intervals_overlap(F.lit(1.0), F.lit(2.0), F.lit(2.0), F.lit(3.0)).alias("a"), E.intervals_overlap(F.lit(1.0), F.lit(2.0), F.lit(2.1), F.lit(3.0)).alias("b")).first()
     assert (row.h, row.a, row.b) == (1.0, True, False)
+
+
+def test_sources_of_an_answer(spark):
+    passages = spark.createDataFrame([("a", "zebra one. more", "S1"), ("b", "zebra zebra two [[page:7]]", None)], "doc_id string, text string, source string")
+    asked = spark.createDataFrame([("q", "zebra"), ("r", "nothing here")], "query_id string, text string")
+    say = lambda rows: rows.select("query_id", F.lit("So [2] and [1] and [9].").alias("answer"))
+    rows = {r.query_id: r for r in Engine(passages, Config(fusion="lexical_only", threshold=-1.0)).ask(asked, say).collect()}
+    assert rows["q"].sources == ["S1", "b · s.7"] and rows["q"].cited == [2, 1] and rows["q"].invalid == [9] and rows["r"].sources is None
+
+
+def test_configurations_as_files(tmp_path):
+    own = Config(name="x", fusion="rrf", chunk={"strategy": "fixed", "size": 100}, truncate=6)
+    for name in ("a.json", "a.yaml"):
+        own.save(str(tmp_path / name))
+        assert Config.load(str(tmp_path / name)) == own
+    (tmp_path / "b.yml").write_text("fusion: rrf\n")
+    assert Config.load(str(tmp_path / "b.yml")) == Config(fusion="rrf")
+    (tmp_path / "c.json").write_text('{"nonsense": 1}')
+    with pytest.raises(ValueError):
+        Config.load(str(tmp_path / "c.json"))
+
+
+def test_reports_and_eval_sets_as_files(spark, world, tmp_path):
+    questions, gold, passages = world
+    rows = questions.drop("vector").withColumn("gold_chunk_ids", F.array(F.col("position").cast("string")))
+    X.save_report(rows, str(tmp_path / "set"))
+    back = X.load_report(spark, str(tmp_path / "set"), "query_id long, text string, variant string, position long, answerable boolean, gold_chunk_ids array<string>")
+    assert sorted(map(str, back.select(*rows.columns).collect())) == sorted(map(str, rows.select(*rows.columns).collect()))
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        X.save_report(rows, str(tmp_path / "set"))
+    X.save_report(Sweep(questions, gold, passages, [Config(name="a", fusion="lexical_only"), Config(name="b", fusion="lexical_only", truncate=3)], resamples=10).summary(), str(tmp_path / "report"))
+    assert {r.config for r in X.load_report(spark, str(tmp_path / "report"), "config string, variant string, ndcg double").collect()} == {"a", "b"}
