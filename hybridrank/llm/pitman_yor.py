@@ -297,8 +297,8 @@ def _log_few_more(count: int, t: np.ndarray, discount: float) -> np.ndarray:
 def log_ways(count: int, most: int, discount: float) -> np.ndarray:
     """log of S(count, t) * t! * discount**t / count! for t from 1 to most: the chance that t table sizes add up to count.
 
-    The number of ways is an alternating sum whose terms fall off quickly while t is small against count**discount; it is
-    taken in extended precision. Where its digits run out, a power of a series tells the rest if customers and
+    The number of ways is an alternating sum whose terms fall off quickly while t is small against count**discount.
+    Where its digits run out, at about three times that, a power of a series tells the rest if customers and
     tables are nearly as many, else the saddle point follows on from the last good value.
     """
     t = np.arange(1, most + 1)
