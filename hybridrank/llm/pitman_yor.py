@@ -317,8 +317,8 @@ def log_ways(count: int, most: int, discount: float) -> np.ndarray:
             peak = size.max(axis=1, keepdims=True)
             terms = np.exp((size - peak).astype(np.longdouble)) * sign[:n]
             total = terms.sum(axis=1)
-            # Terms that were left out, or digits that were lost, end what the sum can tell.
-            fine = (total > 1e-6) & ((np.abs(terms[:, -1]) < 1e-12 * total) | (own[:, 0] <= j[:n][-1]))
+            # Terms that were left out, whatever the sign of the last one, or digits that were lost, end what the sum can tell.
+            fine = (total > 1e-6) & ((np.exp(size[:, -1] - peak[:, 0]) < 1e-12 * total) | (own[:, 0] <= j[:n][-1]))
             if fine.all():
                 break
         stop = len(fine) if fine.all() else int(np.argmin(fine))

@@ -370,7 +370,7 @@ def test_pitman_yor_draws_for_any_count(count, parent, held):
 @pytest.mark.parametrize("discount", [0.2, 0.5, 0.7, 0.95])
 def test_pitman_yor_ways(discount):
     """The sum and its continuation against the recurrence."""
-    for count in (2, 65, 900):
+    for count in (2, 65, 900, 2000):
         t = np.arange(1, count + 1)
         want = pitman_yor.log_stirling(discount, count)[count, 1:] - math.lgamma(count + 1) + np.array([math.lgamma(x + 1) for x in t]) + t * math.log(discount)
         got = pitman_yor.log_ways(count, count, discount)
