@@ -17,8 +17,8 @@ A pack sends a string once however often it holds it, so a passage that a third
 costs one entry a pack. Packs also tell about how many runs a minimizer has; where these come to HOT or more
 in all, as when a common phrase stands in ever other surroundings, its runs are cut into single windows, and
 each window is dealt to a bucket by its own hash. So no bucket gets more than HOT segments, by the packs'
-rough counts, of one minimizer. Blocks of a transform hold whole minimizers; one whose segments exceed BLOCK
-is cut into single windows too.
+rough counts, of one minimizer. Blocks of a transform hold whole minimizers; one whose segments exceed two
+blocks is cut into single windows too, of which equal ones, by a 64-bit hash, are a class without a transform.
 
 Defined edge cases: a null text is empty; texts shorter than LENGTH keep all bytes; strings never cross
 texts; rows that repeat a doc_id don't count as earlier than one another; a null doc_id counts as later than
@@ -41,7 +41,7 @@ from .packs import NO_ID, bucket_count, by_bucket, dealt, edges, packed, unpack,
 LENGTH = 50
 K = 24
 STEP = 1 << 19
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Runs of a minimizer from which on it is dealt out window by window.
 HOT = 1 << 14
 #: Bits of a minimizer or window hash; the remaining ones of 48 say whether two documents of a pack have it, and how often.
@@ -292,18 +292,14 @@ def _minima(value: np.ndarray, texts: np.ndarray, text_at: np.ndarray, lengths:
         if weight[i:j].sum() <= 2 * BLOCK:
             out[spans] = window_minima(texts[expand(text_at[members], lengths[members])], lengths[members], docs[members])
         else:
-            starts = expand(text_at[members], windows[members])
-            owner = np.repeat(docs[members], windows[members])
-            deal = np.empty(len(starts), dtype=np.uint64)
-            for k in range(0, len(starts), BLOCK // LENGTH):
-                part = starts[k : k + BLOCK // LENGTH]
-                deal[k : k + len(part)] = span_hash(texts[expand(part, np.full(len(part), LENGTH))], np.arange(len(part)) * LENGTH, np.arange(1, len(part) + 1) * LENGTH, 9)
-            pieces = int(weight[i:j].sum() * LENGTH // BLOCK) + 1
-            for k in range(pieces):
-                mine = np.flatnonzero(deal % np.uint64(pieces) == k)
-                if len(mine):
-                    fixed = np.full(len(mine), LENGTH)
-                    out[spans[mine]] = window_minima(texts[expand(starts[mine], fixed)], fixed, owner[mine])
+            begin = np.cumsum(lengths[members]) - lengths[members]
+            starts = expand(begin, windows[members])
+            h = span_hash(texts[expand(text_at[members], lengths[members])], starts, starts + LENGTH, 9)
+            order = np.argsort(h)
+            h = h[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            least = np.minimum.reduceat(np.repeat(docs[members], windows[members])[order], first)
+            out[spans[order]] = np.repeat(least, np.diff(np.append(first, len(h))))
         i = j
     return out
 
@@ -381,11 +377,13 @@ def _cut_out(buckets: int):
                     np.add.at(delta, begin[gone], 1)
                     np.add.at(delta, stop[gone] + LENGTH - 1, -1)
                 gone_bytes, spans, digest = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64), []
-                i = 0
-                while i < len(ids):  # no removed run crosses a text, so slices of whole texts stand alone
+                i, open_ = 0, 0
+                while i < len(ids):  # what ends with a slice's last text is taken off at the first byte of the next one
                     j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, side="right")) - 1)
                     base, at = offsets[i], offsets[i : j + 1] - offsets[i]
-                    removed = np.cumsum(delta[base : offsets[j]]) > 0
+                    depth = np.cumsum(delta[base : offsets[j]]) + open_
+                    open_ = int(depth[-1]) if len(depth) else open_
+                    removed = depth > 0
                     begins = removed.copy()
                     begins[1:] &= ~removed[:-1]
                     edge = at[:-1][at[:-1] < len(removed)]

@@ -66,6 +66,25 @@ def test_suffix_dedup(docs, nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_suffix_removal_at_the_end_of_a_slice(spark):
+    # A removed run that ends with the last text of a slice of a pack must not lessen what the next slice removes.
+    rng = np.random.default_rng(3)
+    word = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    passage, rest = word(60), [word(600_000) for _ in range(3)]
+    rows = [(1, rest[0] + passage), (2, rest[1] + passage), (3, rest[2][:300_000] + passage + rest[2][300_000:]), (4, passage)]
+    got = by_id(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)))
+    assert [(got[i].n_removed, got[i].n_spans) for i in (1, 2, 3, 4)] == [(0, 0), (60, 1), (60, 1), (60, 1)]
+    assert got[3].kept_sha256 == hashlib.sha256(rest[2].encode()).hexdigest()
+
+
+def test_suffix_long_periodic_texts():
+    # One segment of many equal windows: each distinct window is judged once.
+    texts = [np.frombuffer(b"ab" * n, dtype=np.uint8) for n in (400_000, 400_001, 30)]
+    lengths = np.array([len(t) for t in texts])
+    got = suffix_dedup._minima(np.zeros(3, dtype=np.uint64), np.concatenate(texts), np.cumsum(lengths) - lengths, lengths, np.array([5, 3, 9]))
+    assert len(got) == (lengths - 49).sum() and (got == 3).all()
+
+
 @pytest.mark.parametrize("hot", [8, suffix_dedup.HOT])
 def test_suffix_common_phrase(spark, hot):
     """A common 24-byte phrase in ever other surroundings: split or not, the result is that of brute force."""
