@@ -174,3 +174,28 @@ def test_holm_in_families(spark):
     tests = spark.createDataFrame(rows, "family string, name string, p double")
     assert {(r.family, r.name) for r in E.holm(tests, by=["family"]).where("reject").collect()} == {("f", "a"), ("f", "b"), ("f", "c"), ("g", "a"), ("g", "b")}
     assert {r.name for r in E.holm(tests.where("family = 'f'").withColumn("p", F.col("p") * 2), 0.05).where("reject").collect()} == {"a"}
+
+
+def test_hashed_vectors_row_by_row(spark):
+    """Against plain computation, and without an exchange, so that the work grows with the texts alone."""
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    tokens = {r.doc_id: r.t for r in docs.select("doc_id", lexical_tokens(F.col("text"), False).alias("t")).collect()}
+    for dim in (64, 10):
+        out = R.hashed_vectors(docs, dim)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        for r in out.collect():
+            want = [0.0] * dim
+            for t in tokens[r.doc_id]:
+                h = int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+                want[h % dim] += 1 - 2 * (h // dim % 2)
+            norm = max(math.sqrt(sum(x * x for x in want)), 1e-12)
+            assert r.vector == [x / norm for x in want]
+
+
+def test_slices_hold_bounded_text():
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(["x" * 1000] * 200 + [None, "", "y" * 9000] + ["é"] * 197)], ["doc_id", "text"])
+    parts = list(P.slices([b, b.slice(7, 0)], limit=4000))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([b])) and len(parts) > 60
+    assert all(p.num_rows == 1 or sum(len((t or "").encode()) + 64 for t in p.column("text").to_pylist()) <= 4000 for p in parts)
