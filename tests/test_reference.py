@@ -193,6 +193,17 @@ def test_every_chunker_with_default_knobs(spark):
     assert [r.text for r in C.chunk(rows, "semantic").orderBy("ordinal").collect()] == ["s0 s1 s2 s3", "s4 s5 s6 s7"]
 
 
+def test_semantic_chunks_exchange_sentences_once(spark):
+    """One exchange by document carries texts and vectors; a sentence's vector needs no join."""
+    docs = texts(spark, "One two three. Four five six. One two three. Nine ten. Nine ten.", "Alone.", "", None)
+    out = C.chunk(docs, "semantic", embed=R.hashed_vectors)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+    rows = {(r.doc_id, r.ordinal): r.text for r in out.collect()}
+    assert {d for d, _ in rows} == {0, 1} and rows[(1, 0)] == "Alone."
+    assert " ".join(t for (d, _), t in sorted(rows.items()) if d == 0) == "One two three. Four five six. One two three. Nine ten. Nine ten."
+
+
 def test_engine_by_default_abstains_on_raw_scores(spark):
     passages = spark.createDataFrame([(f"p{i}", f"filler{i} words of passage {i} that say nothing", [1.0, 0.0]) for i in range(30)] + [("x", "zebra quagga okapi. More text.", [0.0, 1.0])], "doc_id string, text string, vector array<double>")
     asked = spark.createDataFrame([("q", "zebra quagga okapi", [0.0, 1.0]), ("r", "unknown thing", [0.0, 1.0])], "query_id string, text string, vector array<double>")
