@@ -190,3 +190,17 @@ def test_reports_and_eval_sets_as_files(spark, world, tmp_path):
         X.save_report(rows, str(tmp_path / "set"))
     X.save_report(Sweep(questions, gold, passages, [Config(name="a", fusion="lexical_only"), Config(name="b", fusion="lexical_only", truncate=3)], resamples=10).summary(), str(tmp_path / "report"))
     assert {r.config for r in X.load_report(spark, str(tmp_path / "report"), "config string, variant string, ndcg double").collect()} == {"a", "b"}
+
+
+def test_gold_meets_few_documents(spark, tmp_path):
+    """Items are found by contains, as before, and are tried on documents that have their longest inner word only."""
+    from hybridrank.plans import queries as Q
+
+    items = [(1, "alpha betagamma delta"), (2, "ab"), (3, "a b"), (4, "x  y"), (5, ""), (6, "x   y"), (7, "é ñandú é")]
+    docs = [(1, "xalpha betagamma deltax"), (2, "alpha betagamma"), (3, "cab a b"), (4, "x  y"), (5, None), (6, ""), (7, "x   y"), (8, "é ñandú é ñandú é"), (9, "betagamma alpha betagamma delta alpha betagamma delta")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = Q._gold(spark, str(tmp_path))
+    want = sorted((i, d) for i, p in items for d, t in docs if t is not None and p in t)
+    assert sorted((r.query_id, r.doc_id) for r in out.collect()) == want
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
