@@ -24,7 +24,7 @@ def evaluate(engine: Engine, questions: DataFrame, gold: DataFrame, generate: Ca
     joined again by question. Retrieval is judged for answerable questions only and null for the others. A column
     generation_ms of generate's is kept; abstained questions have 0 there.
     """
-    gold = gold.select("query_id", "doc_id").distinct()
+    gold = R.kept(gold.select("query_id", "doc_id").distinct())
     hits = R.kept(engine.retrieve(questions))
     ranked = F.sort_array(F.collect_list(F.struct("rank", "doc_id", "score")))
     found = hits.groupBy("query_id").agg(ranked.alias("found"))
