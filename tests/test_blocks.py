@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +105,30 @@ def test_bm25_full_and_in_blocks(spark, monkeypatch, k):
     assert R.bm25(queries.limit(0), passages).count() == 0 and R.bm25(queries, passages.limit(0)).count() == 0
 
 
+def test_blocks_are_exchanged_once_and_scores_never(spark):
+    docs, asked = corpus(spark, 200)
+    passages, queries = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(asked, "query_id long, text string")
+    size = R.corpus_size(passages)
+    blocks = R.kept(P.blocked(P.postings(passages), size, 40))
+    plan = P.bm25_scores(queries, blocks, size, 5)._jdf.queryExecution().executedPlan().toString()
+    dealt = [sorted(set(re.findall(r"(\w+)#", x))) for x in re.findall(r"Exchange hashpartitioning\((.*)\)", plan)]
+    assert ["span"] in dealt and not [x for x in dealt if "span" in x and x != ["span"]], dealt
+
+
+@pytest.mark.parametrize("questions", [1, 3, 256])
+def test_a_span_is_scored_as_a_matrix(monkeypatch, questions):
+    monkeypatch.setattr(P, "QUESTIONS", questions)
+    ask = lambda q, main=True, bar=float("-inf"), rest=0.0: {"query_id": q, "weight": 1.0 + q, "bar": bar, "rest": rest, "main": main}
+    rows = [
+        {"rows": [{"doc_id": "b", "w": 1.0}, {"doc_id": "a", "w": 1.0}, {"doc_id": "c", "w": 3.0}], "asks": [ask(0), ask(1, bar=5.0, rest=1.0)]},
+        {"rows": [{"doc_id": "d", "w": 9.0}], "asks": [ask(3, False, 5.0, 9.0)]},  # without a main list there is nothing to complete
+        {"rows": [{"doc_id": "a", "w": 0.5}, {"doc_id": "c", "w": 0.25}], "asks": [ask(1, False, 5.0, 1.0), ask(2)]},
+    ]
+    table = pa.concat_tables([pa.Table.from_pylist(rows[:1]), pa.Table.from_pylist(rows[1:])])
+    got = sorted((r["query_id"], r["doc_id"], r["score"]) for r in P._span_scorer(2)(table).to_pylist())
+    assert got == [(0, "a", 1.0), (0, "c", 3.0), (1, "c", 6.5), (2, "a", 1.5), (2, "c", 0.75)]
+
+
 def draw(*parts):
     return int(hashlib.md5(":".join(map(str, (E.SEED, *parts))).encode()).hexdigest()[:8], 16)
 
