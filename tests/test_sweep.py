@@ -62,6 +62,24 @@ def test_sweep_is_the_engine_run_by_run(spark, world, monkeypatch):
     assert sorted(map(key, own.collect()), key=str) == sorted(map(key, metrics.collect()), key=str)
 
 
+def test_sweep_exchanges_neither_texts_nor_postings_of_other_terms(spark, world):
+    questions, gold, passages = world
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables of any size
+    try:
+        vectors = passages.where("vector IS NOT NULL").select("doc_id", "vector")
+        sweep = Sweep(questions, gold, passages.select("doc_id", "text"), reorder=reorder, resamples=50, vectors=vectors)
+        found = lambda df, key: [f"BroadcastHashJoin [{key}" in x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "LeftSemi" in x]
+        lexical = found(R.bm25(sweep.questions.select("query_id", "text"), sweep.passages), "term")
+        assert lexical and all(lexical)
+        own, whole = sweep.hits, Sweep(questions, gold, passages, reorder=reorder, resamples=50).hits
+        rows = lambda df: {tuple(r) for r in df.collect()}
+        assert rows(own) == rows(whole)
+        joined = found(own, "doc_id")
+        assert joined and all(joined)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_sweep_tables(world):
     questions, gold, passages = world
     sweep = Sweep(questions, gold, passages, resamples=50)
