@@ -210,6 +210,23 @@ def test_reports_and_eval_sets_as_files(spark, world, tmp_path):
     assert {r.config for r in X.load_report(spark, str(tmp_path / "report"), "config string, variant string, ndcg double").collect()} == {"a", "b"}
 
 
+@pytest.mark.parametrize("name", ["sweep_comparisons"])
+def test_configurations_are_tested_by_ten_thousand_flips(spark, monkeypatch, name):
+    from hybridrank.plans import queries as Q
+    from hybridrank.plans import sweep
+
+    class Asked(Exception):
+        pass
+
+    def asked(*args, resamples=None, **more):
+        raise Asked(resamples)
+
+    monkeypatch.setattr(sweep, "Sweep", asked)
+    with pytest.raises(Asked, match="^10000$"):
+        Q.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "range(10000) x(r)" in Q.ORACLES[name] and "/ 10001e0" in Q.ORACLES[name] and "range(200)" not in Q.ORACLES[name]
+
+
 def test_gold_meets_few_documents(spark, tmp_path):
     """Items are found by contains, as before, and are tried on documents that have their longest inner word only."""
     from hybridrank.plans import queries as Q
