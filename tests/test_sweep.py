@@ -210,7 +210,7 @@ def test_reports_and_eval_sets_as_files(spark, world, tmp_path):
     assert {r.config for r in X.load_report(spark, str(tmp_path / "report"), "config string, variant string, ndcg double").collect()} == {"a", "b"}
 
 
-@pytest.mark.parametrize("name", ["sweep_comparisons"])
+@pytest.mark.parametrize("name", ["sweep_comparisons", "wording_gap"])
 def test_configurations_are_tested_by_ten_thousand_flips(spark, monkeypatch, name):
     from hybridrank.plans import queries as Q
     from hybridrank.plans import sweep
